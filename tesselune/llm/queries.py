@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontam import contaminated
 from .exactdup import exact_duplicates
+from .mixing import mix, taken
 from .neardup import near_duplicates
 from .secrets import secrets
 from .substring import repeated_passages
+from .tokenfiles import token_digest
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +34,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(*mix(table(spark, sf_dir, "documents")))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -34,7 +46,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_minhash_near_dedup, op5_benchmark_decontamination, op6_secret_scans, op8_substring_dedup, op9_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_files, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_secret_scans, op7_mix_sources, op8_substring_dedup, op9_exact_dedup)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
