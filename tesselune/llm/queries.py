@@ -15,6 +15,7 @@ from .quality import fit_quality, score_quality
 from .secrets import secrets
 from .substring import repeated_passages
 from .tokenfiles import token_digest
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("class_id")
 
@@ -52,7 +58,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_secret_scans, op7_mix_sources, op8_substring_dedup, op9_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_toxicity, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_secret_scans, op7_mix_sources, op8_substring_dedup, op9_exact_dedup)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
