@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import contaminated
@@ -16,6 +17,7 @@ from .secrets import secrets
 from .substring import repeated_passages
 from .tokenfiles import token_digest
 from .toxicity import fit_toxicity, score_toxicity
+from .warc import header_text, page_captures, resolve_revisits
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_toxicity, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_secret_scans, op7_mix_sources, op8_substring_dedup, op9_exact_dedup)}
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(page_captures(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "canonical", "ts", "outcome", "target_id", header_text(F.col("headers")).alias("headers"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_toxicity, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_secret_scans, op7_mix_sources, op8_substring_dedup, op9_exact_dedup, op10_warc_revisits)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -83,6 +90,34 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
                sha256(array_to_string(CASE WHEN ks IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ks, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN per USING (doc_id)""",
+    "op10_warc_revisits": r"""
+        WITH p AS (
+            SELECT page_id, url, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || (page_id // 7)::VARCHAR AS since, length(coalesce(html, '')) AS n,
+                   regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?@]*@)?', '') AS rest FROM pages),
+        c AS (
+            SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '(?i)^utm_'))) AS q FROM p),
+        u AS (
+            SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^www\d*\.', '')
+                || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '')
+                || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM c),
+        full_ AS (SELECT canonical, 100 * page_id AS ts, 3 * page_id AS target_id, tag, since, n FROM u),
+        asked AS (
+            SELECT canonical, page_id, 100 * page_id + d AS ts, 3 * page_id + k AS record_id,
+                   CASE page_id % 4 WHEN 0 THEN 'W/' || tag WHEN 1 THEN '"other"' END AS tag, CASE page_id % 4 WHEN 2 THEN since END AS since
+            FROM u, (VALUES (1, -50), (2, 50)) AS t(k, d)),
+        j AS (
+            SELECT a.*, f.target_id, f.tag AS f_tag, f.since AS f_since, f.n,
+                   CASE WHEN f.target_id IS NULL THEN 'no_response'
+                        WHEN a.tag IS NOT NULL THEN CASE WHEN replace(a.tag, 'W/', '') = f.tag THEN 'resolved' ELSE 'changed' END
+                        WHEN a.since IS NOT NULL THEN CASE WHEN a.since = f.since THEN 'resolved' ELSE 'changed' END
+                        ELSE 'unverified' END AS outcome
+            FROM asked a ASOF LEFT JOIN full_ f ON a.canonical = f.canonical AND a.ts > f.ts)
+        SELECT record_id, canonical, ts, outcome, target_id,
+               CASE WHEN target_id IS NULL THEN NULL ELSE
+                 'cache-control: ' || CASE outcome WHEN 'resolved' THEN 'max-age=600' ELSE 'max-age=60' END || chr(10) || 'content-length: ' || n || chr(10)
+                 || 'content-type: text/html' || chr(10) || CASE outcome WHEN 'resolved' THEN 'date: at ' || page_id || chr(10) ELSE '' END
+                 || 'etag: ' || CASE WHEN outcome = 'resolved' AND tag IS NOT NULL THEN tag ELSE f_tag END || chr(10) || 'last-modified: ' || f_since END AS headers
+        FROM j""",
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
