@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import tune
 from .textkernel import NOT_ALNUM, Words, slices, stream
@@ -194,23 +195,28 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
     return vectors, fit_network(x, y, fold == 4)
 
 
-def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row.
+def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, carry: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row, and with ``carry`` the columns of docs as they are.
 
     A null or empty text has no words and gets the score of a document of zeros. held_out: the crc32 of the
     id as text leaves 0 modulo 5, so its label was not used. predicted is 1 from ``threshold`` on. Equal
-    texts score alike; an empty table gives no rows; other columns are ignored.
+    texts score alike; an empty table gives no rows. With ``carry`` the columns held_out, score and predicted
+    stand in for columns of docs so named; otherwise other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     tune(docs.sparkSession)
+    kept = [c for c in docs.columns if carry and c not in ("held_out", "score", "predicted")] or [id_col]
+    rows = docs.select(*[F.col(c) for c in kept], F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for batch in batches:
             if batch.num_rows:
-                score = net.score(_pooled(batch.column(1), vectors).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
-
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+                score = net.score(_pooled(batch.column(len(kept)), vectors).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(score)], [*kept, "score"])
+
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
+    scored = rows.mapInArrow(run, schema)
+    held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(False))
+    first = [F.col(c) for c in kept] if carry else [F.col(id_col).cast("long").alias("doc_id")]
+    return scored.select(*first, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
