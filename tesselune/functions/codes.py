@@ -128,3 +128,31 @@ def icc_context(pos: Column, before: Column, before2: Column) -> Column:
     near = F.when(letter(before), 0).when(digit(before), 1).when(before <= 1, 2 + before).when(before < 16, 4).when(before.between(241, 254), 5).when(before == 255, 6).otherwise(7)
     far = F.when(letter(before2), 0).when(digit(before2), 1).when(before2 < 16, 2).when(before2 > 240, 3).otherwise(4)
     return F.when(pos <= 128, 0).otherwise(1 + near + far * 8)
+
+
+def magnitude(v: Column) -> tuple[Column, Column]:
+    """(category, bits) of a JPEG coefficient: bits of its size, and itself or, if negative, itself less one in them."""
+    category = bit_length(F.abs(v)).cast("int")
+    return category, F.when(v >= 0, v).otherwise(v + F.pow(F.lit(2.0), category).cast("long") - 1)
+
+
+def extend(category: Column, bits: Column) -> Column:
+    """A JPEG coefficient from its category and bits."""
+    half = F.pow(F.lit(2.0), category - 1).cast("long")
+    return F.when(category == 0, 0).when(bits < half, bits - (2 * half - 1)).otherwise(bits)
+
+
+def threshold_bucket(v: Column, thresholds: list[int]) -> Column:
+    """How many thresholds a value exceeds."""
+    return sum((F.when(v > t, 1).otherwise(0) for t in thresholds), F.lit(0))
+
+
+def distance_context(length: Column) -> Column:
+    """The context of a copy's distance by its length: 2, 3, 4, or more."""
+    return F.least(F.lit(3), F.greatest(F.lit(0), length - 2))
+
+
+def mcu_layout(width: Column, height: Column, h: Column, v: Column, h_max: Column, v_max: Column) -> tuple[Column, Column, Column, Column]:
+    """Blocks of a JPEG component across and down: those visible, and those stored to fill whole units."""
+    across, down = F.ceil(width / (8 * h_max)), F.ceil(height / (8 * v_max))
+    return F.ceil(F.ceil(width * h / h_max) / 8), F.ceil(F.ceil(height * v / v_max) / 8), across * h, down * v

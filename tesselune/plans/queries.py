@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselune.functions import codes
-from tesselune.operators import blocks, entropy, layout, neighbours, stencils
+from tesselune.operators import blocks, entropy, layout, neighbours, recurrences, stencils, tiles
 from tesselune.sources import rasters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -563,3 +563,96 @@ def _smooth_sql() -> str:
 def dc_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     dc = rasters.rgb8(spark, 64, 64).select("image_id", "y", "x", *[F.col(k).cast("double").alias(f"c{i}") for i, k in enumerate("rgb")])
     return stencils.smooth_dc(dc, (4.0, 4.0, 4.0)).select("y", "x", *[F.round(c, 7).alias(c) for c in ("c0", "c1", "c2")])
+
+
+# ---- wider stencils, folds and sections ---------------------------------------------------------
+
+
+def _edges_sql(step: int) -> str:
+    offsets, cross = (tiles.FIRST if step == 0 else tiles.SIDES), (((0, 0),) if step == 2 else tiles.CROSS)
+
+    def m(e: str, n: int) -> str:
+        return f"CASE WHEN {e} < 0 THEN -({e}) - 1 WHEN {e} >= {n} THEN {2 * n - 1} - ({e}) ELSE {e} END"
+
+    values = ", ".join(f"({k}, {dy}, {dx})" for k, (dy, dx) in enumerate(offsets))
+    crosses = ", ".join(f"({dy}, {dx})" for dy, dx in cross)
+    sad = " + ".join(f"{w}::DOUBLE * abs(a.c{c} - b.c{c})" for c, w in enumerate(tiles.CHANNELS))
+    return f"""WITH {_RGB8}, p AS (SELECT y, x, r / 2550.0::DOUBLE AS c0, g / 2550.0::DOUBLE AS c1, b / 2550.0::DOUBLE AS c2 FROM rgb), o(k, dy, dx) AS (VALUES {values}), c(cy, cx) AS (VALUES {crosses}),
+        s AS (SELECT p.y, p.x, k, dy, dx, sum({sad}) AS sad FROM p, o, c JOIN p a ON a.y = {m('p.y + cy', 64)} AND a.x = {m('p.x + cx', 64)} JOIN p b ON b.y = {m('p.y + dy + cy', 64)} AND b.x = {m('p.x + dx + cx', 64)} GROUP BY ALL),
+        w AS (SELECT y, x, dy, dx, greatest(0, 1 - sad * {tiles.SIGMA_UNIT}::DOUBLE * CASE WHEN y % 8 IN (0, 7) OR x % 8 IN (0, 7) THEN {tiles.BORDER}::DOUBLE ELSE 1 END / ({tiles.block_sigma(2, 5)}::DOUBLE * {tiles.SIGMA_SCALE[step]}::DOUBLE)) AS w FROM s),
+        t AS (SELECT w.y, w.x, sum(w) AS w, {', '.join(f'sum(w * n.c{c}) AS t{c}' for c in range(3))} FROM w JOIN p n ON n.y = {m('w.y + dy', 64)} AND n.x = {m('w.x + dx', 64)} GROUP BY ALL)
+        SELECT p.y, p.x, {', '.join(f'round((p.c{c} + t{c}) / (1 + w), 7) AS c{c}' for c in range(3))} FROM p JOIN t USING (y, x)"""
+
+
+def _edges(step: int) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pixels = rasters.rgb8(spark, 64, 64).select("image_id", "y", "x", *[(F.col(k) / 2550.0).alias(f"c{i}") for i, k in enumerate("rgb")])
+        pixels = pixels.withColumns({"sigma": F.lit(tiles.block_sigma(2, 5)), "height": F.lit(64), "width": F.lit(64)})
+        return tiles.preserve_edges(pixels, step, 24).select("y", "x", *[F.round(f"c{k}", 7).alias(f"c{k}") for k in range(3)])
+
+    run.__name__ = f"edge_preserving_{step}"
+    _query(_edges_sql(step))(run)
+
+
+for _step in range(3):
+    _edges(_step)
+
+
+@_query(f"WITH {_RASTER} SELECT y, x, v FROM raster")
+def squeeze_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrences.unsqueeze(recurrences.squeeze(rasters.embedding_raster(spark, sf_dir))).select("y", "x", "v")
+
+
+@_query(f"{_RESIDUALS}, o AS (SELECT y, x, token, row_number() OVER (PARTITION BY y ORDER BY x) - 1 AS place FROM tok) SELECT y, place, token FROM o")
+def rans_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = neighbours.residual_tokens(rasters.embedding_raster(spark, sf_dir))
+    table = entropy.cumulative(entropy.frequencies(entropy.histogram(tokens)))
+    return recurrences.unrans_sections(recurrences.rans_sections(tokens, table, "y", "x"), table, "y")
+
+
+@_query("""WITH RECURSIVE n AS (SELECT n_regionkey AS k, list((n_nationkey * 7) ORDER BY n_nationkey) AS raw FROM nation GROUP BY 1),
+    c AS (SELECT k, list_transform(raw, lambda v, i: (v % (len(raw) - i + 1))::BIGINT) AS code FROM n),
+    s(k, code, i, rest, out) AS (
+        SELECT k, code, 1, range(0, len(code)), []::BIGINT[] FROM c
+        UNION ALL SELECT k, code, i + 1, list_filter(rest, lambda v: v <> rest[code[i] + 1]), list_append(out, rest[code[i] + 1]) FROM s WHERE i <= len(code))
+    SELECT k, array_to_string(code, ',') AS code, array_to_string(out, ',') AS permutation FROM s WHERE i = len(code) + 1""")
+def lehmer_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rasters.table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("raw"))
+    code = F.transform("raw", lambda v, i: ((v * 7) % (F.size("raw") - i)).cast("long"))
+    rows = rows.select("k", code.alias("code")).withColumn("out", recurrences.permutation(F.col("code")))
+    return rows.select("k", *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(n) for c, n in (("code", "code"), ("out", "permutation"))])
+
+
+@_query("""WITH RECURSIVE c AS (SELECT user_id, list((event_id * 5 % 16)::BIGINT ORDER BY event_id) AS p FROM events GROUP BY 1),
+    s(user_id, p, i, ord, out) AS (
+        SELECT user_id, p, 1, range(0, 16), []::BIGINT[] FROM c
+        UNION ALL SELECT user_id, p, i + 1, list_concat([ord[p[i] + 1]], list_filter(ord, lambda v: v <> ord[p[i] + 1])), list_append(out, ord[p[i] + 1]) FROM s WHERE i <= len(p))
+    SELECT user_id, array_to_string(out, ',') AS symbols FROM s WHERE i = len(p) + 1""")
+def inverse_move_to_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_id") * 5 % 16).alias("p"))))
+    rows = rasters.table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(ordered, lambda e: e["p"]).alias("p"))
+    return rows.select("user_id", F.array_join(F.transform(recurrences.unmove_to_front(F.col("p"), 16), lambda v: v.cast("string")), ",").alias("symbols"))
+
+
+@_query(f"""{_QUANT}, m AS (SELECT q, count(*) AS n FROM q GROUP BY q), c AS (SELECT q, n, CASE WHEN q = 0 THEN 0 ELSE floor(log2(abs(q)))::INTEGER + 1 END AS category FROM m)
+    SELECT q, n, category, CASE WHEN q >= 0 THEN q ELSE q + (1::BIGINT << category) - 1 END AS bits, q AS back FROM c""")
+def jpeg_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _quantised(spark, sf_dir).groupBy("q").agg(F.count("*").alias("n"))
+    category, bits = codes.magnitude(F.col("q"))
+    rows = rows.select("q", "n", category.alias("category"), bits.cast("long").alias("bits"))
+    return rows.withColumn("back", codes.extend(F.col("category"), F.col("bits")).cast("long"))
+
+
+@_query("SELECT doc_id, ((n_chars > 300)::INTEGER + (n_chars > 1000)::INTEGER + (n_chars > 5000)::INTEGER)::INTEGER AS bucket, least(3, greatest(0, n_chars - 2))::BIGINT AS distance_context FROM documents")
+def threshold_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rasters.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", codes.threshold_bucket(F.col("n_chars"), [300, 1000, 5000]).cast("int").alias("bucket"), codes.distance_context(F.col("n_chars")).cast("long").alias("distance_context"))
+
+
+@_query("""WITH f AS (SELECT p_partkey, p_size * 13 AS w, p_size * 7 + p_partkey % 50 AS h, 1 + p_partkey % 2 AS sh, 1 + p_partkey % 2 AS sv FROM part)
+    SELECT p_partkey, ceil(ceil(w * sh / 2.0) / 8)::BIGINT AS visible_x, ceil(ceil(h * sv / 2.0) / 8)::BIGINT AS visible_y, (ceil(w / 16.0) * sh)::BIGINT AS stored_x, (ceil(h / 16.0) * sv)::BIGINT AS stored_y FROM f""")
+def jpeg_block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, key = rasters.table(spark, sf_dir, "part"), F.col("p_partkey")
+    size = F.col("p_size").cast("long")
+    found = codes.mcu_layout(size * 13, size * 7 + key % 50, 1 + key % 2, 1 + key % 2, F.lit(2), F.lit(2))
+    return part.select("p_partkey", *[c.cast("long").alias(n) for c, n in zip(found, ("visible_x", "visible_y", "stored_x", "stored_y"), strict=True)])
