@@ -656,3 +656,14 @@ def jpeg_block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("long")
     found = codes.mcu_layout(size * 13, size * 7 + key % 50, 1 + key % 2, 1 + key % 2, F.lit(2), F.lit(2))
     return part.select("p_partkey", *[c.cast("long").alias(n) for c, n in zip(found, ("visible_x", "visible_y", "stored_x", "stored_y"), strict=True)])
+
+
+@_query(f"""WITH {_RASTER}, {_near()}, r AS (SELECT x // 16 AS gx, abs(w - nw) AS prop, {_ZIGZAG.format(r=f'(v - {_GRADIENT})')} AS u FROM near), t AS (SELECT gx, prop, {_TOKEN} AS token FROM r),
+    cuts AS (SELECT DISTINCT gx, prop AS threshold FROM t), c AS (SELECT cuts.gx, threshold, prop > threshold AS side, token, count(*) AS n FROM cuts JOIN t ON t.gx = cuts.gx GROUP BY ALL),
+    s AS (SELECT gx, threshold, side, sum(n) * log2(sum(n)) - sum(n * log2(n)) AS bits FROM c GROUP BY ALL),
+    b AS (SELECT gx, threshold, round(sum(bits), 6) AS bits FROM s GROUP BY 1, 2 HAVING count(*) = 2)
+    SELECT gx, threshold, bits FROM b QUALIFY row_number() OVER (PARTITION BY gx ORDER BY bits, threshold) = 1""")
+def entropy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = neighbours.residual_tokens(rasters.embedding_raster(spark, sf_dir))
+    tokens = tokens.select(F.floor(F.col("x") / 16).alias("gx"), F.abs(F.col("w") - F.col("nw")).alias("prop"), "token")
+    return entropy.best_split(tokens, "gx", "prop")
