@@ -13,6 +13,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from .common import shared_dir, stored, tune
 
 #: Sequences of a record batch.
 BATCH_ROWS = 256
-#: Words whose ids a task remembers; beyond, it starts anew.
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers, over all its tasks; beyond, it starts anew.
+REMEMBERED = 1_000_000
 
 
 class WordEncoder:
@@ -52,24 +53,34 @@ class WordEncoder:
         if len(self.places) > REMEMBERED:
             self._clear()
         split = [t.split() for t in texts]
-        new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.places]
+        words = list(chain.from_iterable(split))
+        index = list(map(self.places.get, words))
+        new = list(dict.fromkeys(w for w, k in zip(words, index, strict=True) if k is None))
         if new:
             made = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
             lengths = np.fromiter(map(len, made), np.int64, len(made))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for m in made for i in m), self.dtype, int(lengths.sum()))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), self.dtype, int(lengths.sum()))])
             self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
-        out = []
-        for words in split:
-            index = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-            lengths = self.lengths[index]
-            ends = np.cumsum(lengths)
-            ids = np.empty(int(ends[-1]) + 1 if len(words) else 1, self.dtype)
-            ids[:-1] = self.flat[np.repeat(self.starts[index] - ends + lengths, lengths) + np.arange(len(ids) - 1)]
-            ids[-1] = end
-            out.append(ids)
-        return out
+            index = list(map(self.places.__getitem__, words))
+        at = np.array(index, np.int64)
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(total)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        return [np.append(ids[a:b], self.dtype(end)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 class SequenceWriter:
@@ -147,7 +158,7 @@ class SequenceReader:
 def _write(tokenizer: str, end: int, length: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
-        encoder = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         where, root = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
             if not batch.num_rows:
@@ -156,11 +167,11 @@ def _write(tokenizer: str, end: int, length: int, folder: str):
             if writer is None:
                 where.create_dir(root, recursive=True)
                 name, first = f"{uuid.uuid4().hex}.arrow", int(doc_ids[0])  # a name of its own for each attempt; the manifest has those that ended
-                writer = SequenceWriter(where, f"{root}/{name}", length, encoder.dtype)
+                writer = SequenceWriter(where, f"{root}/{name}", length, words.dtype)
                 n_docs = 0
             for lo in range(0, len(doc_ids), 100):
                 texts = [t.encode() for t in batch.column(1).slice(lo, 100).to_pylist()]
-                writer.add(doc_ids[lo : lo + 100], encoder.encode(texts, end))
+                writer.add(doc_ids[lo : lo + 100], words.encode(texts, end))
             n_docs += len(doc_ids)
         if writer is not None:
             writer.close()
