@@ -2,11 +2,11 @@
 
 Documents with one and the same shingle set are one class; the classes' least documents go into ``trees``
 independent trees. At the root of a tree one signature coordinate splits them into nodes by its minwise
-token. Small nodes compare all their members. A larger node links its members to its least one and branches:
-one further coordinate, or by chance a second (1/0.8 = 1.25 on average), chosen by the node's own hash. What
-verified links already join needs no more comparing, so a large group of copies costs a star and not all of
-its pairs, and its node ends there. Nodes still mixed at the last depth are compared exhaustively in blocks.
-All candidate links are confirmed on the full shingle sets.
+token. Small nodes compare all their members. A larger node compares its members with two hubs, drawn by a
+hash so that each node has others, and branches: one further coordinate, or by chance a second (1/0.8 = 1.25
+on average), chosen by the node's own hash. What verified links already join needs no more comparing, so a
+large group of copies costs its hubs' stars and not all its pairs, and its node ends there. Nodes still mixed
+at the last depth are compared exhaustively in blocks. All candidate links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -148,7 +148,7 @@ def _confirmed(percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 8, depth: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 16, depth: int = 6
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id), a row for each document.
 
@@ -177,6 +177,8 @@ def near_duplicates(
         like = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         likely_path, out = shared_dir(spark), shared_dir(spark)
         likely = stored(like.select("a", "b", "s_a", "s_b").mapInArrow(_likely(least), "a long, b long"), likely_path)
+        if not likely.limit(1).count():
+            return likely  # no need to read the texts again
         ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         sets_path = shared_dir(spark)
         sets = stored(texts.join(small(ends, ends.count(), 16), "doc_id", "left_semi").mapInArrow(_shingle_sets(words), "doc long, shingles binary"), sets_path)
@@ -186,8 +188,10 @@ def near_duplicates(
         remove(spark, likely_path, sets_path)
         return found
 
-    def merged(comp: DataFrame | None, found: DataFrame) -> DataFrame:
+    def merged(comp: DataFrame | None, found: DataFrame) -> DataFrame | None:
         """Component labels after more links; documents not named are their own."""
+        if not found.limit(1).count():
+            return comp
         if comp is None:
             return components(found).withColumnsRenamed({"v": "doc", "label": "comp"})
         ends = [comp.select(F.col("doc").alias(e), F.col("comp").alias(f"c_{e}")) for e in "ab"]
@@ -204,20 +208,25 @@ def near_duplicates(
     members = own.select("doc", "signature").mapInArrow(_roots(min(trees, COORDINATES)), "node long, doc long")
     for level in range(1, depth + 1):
         members = with_comp(members, comp)
-        nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("doc").alias("lead"), F.min_by("comp", "doc").alias("lead_comp"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        draw = F.xxhash64("node", "doc")
+        nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.min_by(F.struct("doc", "comp"), draw).alias("first"), F.max_by(F.struct("doc", "comp"), draw).alias("second"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         mixed_path = shared_dir(spark)
         mixed = stored(members.join(nodes.where("n > 1 AND low < high").drop("low", "high"), "node"), mixed_path)
         if not mixed.limit(1).count():
             break
         within = mixed.where(F.col("n") <= node_limit).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("doc", "comp"))).alias("m"))
         every = within.select(F.explode(F.expr("flatten(transform(m, (p, i) -> transform(slice(m, i + 2, size(m)), q -> struct(p.doc AS a, q.doc AS b, p.comp <> q.comp AS ask))))")).alias("p")).where("p.ask").select("p.a", "p.b")
-        star = mixed.where((F.col("n") > node_limit) & (F.col("comp") != F.col("lead_comp"))).select(F.col("lead").alias("a"), F.col("doc").alias("b"))
+        hubs = mixed.where(F.col("n") > node_limit).select("doc", "comp", F.explode(F.array("first", "second")).alias("hub")).where("comp <> hub.comp")
+        star = hubs.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"))
         found = links(every.unionByName(star).distinct())
         comp = merged(comp, found)
         crowded_path = shared_dir(spark)
         crowded = stored(with_comp(mixed.where(F.col("n") > node_limit).select("node", "doc"), comp), crowded_path)
         remove(spark, mixed_path)
-        still = crowded.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("node", "n")
+        still_path = shared_dir(spark)
+        still = stored(crowded.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("node", "n"), still_path)
+        if not still.limit(1).count():
+            break
         crowded = crowded.join(still, "node")
         if level < depth:
             lists = crowded.groupBy("doc").agg(F.collect_set("node").alias("nodes"))
