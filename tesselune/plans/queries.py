@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselune.functions import codes
-from tesselune.operators import blocks, entropy, layout, neighbours, recurrences, stencils, tiles
+from tesselune.operators import blocks, entropy, layout, neighbours, recurrences, stencils, tiles, weighted
 from tesselune.sources import rasters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -667,3 +667,8 @@ def entropy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = neighbours.residual_tokens(rasters.embedding_raster(spark, sf_dir))
     tokens = tokens.select(F.floor(F.col("x") / 16).alias("gx"), F.abs(F.col("w") - F.col("nw")).alias("prop"), "token")
     return entropy.best_split(tokens, "gx", "prop")
+
+
+@_query(f"WITH {_RASTER} SELECT y, x, v FROM raster")
+def weighted_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.weighted_samples(weighted.weighted_residuals(rasters.embedding_raster(spark, sf_dir))).select("y", "x", "v")
