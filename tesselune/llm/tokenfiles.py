@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,8 +29,18 @@ from .common import shared_dir, stored, tune
 BATCH_ROWS = 256
 #: Words whose ids a Python worker remembers, over all its tasks; beyond, it starts anew.
 REMEMBERED = 1_000_000
+#: Texts that are encoded together.
+ENCODED = 400
 
 
+def _letters() -> list[str]:
+    """The character by which a byte-level vocabulary writes each byte: printable Latin-1 itself, others from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
+_LETTERS = _letters()
 _STOP = re.compile(rb"([a-z])([.,;:!?])")
 
 
@@ -54,6 +65,13 @@ class WordEncoder:
         self.places: dict[bytes, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words. What is all letters, lower case and normal is one piece to normaliser and splitter, and
+        goes straight to the model, its bytes written as the model has them; other words go the whole way."""
+        tokenize, whole = self.tokenizer.model.tokenize, [not (w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)) for w in words]
+        long_way = iter(self.tokenizer.encode_batch([w for w, k in zip(words, whole, strict=True) if k], add_special_tokens=False))
+        return [next(long_way).ids if k else [t.id for t in tokenize(w if w.isascii() else "".join(map(_LETTERS.__getitem__, w.encode())))] for w, k in zip(words, whole, strict=True)]
+
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
         if len(self.places) > REMEMBERED:
@@ -63,7 +81,7 @@ class WordEncoder:
         index = list(map(self.places.get, words))
         new = list(dict.fromkeys(w for w, k in zip(words, index, strict=True) if k is None))
         if new:
-            made = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+            made = self._ids([w.decode("utf-8", "replace") for w in new])
             lengths = np.fromiter(map(len, made), np.int64, len(made))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
@@ -175,9 +193,9 @@ def _write(tokenizer: str, end: int, length: int, folder: str):
                 name, first = f"{uuid.uuid4().hex}.arrow", int(doc_ids[0])  # a name of its own for each attempt; the manifest has those that ended
                 writer = SequenceWriter(where, f"{root}/{name}", length, words.dtype)
                 n_docs = 0
-            for lo in range(0, len(doc_ids), 100):
-                texts = [t.encode() for t in batch.column(1).slice(lo, 100).to_pylist()]
-                writer.add(doc_ids[lo : lo + 100], words.encode(texts, end))
+            for lo in range(0, len(doc_ids), ENCODED):
+                texts = [t.encode() for t in batch.column(1).slice(lo, ENCODED).to_pylist()]
+                writer.add(doc_ids[lo : lo + ENCODED], words.encode(texts, end))
             n_docs += len(doc_ids)
         if writer is not None:
             writer.close()
