@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselune.functions.codes import smooth_tendency
+from tesselune.session import ready
 
 #: The state that a stream of symbols begins and ends with, and the table's bits.
 STATE, TABLE_BITS = 0x130000, 12
@@ -78,6 +79,7 @@ def unmove_to_front(places: Column, size: int = 256) -> Column:
 def rans_sections(tokens: DataFrame, table: DataFrame, section: str, order: str) -> DataFrame:
     """(section, words, tokens): each section's tokens as 16-bit words of a range coder over the table (token, freq,
     cum), which must be no larger than its 4,096 slots. Sections are coded apart."""
+    ready(tokens.sparkSession)
     codes = {r.token: (r.freq, r.cum) for r in table.select("token", "freq", "cum").limit((1 << TABLE_BITS) + 1).collect()}
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -96,6 +98,7 @@ def rans_sections(tokens: DataFrame, table: DataFrame, section: str, order: str)
 
 def unrans_sections(sections: DataFrame, table: DataFrame, section: str) -> DataFrame:
     """(section, place, token) of coded sections; a section that does not end in the first state raises."""
+    ready(sections.sparkSession)
     codes = sorted((r.cum, r.freq, r.token) for r in table.select("token", "freq", "cum").limit((1 << TABLE_BITS) + 1).collect())
     slots = [(t, f, c) for c, f, t in codes for _ in range(f)]
 

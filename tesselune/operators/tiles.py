@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselune.session import ready
+
 #: Neighbours of the first pass, of the others, and the cross over which patches are compared.
 FIRST = ((0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1), (0, -2), (0, 2), (-2, 0), (2, 0))
 SIDES = ((0, -1), (0, 1), (-1, 0), (1, 0))
@@ -41,6 +43,7 @@ def preserve_edges(pixels: DataFrame, step: int, size: int = 64) -> DataFrame:
     are, less where sigma is small and at edges of 8 x 8 blocks; pixels of sigma up to 1e-6 stay. Images are
     mirrored at their edges; size must be a multiple of 8.
     """
+    ready(pixels.sparkSession)
     halo, scale = 3, SIGMA_SCALE[step]
     offsets, cross = (FIRST if step == 0 else SIDES), (((0, 0),) if step == 2 else CROSS)
 

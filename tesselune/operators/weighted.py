@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselune.operators.neighbours import tiled
+from tesselune.session import ready
 
 #: Factors of the second, third and fourth guess, and the largest weights.
 FACTOR_N, FACTOR_W, FACTORS, LARGEST = 16, 10, (7, 7, 7, 0, 0), (13, 12, 12, 12)
@@ -94,6 +95,7 @@ def _run(samples: DataFrame, value: str, out: str, size: int, decode: bool) -> D
         made = _coded(grid, decode)[y - y.min(), x - x.min()]
         return pa.table({"image_id": table.column("image_id"), "channel": table.column("channel"), "y": y, "x": x, out: made})
 
+    ready(samples.sparkSession)
     rows = tiled(samples.select("image_id", F.col("channel").cast("int"), "y", "x", value), size)
     return rows.groupBy("image_id", "channel", "gy", "gx").applyInArrow(run, f"image_id string, channel int, y long, x long, {out} long")
 
