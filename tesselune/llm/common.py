@@ -10,12 +10,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
+from tesselune.session import ready
+
 #: A side of a join of at most so many bytes, as counted, is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Arrow batches of bounded bytes, and shuffle files that go when the write that needed them is over."""
+    ready(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

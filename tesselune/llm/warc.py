@@ -170,6 +170,7 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
+    tune(spark)
     names = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
     return names.mapInArrow(run, RECORDS)
 
@@ -200,6 +201,7 @@ def write_warc(records: DataFrame, folder: str, zipped: bool = True) -> DataFram
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n]})
 
+    tune(records.sparkSession)
     return stored(records.select(*_ARROW.names).mapInArrow(run, "path string, records long"), f"{folder}/manifest")
 
 
