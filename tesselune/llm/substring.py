@@ -151,12 +151,15 @@ def repeated_passages(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     anchors = texts.mapInArrow(_anchors(width, period, difference_cover(period)), "hash long, doc_id long, place int")
     shared = anchors.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash")
-    near_path, found_path = shared_dir(spark), shared_dir(spark)
+    # written first, so that the join below has a plain shuffle on either side and Spark can split a hot hash
+    shared_path, near_path, first_path, found_path = (shared_dir(spark) for _ in range(4))
+    shared = stored(shared, shared_path)
     near = stored(anchors.join(shared, "hash").groupBy("doc_id").agg(F.collect_set("place").alias("places")), near_path)
     full = texts.join(near, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows(width, period), "hash long, doc_id long, start int")
     first = full.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
+    first = stored(first, first_path)
     found = full.join(first, "hash").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     found = stored(found, found_path)
-    remove(spark, near_path)
+    remove(spark, shared_path, near_path, first_path)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return texts.join(found, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(_kept(width, with_text), schema)
