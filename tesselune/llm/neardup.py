@@ -3,10 +3,11 @@
 Documents with one and the same shingle set are one class; the classes' least documents go into ``trees``
 independent trees. At the root of a tree one signature coordinate splits them into nodes by its minwise
 token. Small nodes compare all their members. A larger node compares its members with two hubs, drawn by a
-hash so that each node has others, and branches: one further coordinate, or by chance a second (1/0.8 = 1.25
-on average), chosen by the node's own hash. What verified links already join needs no more comparing, so a
-large group of copies costs its hubs' stars and not all its pairs, and its node ends there. Nodes still mixed
-at the last depth are compared exhaustively in blocks. All candidate links are confirmed on the full sets.
+hash so that each node has others. What verified links already join needs no more comparing, so a large group of
+copies costs its hubs' stars and not all its pairs, and its node ends there. In a node still mixed, those
+outside its largest component are compared with all others by signature if they are ``block`` or fewer; else
+it branches: one further coordinate, or by chance a second (1/0.8 = 1.25 on average), chosen by the node's own hash. Nodes too
+large at the last depth are compared in pairs of blocks. All candidate links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -110,15 +111,19 @@ def _likely(least: float):
     return run
 
 
-def _block_pairs(least: float):
-    """Of one pair of blocks of a node: pairs with likely signatures."""
+def _node_pairs(least: float):
+    """Of one group: pairs of a document marked ``first`` and one of another component, with likely signatures."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        left, right = (group.filter(pa.compute.equal(group.column("side"), s)) for s in (key[1], key[2]))
-        x, y = _matrix(left.column("signature").combine_chunks()), _matrix(right.column("signature").combine_chunks())
-        a, b = left.column("doc").to_numpy(), right.column("doc").to_numpy()
-        near = [(i, j) for i in range(len(a)) for j in np.flatnonzero((y == x[i]).mean(1) >= least) if a[i] != b[j]]
-        return pa.table({"a": pa.array([min(a[i], b[j]) for i, j in near], pa.int64()), "b": pa.array([max(a[i], b[j]) for i, j in near], pa.int64())})
+        doc, comp = group.column("doc").to_numpy(), group.column("comp").to_numpy()
+        rows, first = _matrix(group.column("signature").combine_chunks()), group.column("first").to_numpy(zero_copy_only=False).astype(bool)
+        found = [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero(first):
+            equal = np.count_nonzero(rows == rows[i], axis=1)
+            near = np.flatnonzero((equal >= least * COORDINATES) & (comp != comp[i]) & (~first | (doc > doc[i])))
+            found.append(np.stack([np.minimum(doc[near], doc[i]), np.maximum(doc[near], doc[i])], 1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -148,7 +153,7 @@ def _confirmed(percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 16, depth: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 16, depth: int = 6, block: int = 2048
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id), a row for each document.
 
@@ -223,20 +228,28 @@ def near_duplicates(
         crowded_path = shared_dir(spark)
         crowded = stored(with_comp(mixed.where(F.col("n") > node_limit).select("node", "doc"), comp), crowded_path)
         remove(spark, mixed_path)
+        per = crowded.groupBy("node", "comp").agg(F.count("*").alias("c"))
+        still = per.groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
         still_path = shared_dir(spark)
-        still = stored(crowded.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("node", "n"), still_path)
-        if not still.limit(1).count():
+        crowded = stored(crowded.join(still, "node"), still_path)
+        signed = crowded.join(own.select("doc", "signature"), "doc")
+        few, large = F.col("others") <= block, F.col("others") > block
+        if crowded.where(few).limit(1).count():
+            parts, odd = F.ceil(F.col("n") / (4 * block)), F.col("comp") != F.col("main")
+            part = F.when(odd, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), parts)))
+            nodes = signed.where(few).select("node", "doc", "comp", "signature", odd.alias("first"), F.explode(part).alias("part"))
+            comp = merged(comp, links(nodes.groupBy("node", "part").applyInArrow(_node_pairs(least), "a long, b long").distinct()))
+        if not crowded.where(large).limit(1).count():
             break
-        crowded = crowded.join(still, "node")
         if level < depth:
-            lists = crowded.groupBy("doc").agg(F.collect_set("node").alias("nodes"))
+            lists = crowded.where(large).groupBy("doc").agg(F.collect_set("node").alias("nodes"))
             members = lists.join(own, "doc").select("doc", "nodes", "signature").mapInArrow(_children, "node long, doc long").distinct()
             continue
-        blocks = crowded.withColumn("blocks", F.ceil(F.col("n") / 64)).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks"))).join(own.select("doc", "signature"), "doc")
-        spread = blocks.select("node", "side", "doc", "signature", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        spread = spread.select("node", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "signature")
-        last = spread.groupBy("node", "i", "j").applyInArrow(_block_pairs(least), "a long, b long").distinct()
-        comp = merged(comp, links(last))
+        parts = signed.where(large).select("node", "n", "doc", "signature").withColumn("parts", F.ceil(F.col("n") / block)).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("parts")))
+        parts = with_comp(parts, comp)
+        spread = parts.select("node", "side", "doc", "comp", "signature", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+        spread = spread.select("node", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "doc", "comp", "signature", (F.col("side") <= F.col("other")).alias("first"))
+        comp = merged(comp, links(spread.groupBy("node", "i", "j").applyInArrow(_node_pairs(least), "a long, b long").distinct()))
     named = features.join(classes, same, "left").withColumn("doc", F.coalesce("doc", "doc_id"))
     out = with_comp(named.select("doc_id", "n_shingles", "doc"), comp)
     return out.select("doc_id", "n_shingles", F.col("comp").alias("component_id"), (F.col("comp") == F.col("doc_id")).alias("kept"), F.col("doc").alias("class_id"))
