@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselune.functions import codes
-from tesselune.operators import blocks, entropy, layout, neighbours, recurrences, stencils, tiles, weighted
+from tesselune.operators import blocks, entropy, layout, neighbours, recurrences, smallblocks, stencils, tiles, weighted
 from tesselune.sources import rasters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -467,6 +467,43 @@ def dct8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("y", "x", F.round("v").cast("long").alias("v"))
 
 
+def _cosine_sql(n: int, k: str, i: str) -> str:
+    return f"(CASE WHEN {k} = 0 THEN 1.0::DOUBLE ELSE sqrt(2.0) END / {n} * cos((2 * ({i}) + 1) * ({k}) * pi() / {2 * n}))"
+
+
+#: The weight of the sample in line y, column x in the coefficient in line a, column b, in closed form.
+_SMALL = {
+    "hornuss": """WHEN a < 2 AND b < 2 THEN pow(-1, a * (x // 4) + b * (y // 4)) / 64
+        WHEN y // 4 = a % 2 AND x // 4 = b % 2 THEN (y % 4 = CASE WHEN a // 2 = 1 AND b // 2 = 1 THEN 0 ELSE a // 2 END AND x % 4 = CASE WHEN a // 2 = 1 AND b // 2 = 1 THEN 0 ELSE b // 2 END)::INTEGER - (y % 4 = 1 AND x % 4 = 1)::INTEGER""",
+    "dct2x2": """WHEN a + b = 0 THEN 1 / 64.0::DOUBLE WHEN y // (8 // g) = a % g AND x // (8 // g) = b % g
+        THEN pow(-1, (a // g) * (x // (4 // g) % 2) + (b // g) * (y // (4 // g) % 2)) * g * g / 64.0::DOUBLE""",
+    "dct4x4": f"WHEN a < 2 AND b < 2 THEN pow(-1, a * (x // 4) + b * (y // 4)) / 64 WHEN y // 4 = a % 2 AND x // 4 = b % 2 THEN {_cosine_sql(4, 'b // 2', 'y % 4')} * {_cosine_sql(4, 'a // 2', 'x % 4')}",
+    "dct4x8": f"WHEN b = 0 AND a < 2 THEN pow(-1, a * (y // 4)) / 64 WHEN y // 4 = a % 2 THEN {_cosine_sql(4, 'a // 2', 'y % 4')} * {_cosine_sql(8, 'b', 'x')}",
+    "dct8x4": f"WHEN b = 0 AND a < 2 THEN pow(-1, a * (x // 4)) / 64 WHEN x // 4 = a % 2 THEN {_cosine_sql(8, 'b', 'y')} * {_cosine_sql(4, 'a // 2', 'x % 4')}",
+}
+
+
+def _small_block(kind: str) -> None:
+    def forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = smallblocks.small_coefficients(rasters.embedding_raster(spark, sf_dir), kind)
+        return out.select("by", "bx", "v", "u", (F.round("coef", 6) + 0.0).alias("coef"))
+
+    def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+        back = smallblocks.small_samples(smallblocks.small_coefficients(rasters.embedding_raster(spark, sf_dir), kind), kind)
+        return back.select("y", "x", F.round("v").cast("long").alias("v"))
+
+    forward.__name__, roundtrip.__name__ = f"{kind}_forward", f"{kind}_roundtrip"
+    _query(f"""WITH {_RASTER}, f AS (SELECT y // 8 AS "by", x // 8 AS bx, y % 8 AS y, x % 8 AS x, v AS s, count(*) OVER (PARTITION BY y // 8, x // 8) AS n FROM raster),
+        k AS (SELECT *, CASE WHEN greatest(a, b) >= 4 THEN 4 WHEN greatest(a, b) >= 2 THEN 2 ELSE 1 END AS g FROM range(8) a(a), range(8) b(b), range(8) y(y), range(8) x(x)),
+        m AS (SELECT a, b, y, x, (CASE {_SMALL[kind]} ELSE 0 END)::DOUBLE AS m FROM k)
+        SELECT "by", bx, a AS v, b AS u, round(sum(s * m), 6) + 0.0 AS coef FROM f JOIN m USING (y, x) WHERE n = 64 GROUP BY ALL""")(forward)
+    _query(f"WITH {_RASTER}, f AS (SELECT *, count(*) OVER (PARTITION BY y // 8, x // 8) AS n FROM raster) SELECT y, x, v FROM f WHERE n = 64")(roundtrip)
+
+
+for _kind in smallblocks.KINDS:
+    _small_block(_kind)
+
+
 _QUANT = f"""{_DCT}, q AS (SELECT "by", bx, v, u, round(round(coef, 6) / 2)::BIGINT AS q FROM co)"""
 
 
