@@ -50,7 +50,9 @@ class WordEncoder:
     ASCII white space never is part of a token of such a tokenizer, and its normaliser and splitter look at
     no more than what lies between; so a text's ids are those of its words in order. As it lower-cases and ends
     tokens between a letter and a stop, words are lower-cased and cut there first, so that fewer differ; not so
-    in a text that might hold a special token, which is looked for before.
+    in a text that might hold a special token, which is looked for before, nor in one that holds a mark of U+0300
+    to U+036F. The normaliser composes first and lower-cases last, and a few capitals do not compose with a mark
+    as their small letters do (H with a macron below); no marks but these compose with ASCII letters.
     """
 
     def __init__(self, path: str):
@@ -76,7 +78,7 @@ class WordEncoder:
         """Ids of each text, with the end id."""
         if len(self.places) > REMEMBERED:
             self._clear()
-        split = [(t if b"<|" in t else _STOP.sub(rb"\1 \2", t.lower())).split() for t in texts]
+        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else _STOP.sub(rb"\1 \2", t.lower())).split() for t in texts]
         words = list(chain.from_iterable(split))
         index = list(map(self.places.get, words))
         new = list(dict.fromkeys(w for w, k in zip(words, index, strict=True) if k is None))

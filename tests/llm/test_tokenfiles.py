@@ -5,7 +5,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tesselune.llm.tokenfiles import SequenceReader, read_documents, write_tokens
+from tesselune.llm.tokenfiles import SequenceReader, WordEncoder, read_documents, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -34,6 +34,15 @@ def test_files_hold_the_tokenizers_ids(spark, tmp_path):
         start += len(ids)
 
 
+def test_capitals_before_combining_marks():
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = ["H\u0331 alil", "J\u030c", "T\u0308", "W\u030a", "Y\u030a"]
+    texts += [f"{chr(a)}{between}{m}la. A" for a in range(65, 91) for m in marks for between in ("", "\u05b0", "\u0323")]
+    got, t = WordEncoder(PATH).encode([x.encode() for x in texts], 2), Tokenizer.from_file(PATH)
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], ascii(text)
+
+
 def test_sequences_are_views_of_the_file(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c " * 3000)], "doc_id long, text string").coalesce(1)
     shard = SequenceReader(write_tokens(docs, f"file://{tmp_path}/out", PATH, length=8).first().path)
