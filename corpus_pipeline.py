@@ -16,6 +16,13 @@ from tesselune.llm.tokenfiles import token_digest
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, and the column that tells them apart: doc_id, or, if ids are null or repeat, a number written with each row."""
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        return stored(docs.withColumn("_row", F.monotonically_increasing_id())), "_row"
+    return docs, "doc_id"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; those it was not taught on are scored alike."""
     scores = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), carry=True)
@@ -23,25 +30,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near duplicates."""
-    kept = stored(near_duplicates(docs).where("kept").select("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi")
+    """The document of the least id of each group of near duplicates, one row of it; a null id comes last."""
+    rows, key = told_apart(docs)
+    found = near_duplicates(rows, id_col=key)
+    if key != "doc_id":
+        found = found.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key)
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key))
+        found = found.groupBy("component_id").agg(least.alias("least")).select(F.col(f"least.{key}").alias("doc_id"), F.lit(True).alias("kept"))
+    kept = stored(found.where("kept").select(F.col("doc_id").alias(key)))
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose tiles cover no benchmark item."""
-    leaks = stored(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti")
+    """Documents whose tiles cover no benchmark item; each row goes by its own text."""
+    rows, key = told_apart(docs)
+    leaks = stored(contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key)).distinct())
+    return rows.join(leaks, key, "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes them.
 
     The share is that of one epoch and a half, as the operator's default; a source whose target lies below
-    its size gives fewer documents and others give some twice.
+    its size gives fewer documents and others give some twice. Rows of a null or repeated id are documents of
+    their own; draws then follow the rows' numbers.
     """
-    _, blocks = mix(docs, block_words=0)
-    return mixed_documents(docs, blocks)
+    rows, key = told_apart(docs)
+    _, blocks = mix(rows, id_col=key, block_words=0)
+    return mixed_documents(rows, blocks, id_col=key).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,13 +143,14 @@ def repeated_passages(
     Words are runs of bytes other than space and tab to carriage return. A word goes if a window of ``width``
     words covers it whose words also start in a document with a smaller id; windows are those of the input.
     A null text has no words; texts shorter than a window stay whole. Ids must be unique. Windows are compared
-    by 64-bit hashes. Of documents that share a passage the smallest id keeps it. Other columns are ignored.
+    by 64-bit hashes. Of documents that share a passage the smallest id keeps it. A null id is neither smaller
+    nor larger than another, as in SQL: its documents stay whole, a row each. Other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
     period = min(period, width)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    anchors = texts.mapInArrow(_anchors(width, period, difference_cover(period)), "hash long, doc_id long, place int")
+    anchors = texts.where("doc_id IS NOT NULL").mapInArrow(_anchors(width, period, difference_cover(period)), "hash long, doc_id long, place int")
     shared = anchors.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash")
     # written first, so that the join below has a plain shuffle on either side and Spark can split a hot hash
     shared_path, near_path, first_path, found_path = (shared_dir(spark) for _ in range(4))

@@ -122,10 +122,10 @@ class SequenceWriter:
         self.held: list[np.ndarray] = []
         self.n_held = 0
 
-    def add(self, doc_ids: np.ndarray, ids: list[np.ndarray]) -> None:
+    def add(self, doc_ids: pa.Array, ids: list[np.ndarray]) -> None:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = self.total + np.cumsum(lengths) - lengths
-        self.writers[1].write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(starts), pa.array(lengths)], schema=self.index_schema))
+        self.writers[1].write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(lengths)], schema=self.index_schema))
         self.total += int(lengths.sum())
         self.held += ids
         self.n_held += int(lengths.sum())
@@ -189,19 +189,19 @@ def _write(tokenizer: str, end: int, length: int, folder: str):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            doc_ids = batch.column(0)
             if writer is None:
                 where.create_dir(root, recursive=True)
-                name, first = f"{uuid.uuid4().hex}.arrow", int(doc_ids[0])  # a name of its own for each attempt; the manifest has those that ended
+                name, first = f"{uuid.uuid4().hex}.arrow", doc_ids[0].as_py()  # a name of its own for each attempt; the manifest has those that ended
                 writer = SequenceWriter(where, f"{root}/{name}", length, words.dtype)
                 n_docs = 0
             for lo in range(0, len(doc_ids), ENCODED):
                 texts = [t.encode() for t in batch.column(1).slice(lo, ENCODED).to_pylist()]
-                writer.add(doc_ids[lo : lo + ENCODED], words.encode(texts, end))
+                writer.add(doc_ids.slice(lo, ENCODED), words.encode(texts, end))
             n_docs += len(doc_ids)
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"first_id": [first], "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_tokens": [writer.total]})
+            yield pa.RecordBatch.from_pydict({"first_id": pa.array([first], pa.int64()), "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_tokens": [writer.total]})
 
     return run
 
@@ -212,7 +212,8 @@ def write_tokens(
     """Encodes whole texts in ascending id order to shards under ``folder``; the manifest, also written there.
 
     Manifest: (first_id, path, n_docs, n_tokens), a row for each shard, first_id giving their order. A null
-    text is an empty one and has the end id alone. Rows of one id stay together, in the order of their texts.
+    text is an empty one and has the end id alone. Rows of one id stay together, in the order of their texts;
+    so do those of a null id, which come first and keep it (a shard that begins with them has a null first_id).
     ``folder`` must be a place that all executors reach and ``pyarrow.fs`` can open. A task that is run again
     writes files of its own, and only what the manifest names counts. An empty table gives no shards.
     """
@@ -228,9 +229,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             shard = SequenceReader(path)
             for part in shard.index.to_batches():
-                ids, starts, lengths = (part.column(k).to_numpy() for k in range(3))
+                ids, (starts, lengths) = part.column(0), (part.column(k).to_numpy() for k in (1, 2))
                 sums = [zlib.crc32(shard.tokens(a, n).astype("<u4").tobytes()) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts + base), pa.array(lengths), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(starts + base), pa.array(lengths), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:

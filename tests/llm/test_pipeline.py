@@ -36,3 +36,18 @@ def test_each_stage_against_brute_force(spark, tmp_path):
         ids = [*tokenizer.encode(texts[4][r.doc_id], add_special_tokens=False).ids, 2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_null_and_repeated_ids(spark):
+    said = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(6)]
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(5, said[0]), (5, said[0]), (None, said[0]), (None, said[1]), (None, said[1]), (7, said[2]), (7, said[3]), (9, said[4]), (None, leak), (8, leak), (8, said[5])]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    one_each = [(5, said[0]), (None, said[1]), (7, said[2]), (7, said[3]), (9, said[4]), (8, leak), (8, said[5])]
+    assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(one_each)
+    clean = corpus_pipeline.decontamination(spark, docs, SF)
+    assert clean.columns == docs.columns and Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for r in rows if r[1] != leak)
+    mixed = corpus_pipeline.mixture(spark, docs, SF)
+    got, had = Counter((r.doc_id, r.text) for r in mixed.collect()), Counter(rows)
+    assert mixed.columns == docs.columns and set(got) == set(had) and all(had[x] <= n <= 2 * had[x] for x, n in got.items())

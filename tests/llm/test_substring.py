@@ -44,5 +44,13 @@ def test_equal_to_brute_force(spark):
         assert got == brute(rows, width)
 
 
+def test_null_ids_stay_whole(spark):
+    long = " ".join(map(str, range(20)))
+    docs = spark.createDataFrame([(None, long), (2**60 + 1, long), (2**60 + 2, long), (None, long), (None, "x y")], "doc_id long, text string").coalesce(1)
+    out = repeated_passages(docs, width=8, period=7)
+    assert dict(out.dtypes)["doc_id"] == "bigint"
+    assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in out.collect()), key=str) == sorted([(None, 20, 0), (None, 20, 0), (None, 2, 0), (2**60 + 1, 20, 0), (2**60 + 2, 20, 20)], key=str)
+
+
 def test_no_rows(spark):
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0

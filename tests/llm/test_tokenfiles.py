@@ -57,6 +57,19 @@ def test_sequences_are_views_of_the_file(spark, tmp_path):
     assert (joined == shard.tokens(0, total)).all()
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "b"), (2**60 + 1, "d e"), (None, "a"), (None, None), (7, "c"), (7, "c"), (7, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = write_tokens(docs, f"file://{tmp_path}/out", PATH, length=16)
+    got = [tuple(r) for r in read_documents(manifest).orderBy("start").collect()]
+    t, start, want = Tokenizer.from_file(PATH), 0, []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+
+
 def test_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert read_documents(write_tokens(docs, f"file://{tmp_path}/out", PATH)).count() == 0
