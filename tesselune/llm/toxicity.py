@@ -60,8 +60,9 @@ class Convolution:
         starts = np.cumsum([0, *(len(t) + len(gap) for t in texts)])
         return np.concatenate([x for t in texts for x in (t + tables, gap)]), starts
 
-    def responses(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Largest responses (texts x all filters), the words, and the place of each largest one."""
+    def responses(self, texts: list[np.ndarray], goes_on: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Largest responses (texts x all filters), the words, and the place of each largest one. Of a text that
+        goes on, only windows wholly inside count."""
         words, starts = self._laid(texts)
         x = self.embedding[words[:, 0]]
         for k in range(1, words.shape[1]):
@@ -71,7 +72,7 @@ class Convolution:
             act = np.broadcast_to(b, (len(words) - width + 1, FILTERS)).copy()
             for j in range(width):
                 act += x[j : len(words) - width + 1 + j] @ w[j]
-            at = np.stack([a + act[a : max(a + 1, z - max(WIDTHS))].argmax(0) for a, z in zip(starts[:-1], starts[1:], strict=True)])
+            at = np.stack([a + act[a : max(a + 1, z - max(WIDTHS) - (width - 1) * goes_on)].argmax(0) for a, z in zip(starts[:-1], starts[1:], strict=True)])
             places.append(at)
             best.append(np.take_along_axis(act, at, 0))
         return np.maximum(np.concatenate(best, 1), 0), words, np.concatenate(places, 1)
@@ -89,9 +90,11 @@ class Convolution:
         return np.concatenate(out)
 
     def _long(self, text: np.ndarray) -> np.ndarray:
-        """A very long text in overlapping pieces; the largest response of all is that of the whole."""
+        """A very long text in overlapping pieces; the largest response of all is that of the whole.
+
+        Each window of the whole lies inside a piece; padding follows only those that reach the text's end."""
         pieces = [text[k : k + 30_000 + max(WIDTHS) - 1] for k in range(0, len(text), 30_000)]
-        return np.array([np.max([self.responses([p])[0][0] for p in pieces], axis=0) @ self.out + self.offset])
+        return np.array([np.max([self.responses([p], 30_000 * k + len(p) < len(text))[0][0] for k, p in enumerate(pieces)], axis=0) @ self.out + self.offset])
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.margin(texts) + self.shift, -40, 40)))

@@ -79,6 +79,21 @@ def test_long_texts_in_pieces_are_scored_as_a_whole():
     assert net._long(text)[0] == pytest.approx((net.responses([text])[0] @ net.out + net.offset)[0], rel=1e-4)
 
 
+def test_pieces_add_no_padding():
+    rng = np.random.default_rng(3)
+    net = fit_convolution([rng.integers(0, 30000, (20, 3)).astype(np.uint16) for _ in range(40)], np.arange(40) % 2, epochs=1)
+    for w, b in zip(net.filters, net.bias, strict=True):  # a response only where padding follows a word
+        w[:], b[:] = -1, 1
+    net.embedding[:-1] = 0
+    net.embedding[:-1, 0] = np.where(np.arange(ROWS) % 2, 1, 0.3)
+    net.out[:] = np.arange(1, len(net.out) + 1)
+    for n in (59_999, 60_000, 60_001, 60_002, 60_003, 70_000):
+        text = rng.integers(0, 15000, (n, 3)).astype(np.uint16) * 2 + 1
+        for k in (30_000, 60_000):
+            text[min(k + 1, n - 1)] = 0
+        assert net._long(text)[0] == pytest.approx((net.responses([text])[0] @ net.out + net.offset)[0], rel=1e-6), n
+
+
 def test_network_and_temperature():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, FEATURES))
