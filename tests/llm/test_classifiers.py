@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesselune.llm.quality import FEATURES, fit_network, fit_quality, fit_temperature, score_quality
 from tesselune.llm.toxicity import ROWS, Convolution, fit_convolution, fit_toxicity, score_toxicity
@@ -63,6 +64,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert score_toxicity(docs.drop("lang"), net).count() == len(rows)
 
 
+def test_held_out_labels_reach_no_score(spark):
+    docs, labels, _ = corpus(spark, 400)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    turned = labels.withColumn("toxic", F.when(held, F.lit(1)).otherwise(F.col("toxic")))
+    a, b = fit_toxicity(docs, labels), fit_toxicity(docs, turned)
+    assert (a.scale, a.shift, a.offset, a.thresholds) == (b.scale, b.shift, b.offset, b.thresholds)
+
+
 @pytest.mark.parametrize("empty", ["docs", "labels"])
 def test_nothing_to_learn_from(spark, empty):
     docs, labels, _ = corpus(spark, 20)
