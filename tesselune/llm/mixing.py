@@ -165,9 +165,13 @@ def taken(sizes: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents' rows as often as the mix of whole documents (``block_words=0``) takes them, by shard in shuffled order."""
+    """The documents' rows as often as the mix of whole documents (``block_words=0``) takes them, by shard in shuffled order.
+
+    Tasks take ranges of that order, as many as the session's shuffle partitions, so a shard may span several.
+    """
     rows = blocks.select(F.col("doc_id").alias("_taken"), "shard", "order_key")
-    out = docs.join(rows, F.col(id_col) == F.col("_taken")).repartition("shard").sortWithinPartitions("shard", "order_key")
+    out = docs.join(rows, F.col(id_col) == F.col("_taken"))
+    out = out.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "order_key").sortWithinPartitions("shard", "order_key")
     return out.select(docs.columns)
 
 

@@ -69,6 +69,18 @@ def test_whole_documents(spark):
     assert all(abs(r.t - r.want) <= 90 or r.source == "s1" and abs(r.t - r.want) <= 5000 for r in per)
 
 
+def test_a_shard_spans_several_tasks(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "'a b c' AS text", "'s' AS source")
+    _, blocks = mix(docs, block_words=0, shards=2)
+    place = {r.doc_id: [] for r in docs.collect()}
+    for r in blocks.collect():
+        place[r.doc_id].append((r.shard, r.order_key))
+    parts = [x for x in mixed_documents(docs, blocks).rdd.map(lambda r: r.doc_id).glom().collect() if x]
+    assert len(parts) == 4 and sum(map(len, parts)) == sum(map(len, place.values()))
+    ids = [i for x in parts for i in x]
+    assert ids == [i for _, i in sorted((at, i) for i, ats in place.items() for at in ats)]
+
+
 def test_draws_are_hypergeometric(spark):
     u = spark.range(2000).select(((F.col("id") + 0.5) / 2000).alias("u"))
     from math import comb
