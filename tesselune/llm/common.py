@@ -32,10 +32,13 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's name under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
+    Only where the session names none and runs on one machine (tests, a laptop) a temporary folder is made and
+    set; on a cluster that is an error, as executors would not see the folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tesselune-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -56,5 +59,34 @@ def remove(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """The written tables of one call under one shared folder; each can be dropped when it is read no more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.made = spark, shared_dir(spark), 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        out = stored(df, path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def view(self, df: DataFrame, table: DataFrame) -> DataFrame:
+        """df, columns of a written table, to be dropped in its stead."""
+        self.paths[id(df)] = df, self.paths.pop(id(table))[1]
+        return df
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for df in tables:
+            if df is not None and id(df) in self.paths:
+                remove(self.spark, self.paths.pop(id(df))[1])
+
+    def drop_all_but(self, *tables: DataFrame | None) -> None:
+        keep = {id(df) for df in tables}
+        self.drop(*(df for df, _ in list(self.paths.values()) if id(df) not in keep))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,29 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, shared_dir, stored
+from .common import Scratch
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, label) for each end of the links (a, b): the smallest vertex that it reaches.
 
     Every round takes the least label among neighbours and then the label's label, so labels run along a
     path by doubling steps. Labels are a written table; neither links nor labels come to the driver.
     An empty table of links gives no rows.
     """
-    spark = links.sparkSession
-    both_path, path = shared_dir(spark), shared_dir(spark)
-    both = stored(links.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("u"))).where("u <> v").distinct(), both_path)
-    labels = stored(both.groupBy("v").agg(F.least(F.first("v"), F.min("u")).alias("label")), path)
+    both = links.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("u")))
+    both = scratch.put(both.where("u <> v").distinct())
+    labels = scratch.put(both.groupBy("v").agg(F.least(F.first("v"), F.min("u")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("label").alias("near"))
         lower = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("least"))
         jump = labels.select(F.col("v").alias("least"), F.col("label").alias("far"))
-        path_new = shared_dir(spark)
-        new = stored(lower.join(jump, "least", "left").select("v", F.least("least", "far").alias("label"), (F.least("least", "far") < F.col("label")).alias("moved")), path_new)
+        new = scratch.put(lower.join(jump, "least", "left").select("v", F.least("least", "far").alias("label"), (F.least("least", "far") < F.col("label")).alias("moved")))
         moved = new.where("moved").limit(1).count()
-        remove(spark, path)
-        labels, path = new.select("v", "label"), path_new
+        scratch.drop(labels)
+        labels = new
         if not moved:
-            remove(spark, both_path)
-            return labels
+            scratch.drop(both)
+            return scratch.view(labels.select("v", "label"), labels)
