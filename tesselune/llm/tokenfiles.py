@@ -15,7 +15,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stored, tune
+from .textkernel import byte_set
 
 #: Sequences of a record batch.
 BATCH_ROWS = 256
@@ -41,7 +42,7 @@ def _letters() -> list[str]:
 
 
 _LETTERS = _letters()
-_STOP = re.compile(rb"([a-z])([.,;:!?])")
+_SMALL, _STOPS = byte_set(bytes(range(97, 123))), byte_set(b".,;:!?")
 
 
 class WordEncoder:
@@ -60,9 +61,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = self._plain()
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._clear()
 
+    def _plain(self) -> bool:
+        """Whether the tokenizer is of the kind described: it lower-cases, drops white space, cuts before stops, and
+        gives each of some probes, as one text, the ids of its words written apart. Others encode whole texts."""
+        probes = ("Ab cD.\te,F; g!\n h", "x'Y z-1 (a) 2.5", "one\x0btwo\x0c three\r\nÉa", "  lead  trail  ")
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        by_words = [[k for w in re.sub(r"([a-z])([.,;:!?])", r"\1 \2", p.lower()).split() for k in ids(w)] for p in probes]
+        words = ["ab", "wordlike", "zéro", "straße"]
+        return [ids(p) for p in probes] == by_words and self._ids(words) == [ids(w) for w in words]
+
     def _clear(self) -> None:
         self.places: dict[bytes, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -71,26 +82,39 @@ class WordEncoder:
         """Ids of words. What is all letters, lower case and normal is one piece to normaliser and splitter, and
         goes straight to the model, its bytes written as the model has them; other words go the whole way."""
         tokenize, whole = self.tokenizer.model.tokenize, [not (w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)) for w in words]
-        long_way = iter(self.tokenizer.encode_batch([w for w, k in zip(words, whole, strict=True) if k], add_special_tokens=False))
+        long_way = iter(self.tokenizer.encode_batch_fast([w for w, k in zip(words, whole, strict=True) if k], add_special_tokens=False))
         return [next(long_way).ids if k else [t.id for t in tokenize(w if w.isascii() else "".join(map(_LETTERS.__getitem__, w.encode())))] for w, k in zip(words, whole, strict=True)]
 
+    def _split(self, texts: list[bytes]) -> list[list[bytes]]:
+        """Words of each text, lower-cased and cut before a stop that follows a letter, unless the text must stay as it is."""
+        whole = [b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
+        low = [b"" if k else t.lower() for t, k in zip(texts, whole, strict=True)]
+        data, offsets = np.frombuffer(b"".join(low), np.uint8), np.cumsum([0, *map(len, low)])
+        cuts = np.flatnonzero(_STOPS[data[1:]] & _SMALL[data[:-1]]) + 1
+        cuts = cuts[~np.isin(cuts, offsets)]
+        places, spaced = offsets + np.searchsorted(cuts, offsets), np.insert(data, cuts, 32).tobytes()
+        return [t.split() if k else spaced[a:b].split() for t, k, a, b in zip(texts, whole, places[:-1].tolist(), places[1:].tolist(), strict=True)]
+
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
+        if not self.plain:
+            made = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array([*x.ids, end], self.dtype) for x in made]
         if len(self.places) > REMEMBERED:
             self._clear()
-        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else _STOP.sub(rb"\1 \2", t.lower())).split() for t in texts]
+        split = self._split(texts)
         words = list(chain.from_iterable(split))
-        index = list(map(self.places.get, words))
-        new = list(dict.fromkeys(w for w, k in zip(words, index, strict=True) if k is None))
-        if new:
+        at = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            new = list(dict.fromkeys(words[k] for k in unknown.tolist()))
             made = self._ids([w.decode("utf-8", "replace") for w in new])
             lengths = np.fromiter(map(len, made), np.int64, len(made))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), self.dtype, int(lengths.sum()))])
             self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
-            index = list(map(self.places.__getitem__, words))
-        at = np.array(index, np.int64)
+            at[unknown] = [self.places[words[k]] for k in unknown.tolist()]
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0

@@ -73,3 +73,16 @@ def test_null_and_repeated_ids(spark, tmp_path):
 def test_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert read_documents(write_tokens(docs, f"file://{tmp_path}/out", PATH)).count() == 0
+
+
+def test_any_tokenizer_and_real_texts():
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += ["a... b?! c.,d e.x.", "Ab.Cd,", ".", "", "x.\x00.y", "é.é, É."]
+    for name, plain in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        encoder, t = WordEncoder(path), Tokenizer.from_file(path)
+        assert encoder.plain == plain
+        for text, ids in zip(texts, encoder.encode([x.encode() for x in texts], 2), strict=True):
+            assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
