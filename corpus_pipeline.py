@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselune.llm.common import stored, table
+from tesselune.llm.common import Scratch, stored, table
 from tesselune.llm.decontam import contaminated
 from tesselune.llm.mixing import mix, mixed_documents
 from tesselune.llm.neardup import near_duplicates
@@ -32,12 +32,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near duplicates, one row of it; a null id comes last."""
     rows, key = told_apart(docs)
-    found = near_duplicates(rows, id_col=key)
+    t = Scratch(spark)
+    found = near_duplicates(rows, id_col=key, scratch=t)
     if key != "doc_id":
         found = found.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key)
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key))
         found = found.groupBy("component_id").agg(least.alias("least")).select(F.col(f"least.{key}").alias("doc_id"), F.lit(True).alias("kept"))
     kept = stored(found.where("kept").select(F.col("doc_id").alias(key)))
+    t.drop_all_but()
     return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
@@ -49,15 +51,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them.
+    """Whole documents as often as the mix takes them, each where it lies.
 
     The share is that of one epoch and a half, as the operator's default; a source whose target lies below
     its size gives fewer documents and others give some twice. Rows of a null or repeated id are documents of
-    their own; draws then follow the rows' numbers.
+    their own; draws then follow the rows' numbers. Rows are not dealt to shards here, as the next stage puts
+    documents in order of their ids: that is the one shuffle of texts.
     """
     rows, key = told_apart(docs)
     _, blocks = mix(rows, id_col=key, block_words=0)
-    return mixed_documents(rows, blocks, id_col=key).select(docs.columns)
+    return mixed_documents(rows, blocks, id_col=key, ordered=False).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,9 +82,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written as Parquet and reread as the next one's docs."""
-    docs = table(spark, sf_dir, "documents")
+    docs, t, read = table(spark, sf_dir, "documents"), Scratch(spark), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs)
+            docs = t.put(docs)
+        t.drop(read)  # the last stage, too, has read its input when it returns: it reads its own files back
+        read = docs
     return docs

@@ -14,20 +14,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored, tune
+from .common import Scratch, small, stored, tune
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: About so many rows of a source are ranked in one task.
 RANK_ROWS = 65_536
 
 
+def source_ranks(per: DataFrame) -> DataFrame:
+    """Adds rank, from 1 on, to rows of one a source: by code point, null last."""
+    return per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+
+
+def last_key(seed: int, doc: str = "doc_id", block: Column | str = "block") -> Column:
+    """The hash by which a source's blocks are permuted for its last epoch."""
+    return F.xxhash64(F.lit(seed), F.lit(1), "rank", doc, block)
+
+
+def deck_key(seed: int, doc: str = "doc_id", block: Column | str = "block") -> Column:
+    """The hash by which a source's deck, all blocks that it gives, is permuted."""
+    return F.xxhash64(F.lit(seed), F.lit(2), "rank", "epoch", doc, block)
+
+
+def order_key(seed: int, doc: str = "doc_id", block: Column | str = "block") -> Column:
+    """The hash by which a shard is shuffled."""
+    return F.xxhash64(F.lit(seed), F.lit(3), doc, "epoch", block)
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
     """(rank, source, source_size, rows, target) of each source; sizes has source and size.
 
     One row a source is all that the window sees. A source of no words gets a target of 0.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    per = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    per = source_ranks(per)
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1))
     per = per.withColumn("cap", F.lit(cap) * F.col("source_size")).withColumn("total", F.lit(share) * F.sum("source_size").over(Window.partitionBy()))
     order = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
@@ -39,13 +59,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return per.select("rank", "source", "source_size", "rows", target.alias("target"))
 
 
-def _ranked(blocks: DataFrame, *salt: Column) -> DataFrame:
-    """Adds ``place`` (blocks before) and ``words_before`` of each block in its source's hashed order.
+def _ranked(blocks: DataFrame, key: Column) -> DataFrame:
+    """Adds ``place`` (blocks before), ``words_before`` and the key u of each block in its source's order by the key.
 
     A source is cut into buckets of the hash, as many as its blocks ask for; ranks are local to a bucket and
     bucket totals are added up per source, so no task needs a whole source.
     """
-    key = F.xxhash64(*salt, "doc_id", "block")
     parts = F.greatest(F.lit(1), F.ceil(F.col("blocks") / RANK_ROWS))
     blocks = blocks.withColumn("u", key).withColumn("bucket", F.floor((F.shiftrightunsigned("u", 32) * parts) / F.lit(1 << 32)))
     local = Window.partitionBy("rank", "bucket").orderBy(F.shiftrightunsigned("u", 32), "u", "doc_id", "epoch", "block")
@@ -55,7 +74,7 @@ def _ranked(blocks: DataFrame, *salt: Column) -> DataFrame:
     totals = totals.select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("w"))
     ranked = blocks.withColumn("place", F.row_number().over(local) - 1).withColumn("words_before", F.coalesce(F.sum("words").over(so_far), F.lit(0)))
     ranked = ranked.join(totals, ["rank", "bucket"])
-    return ranked.withColumn("place", F.col("place") + F.col("n")).withColumn("words_before", F.col("words_before") + F.col("w")).drop("n", "w", "u", "bucket")
+    return ranked.withColumn("place", F.col("place") + F.col("n")).withColumn("words_before", F.col("words_before") + F.col("w")).drop("n", "w", "bucket")
 
 
 def _hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
@@ -128,9 +147,10 @@ def mix(
     without words and empty tables take nothing; other columns are ignored.
     """
     tune(docs.sparkSession)
+    t = Scratch(docs.sparkSession)
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = stored(sizes)
-    targets = stored(source_targets(sizes, weights, share, cap))
+    sizes = t.put(sizes)
+    targets = t.put(source_targets(sizes, weights, share, cap))
     n = targets.count()
     named = sizes.join(small(targets.withColumnRenamed("source", "s"), n, 200), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
@@ -141,43 +161,77 @@ def mix(
     blocks = named.where("size > 0").select("doc_id", "rank", "size", "source_size", full.alias("full"), (want - full * F.col("source_size")).alias("rest"), width.alias("width"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"))
     blocks = blocks.withColumn("start", F.col("block") * F.col("width")).withColumn("words", F.least("width", F.col("size") - F.col("start"))).drop("width", "size")
     counted = small(blocks.groupBy("rank").agg(F.count("*").alias("blocks")), n, 24)
-    blocks = stored(blocks.join(counted, "rank"))
-    last = _ranked(blocks.where("rest > 0").withColumn("epoch", F.col("full")), F.lit(seed), F.lit(1), F.col("rank"))
+    blocks = t.put(blocks.join(counted, "rank"))
+    last = _ranked(blocks.where("rest > 0").withColumn("epoch", F.col("full")), last_key(seed))
     if block_words:
         last = last.where(F.col("words_before") < F.col("rest")).withColumn("words", F.least("words", F.col("rest") - F.col("words_before")))
     else:
         last = last.where(2 * F.col("words_before") + F.col("words") <= 2 * F.col("rest"))
     whole = blocks.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
     keep = ["rank", "doc_id", "epoch", "block", "start", "words"]
-    deck = stored(whole.select(keep).unionByName(last.select(keep)))
+    deck = t.put(whole.select(keep).unionByName(last.select(keep)))
+    t.drop(blocks)
     quotas = deck.groupBy("rank").agg(F.count("*").alias("quota"))
     ends = Window.partitionBy("rank").orderBy("shard")
     bounds = shard_quotas(quotas, shards, seed).withColumn("end", F.sum("quota").over(ends)).groupBy("rank").agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    dealt = _ranked(deck.join(small(quotas.withColumnRenamed("quota", "blocks"), n, 24), "rank"), F.lit(seed), F.lit(2), F.col("rank"), F.col("epoch"))
+    dealt = _ranked(deck.join(small(quotas.withColumnRenamed("quota", "blocks"), n, 24), "rank"), deck_key(seed))
     dealt = dealt.join(small(bounds, n, 24 + 8 * shards), "rank").withColumn("shard", F.expr("size(filter(ends, e -> e <= place))"))
-    return named.drop("rank", "rows"), dealt.select("shard", F.xxhash64(F.lit(seed), F.lit(3), "doc_id", "epoch", "block").alias("order_key"), "doc_id", "epoch", "block", "start", "words")
+    return named.drop("rank", "rows"), dealt.select("shard", order_key(seed).alias("order_key"), "doc_id", "epoch", "block", "start", "words", "rank", F.col("u").alias("deck_key"))
 
 
 def taken(sizes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): the words that the mix takes of each document, repeats counted."""
-    per = blocks.groupBy("doc_id").agg(F.sum("words").alias("taken"))
-    return sizes.join(per, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """(doc_id, size, source_size, target, taken, shards), a row for each document.
+
+    taken: the words that the mix takes of it, repeats counted. shards: the output shards that the tree's quotas
+    deal its blocks to, ascending and joined by commas; empty where nothing is taken.
+    """
+    per = blocks.groupBy("doc_id").agg(F.sum("words").alias("taken"), F.array_join(F.array_sort(F.collect_set("shard")), ",").alias("shards"))
+    return sizes.join(per, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
-def mixed_documents(docs: DataFrame, blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents' rows as often as the mix of whole documents (``block_words=0``) takes them, by shard in shuffled order.
+def mixed_documents(
+    docs: DataFrame, blocks: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, ordered: bool = True
+) -> DataFrame:
+    """The documents' rows as often as the mix of whole documents (``block_words=0``) takes them.
 
-    Tasks take ranges of that order, as many as the session's shuffle partitions, so a shard may span several.
+    A source gives a prefix of its permuted documents in its last epoch and all of them before, and a shard is a
+    range of its permuted deck: so each source's cuts tell where a row goes, and texts are not joined with blocks.
+    Cuts are a row a source. With ``ordered`` rows come by shard in shuffled order, by the only shuffle of texts;
+    tasks take ranges of that order, as many as the session's shuffle partitions, so a shard may span several.
+    Without, rows stay where they are, for consumers that order them by themselves. docs, its columns and ``seed``
+    are those that ``mix`` had; columns of any name are carried.
     """
-    rows = blocks.select(F.col("doc_id").alias("_taken"), "shard", "order_key")
-    out = docs.join(rows, F.col(id_col) == F.col("_taken"))
-    out = out.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "order_key").sortWithinPartitions("shard", "order_key")
-    return out.select(docs.columns)
+    high, key = F.shiftrightunsigned, _unused("_mix", docs.columns)
+    last = blocks.groupBy("rank").agg(F.max(F.struct("epoch", high(last_key(seed), 32).alias("h"), last_key(seed).alias("u"), "doc_id")).alias("cut"))
+    first = blocks.groupBy("rank", "shard").agg(F.min(F.struct(high("deck_key", 32).alias("h"), F.col("deck_key").alias("u"), "doc_id", "epoch")).alias("at"))
+    first = first.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("at", "shard"))).alias("bounds"))
+    sources = source_ranks(docs.select(F.col(source_col).alias("source")).distinct())
+    cuts = stored(sources.join(last, "rank").join(first, "rank"))
+    n = cuts.count()
+    shards = cuts.agg(F.max(F.size("bounds"))).first()[0] or 1
+    cuts = small(cuts.select(F.struct("source", "rank", "cut", "bounds").alias(key)), n, 80 + 48 * shards)
+    rows = docs.where(F.col(text_col).rlike(WORD)).join(cuts, F.col(source_col).eqNullSafe(F.col(f"{key}.source")))
+    rows = rows.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(f"{key}.rank").alias("rank"), F.col(f"{key}.cut").alias("cut"), F.col(f"{key}.bounds").alias("bounds"), F.lit(0).cast("long").alias("block"))
+    own = F.struct(high(last_key(seed), 32).alias("h"), last_key(seed).alias("u"), "doc_id")
+    copies = F.col("cut.epoch") + (own <= F.struct("cut.h", "cut.u", "cut.doc_id")).cast("long")
+    rows = rows.select("row", "doc_id", "rank", "bounds", "block", F.explode(F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies - 1))).alias("epoch"))
+    if not ordered:
+        return rows.select("row.*")
+    rows = rows.withColumn("at", F.struct(high(deck_key(seed), 32).alias("h"), deck_key(seed).alias("u"), "doc_id", "epoch"))
+    rows = rows.select("row", F.expr("element_at(filter(bounds, b -> b.at <= at), -1).shard").alias("shard"), order_key(seed).alias("order_key"))
+    rows = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "order_key").sortWithinPartitions("shard", "order_key")
+    return rows.select("row.*")
 
 
 def write_shards(docs: DataFrame, blocks: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Parquet under ``path``/shard=n: each block's words joined by a space, in the shard's shuffled order."""
     words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.array_join(F.slice(words, F.col("start").cast("int") + 1, F.col("words").cast("int")), " ")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_col).join(blocks, "doc_id").select("shard", "order_key", "doc_id", "epoch", "block", text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_col).join(blocks.drop("rank", "deck_key"), "doc_id").select("shard", "order_key", "doc_id", "epoch", "block", text.alias("text"))
     rows.repartition("shard").sortWithinPartitions("shard", "order_key").write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -81,7 +81,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def sketches(tokens: np.ndarray) -> np.ndarray:
     """Two bits of a hash of each token, as bytes."""
-    bits = (mix(tokens.astype(np.uint64) + stream(404, COORDINATES)) & np.uint64(3)).astype(np.uint8).reshape(len(tokens), -1, 4)
+    bits = (mix(tokens.astype(np.uint64) + stream(404, COORDINATES)) & np.uint64(3)).astype(np.uint8).reshape(len(tokens), COORDINATES // 4, 4)
     return bits[:, :, 0] | bits[:, :, 1] << 2 | bits[:, :, 2] << 4 | bits[:, :, 3] << 6
 
 
@@ -276,7 +276,7 @@ def _block_links(least: int, percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 16, depth: int = 6, block: int = 2048, draws: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 16, depth: int = 6, block: int = 2048, draws: int = 3, scratch: Scratch | None = None
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id), a row for each row of docs.
 
@@ -289,11 +289,12 @@ def near_duplicates(
 
     What can be missed: a pair at 0.8 meets in no root node with probability 0.2**trees, and each further level
     that a crowded node makes it pass keeps about 1.25 * 0.8 nodes of it; its sketches disagree too much with
-    probability 1.2e-6. ``draws`` is how often a crowded node draws hubs anew before it branches.
+    probability 1.2e-6. ``draws`` is how often a crowded node draws hubs anew before it branches. The
+    rows are read from three tables of ``scratch``, which the caller can drop when done.
     """
     spark = docs.sparkSession
     tune(spark)
-    t = Scratch(spark)
+    t = scratch or Scratch(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     features = t.put(texts.mapInArrow(_features(words), "doc_id long, n_shingles long, x long, y long, tokens binary, sketch binary"))
     same = ["x", "y", "n_shingles"]

@@ -103,3 +103,34 @@ def test_quotas_add_up(spark):
 def test_no_rows(spark):
     sizes, blocks = mix(spark.createDataFrame([], "doc_id long, text string, source string"))
     assert sizes.count() == 0 and blocks.count() == 0
+
+
+def test_rows_go_where_their_blocks_go(spark):
+    rows, docs = corpus(spark)
+    docs = docs.selectExpr("*", "doc_id AS shard", "'k' AS order_key", "1 AS _taken", "2 AS rank", "3 AS epoch", "4 AS _mix", "5 AS row").repartition(3)
+    sizes, blocks = mix(docs, block_words=0, shards=5)
+    want = defaultdict(int)
+    for r in blocks.collect():
+        want[r.doc_id] += 1
+    for ordered in (True, False):
+        out = mixed_documents(docs, blocks, ordered=ordered)
+        assert out.columns == docs.columns
+        got = defaultdict(int)
+        for r in out.collect():
+            got[r.doc_id] += 1
+            assert (r.shard, r.order_key, r._taken, r["rank"], r.epoch, r._mix, r["row"]) == (r.doc_id, "k", 1, 2, 3, 4, 5)
+        assert got == want
+
+
+def test_shards_of_documents(spark):
+    _, docs = corpus(spark)
+    for shards in (1, 5):
+        sizes, blocks = mix(docs, block_words=16, shards=shards)
+        held, quota = defaultdict(set), defaultdict(int)
+        for r in blocks.collect():
+            held[r.doc_id].add(r.shard)
+            quota[r["rank"], r.shard] += 1
+        got = taken(sizes, blocks).collect()
+        assert all(r.shards == ",".join(map(str, sorted(held[r.doc_id]))) and (r.taken > 0) == bool(r.shards) for r in got)
+        asked = spark.createDataFrame([(k, sum(n for (rank, _), n in quota.items() if rank == k)) for k in {rank for rank, _ in quota}], "rank int, quota long")
+        assert {(r["rank"], r.shard): r.quota for r in shard_quotas(asked, shards, 17).collect() if r.quota} == dict(quota)

@@ -50,3 +50,42 @@ def test_equal_to_brute_force(spark):
 
 def test_no_rows(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_group_of_near_copies_and_a_long_text(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(100)], []
+    for i in range(900):  # copies with 0 to 12 words changed: most pairs lie below the threshold, chains join many
+        text = list(base)
+        for _ in range(rng.randrange(13)):
+            text[rng.randrange(100)] = word()
+        rows.append((i, " ".join(text)))
+    long = [word() for _ in range(60_000)]
+    rows += [(2000, " ".join(long)), (2001, " ".join(long[:-5])), (2002, " ".join(long[:40_000])), (2003, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, words=4).collect()}
+    assert got == brute(rows, 4)
+
+
+def test_null_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (None, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id) == [(1, 2, 1, True)]
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 3
+
+
+def test_sketches_rank_pairs_as_similarity_does():
+    import numpy as np
+
+    from tesselune.llm.neardup import agreement, least_agreement, signatures, sketches
+
+    rng, least, lost = np.random.default_rng(2), least_agreement(80), 0
+    for size in (5, 40, 400):
+        for _ in range(300):  # pairs at 0.8: 8 of 10 parts shared
+            both = rng.integers(0, 1 << 63, size * 2, dtype=np.uint64)
+            one = sketches(signatures([both[: int(size * 1.8)], both[int(size * 0.2) :]])).view(np.uint64)
+            lost += agreement(one[:1], one[1:])[0] < least
+    assert lost == 0
+    apart = sketches(signatures([rng.integers(0, 1 << 63, 100, dtype=np.uint64) for _ in range(200)])).view(np.uint64)
+    assert agreement(apart[1:], apart[:1]).max() < least
