@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesselune.operators.ranges import banded
+
 
 def natural_order(spark: SparkSession, width: int = 1, height: int = 1) -> DataFrame:
     """(place, index) of the scan of a block of width x height cells of 8 x 8, width a multiple of height: the
@@ -109,9 +111,10 @@ def merge_quads(costs: DataFrame, merged: DataFrame) -> DataFrame:
 
 def predicted_nonzeros(counts: DataFrame) -> DataFrame:
     """Adds predicted to (image_id, channel, y, x, nz): the mean of above and left, rounded up; one of them at an edge; 32 at the origin."""
-    line, column = Window.partitionBy("image_id", "channel", "y").orderBy("x"), Window.partitionBy("image_id", "channel", "x").orderBy("y")
-    out = counts.repartition("image_id", "channel").withColumn("_l", F.lag("nz").over(line)).withColumn("_t", F.lag("nz").over(column))
-    return out.withColumn("predicted", F.coalesce(F.shiftright(F.col("_l") + F.col("_t") + 1, 1), "_t", "_l", F.lit(32))).drop("_l", "_t")
+    keys = ("image_id", "channel")
+    line, column = Window.partitionBy(*keys, "_band", "y").orderBy("x"), Window.partitionBy(*keys, "_band", "x").orderBy("y")
+    out = banded(counts, keys, above=1).withColumn("_l", F.lag("nz").over(line)).withColumn("_t", F.lag("nz").over(column)).where("_own")
+    return out.withColumn("predicted", F.coalesce(F.shiftright(F.col("_l") + F.col("_t") + 1, 1), "_t", "_l", F.lit(32))).drop("_l", "_t", "_band", "_own")
 
 
 def nonzero_context(predicted: Column, block: Column, clusters: int = 15) -> Column:

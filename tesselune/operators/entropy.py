@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselune.functions.codes import bit_length
+from tesselune.operators.ranges import before
 
 #: Frequencies of a table add up to this.
 TABLE = 4096
@@ -102,18 +103,15 @@ def octiles(values: DataFrame, key: str, value: str) -> DataFrame:
 def uniform_subsample(rows: DataFrame, order: str, most: int) -> DataFrame:
     """The rows at places floor(i * n / most) of an order; all if there are no more than ``most``.
 
-    The place is a global rank, so rows are ranked within ranges of ``order`` and the ranges' counts added up.
+    The place is a global rank, so rows are ranked within ranges of ``order``, a number, and the ranges' counts
+    added up.
     """
-    spread = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    spread = spread.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    parts = spread.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy()))
-    out = spread.join(parts, "_part").withColumn("_place", F.col("_before") + F.col("_local"))
+    out = before(rows, (), order, F.lit(1).cast("long")).withColumnRenamed("_before", "_place")
+    out = out.join(F.broadcast(rows.agg(F.count("*").alias("_n"))))  # one row
     # place = floor(i * n / most) for some i exactly if ceil(place * most / n) * n / most falls below place + 1
     i = F.expr(f"CAST(ceil(_place * {most} / _n) AS bigint)")
     hit = (F.col("_n") <= most) | ((i < most) & (F.expr(f"CAST(ceil(_place * {most} / _n) AS bigint) * _n div {most}") == F.col("_place")))
-    return out.where(hit).drop("_part", "_local", "_c", "_before", "_n", "_place")
+    return out.where(hit).drop("_n", "_place")
 
 
 def best_split(tokens: DataFrame, key: str, prop: str) -> DataFrame:

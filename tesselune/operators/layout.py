@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesselune.operators.ranges import before
+
 
 def crop(samples: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
     """The rectangle's samples, with coordinates from its corner; the filter reaches the scan where it can."""
@@ -27,9 +29,8 @@ def out_of_range(samples: DataFrame, bits: int) -> DataFrame:
 
 
 def prefix_offsets(rows: DataFrame, keys: tuple[str, ...], order: str, size: str, out: str) -> DataFrame:
-    """Adds the sum of the sizes before a row, by keys in an order."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(out, F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    """Adds the sum of the sizes before a row, by keys in an order (a number); a hot key is cut into ranges of it."""
+    return before(rows, keys, order, F.col(size)).withColumn(out, F.col("_before").cast("long")).drop("_before")
 
 
 def section_count(groups: Column, dc_groups: Column, passes: Column) -> Column:
@@ -45,7 +46,3 @@ def joined_parts(parts: DataFrame, key: str, seq: str, payload: str, first: int
     complete = (F.col("d") == F.col("parts")) & (F.col("lo") == first) & (F.col("hi") == first + F.col("parts") - 1)
     return per.select(key, "parts", complete.alias("complete"), F.array_join(F.transform("a", lambda e: e["p"]), "").alias("joined"))
 
-
-def tree_bins(value: Column, thresholds: list[int]) -> Column:
-    """The bin of a value among sorted thresholds: how many it exceeds."""
-    return sum((F.when(value > t, 1).otherwise(0) for t in thresholds), F.lit(0))

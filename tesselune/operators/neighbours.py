@@ -1,7 +1,7 @@
 """Neighbourhoods of samples, predictors over them and decision trees on their properties.
 
-Samples of a raster are dealt out by image, channel and, where tiled, tile; both the line and the column
-windows ask for no more than that, so one shuffle serves them.
+Samples of a raster are dealt out by image, channel and, where tiled, tile, in bands of lines with the two lines
+before as a halo; both the line and the column windows ask for no more than that, so one shuffle serves them.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselune.functions.codes import hybrid_uint, zigzag
+from tesselune.operators.ranges import banded
 
 
 def tiled(samples: DataFrame, size: int) -> DataFrame:
@@ -17,18 +18,23 @@ def tiled(samples: DataFrame, size: int) -> DataFrame:
     return samples.withColumn("gy", F.floor(F.col("y") / size)).withColumn("gx", F.floor(F.col("x") / size))
 
 
-def neighbours(samples: DataFrame, keys: tuple[str, ...] = ("image_id", "channel")) -> DataFrame:
-    """Adds w, n, nw, ne, ww, nn. At edges: w falls back to n, then 0; n to w; nw to w, or n in the first
-    column; ne to n; ww to w; nn to n."""
-    line, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
-    out = samples.repartition(*keys)
+def neighbours(samples: DataFrame, keys: tuple[str, ...] = ("image_id", "channel"), edges: bool = False) -> DataFrame:
+    """Adds w, n, nw, ne, ww, nn; with ``edges`` also top and left, whether a sample is in the first line or column.
+
+    At edges: w falls back to n, then 0; n to w; nw to w, or n in the first column; ne to n; ww to w; nn to n.
+    """
+    line, column = Window.partitionBy(*keys, "_band", "y").orderBy("x"), Window.partitionBy(*keys, "_band", "x").orderBy("y")
+    out = banded(samples, keys, above=2)
     out = out.withColumn("_n", F.lag("v").over(column)).withColumn("_nn", F.lag("v", 2).over(column))
     out = out.select("*", *[f(c, k).over(line).alias(a) for a, f, c, k in (("_w", F.lag, "v", 1), ("_ww", F.lag, "v", 2), ("_nw", F.lag, "_n", 1), ("_ne", F.lead, "_n", 1), ("_first", F.lag, "x", 1))])
+    out = out.where("_own")
+    if edges:
+        out = out.withColumns({"top": F.col("_n").isNull(), "left": F.col("_first").isNull()})
     out = out.withColumn("w", F.coalesce("_w", "_n", F.lit(0)))
     out = out.withColumn("n", F.coalesce("_n", "w"))
     out = out.withColumn("nw", F.coalesce("_nw", F.when(F.col("_first").isNotNull(), F.col("w")).otherwise(F.col("n"))))
     out = out.withColumns({"ne": F.coalesce("_ne", "n"), "ww": F.coalesce("_ww", "w"), "nn": F.coalesce("_nn", "n")})
-    return out.drop("_n", "_nn", "_w", "_ww", "_nw", "_ne", "_first")
+    return out.drop("_n", "_nn", "_w", "_ww", "_nw", "_ne", "_first", "_band", "_own")
 
 
 def gradient(w: Column, n: Column, nw: Column) -> Column:
@@ -81,11 +87,9 @@ def residual_tokens(samples: DataFrame, kind: int = 5, split: int = 4, msb: int
 
 def plane_residuals(samples: DataFrame, keys: tuple[str, ...] = ("image_id", "channel")) -> DataFrame:
     """Residuals of a whole plane: the first sample as it is, the first line by w, the first column by n, else the gradient."""
-    out = neighbours(samples, keys)
-    low = out.withColumn("px", F.min("x").over(Window.partitionBy(*keys))).withColumn("py", F.min("y").over(Window.partitionBy(*keys)))
-    top, left = F.col("y") == F.col("py"), F.col("x") == F.col("px")
+    out, top, left = neighbours(samples, keys, edges=True), F.col("top"), F.col("left")
     guess = F.when(top & left, 0).when(top, F.col("w")).when(left, F.col("n")).otherwise(gradient(F.col("w"), F.col("n"), F.col("nw")))
-    return low.withColumn("residual", F.col("v") - guess).drop("px", "py")
+    return out.withColumn("residual", F.col("v") - guess).drop("top", "left")
 
 
 def lossless_jpeg_residuals(samples: DataFrame, kind: int, precision: int = 8) -> DataFrame:

@@ -1,7 +1,7 @@
 """Stencil filters over rasters: a weighted sum of the samples around each sample.
 
-Lines are gathered tile by tile with a halo, so a sample meets its neighbours inside one group of bounded
-size whatever the image's size, in one shuffle; no join of offsets with pixels is needed.
+Lines are gathered by bands with a halo, so a sample meets its neighbours inside one group of a bounded number of
+lines whatever the image's height, in one shuffle; no join of offsets with pixels is needed.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselune.operators.ranges import banded
+
 
 def mirrored(at: Column, size: Column) -> Column:
     """A coordinate at most ``size`` outside, reflected at the edges: -1 is 0, size is size - 1."""
@@ -42,20 +44,20 @@ def sharpen_weights() -> dict[tuple[int, int], float]:
 def stencil(samples: DataFrame, weights: dict[tuple[int, int], float], edge=clamped, out: str = "filtered") -> DataFrame:
     """(image_id, channel, y, x, v, out): the weighted sum around each sample, v outside the image taken by ``edge``.
 
-    Columns of a line are neighbours in an array, lines above and below in a window, both by image and channel.
+    Columns of a line are neighbours in an array, lines above and below in a window by bands with a halo.
     """
-    keys = ("image_id", "channel")
-    rows = samples.groupBy(*keys, "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", F.col("v").cast("double").alias("v")))), lambda s: s["v"]).alias("line"), F.min("x").alias("x0"))
-    down = Window.partitionBy(*keys).orderBy("y")
-    far = max(abs(dy) for dy, _ in weights)
-    size = F.count("*").over(Window.partitionBy(*keys))
-    rows = rows.withColumns({"h": size, "iy": F.row_number().over(down) - 1})
-    lines = {0: F.col("line")}
+    keys, far = ("image_id", "channel"), max(abs(dy) for dy, _ in weights)
+    banded_rows = banded(samples, keys, above=2 * far, below=2 * far)
+    line = F.transform(F.array_sort(F.collect_list(F.struct("x", F.col("v").cast("double").alias("v")))), lambda s: s["v"])
+    rows = banded_rows.groupBy(*keys, "_band", "_own", "y").agg(line.alias("line"), F.min("x").alias("x0"))
+    down = Window.partitionBy(*keys, "_band").orderBy("y")
     reach = range(-2 * far, 2 * far + 1)
-    rows = rows.select("*", *[F.lag("line", -d).over(down).alias(f"l{d + 2 * far}") for d in reach])
+    rows = rows.select("*", *[F.lag("line", -d).over(down).alias(f"l{d + 2 * far}") for d in reach]).where("_own")
+    # a line that is missing lies outside the image: so far its edge is known, and further no weight reaches
+    up, below = (sum((F.col(f"l{d + 2 * far}").isNotNull().cast("long") for d in reach if d * side > 0), F.lit(0)) for side in (-1, 1))
     picked = {}
     for dy in sorted({dy for dy, _ in weights}):
-        at = edge((F.col("iy") + dy).cast("long"), F.col("h")) - F.col("iy")
+        at = edge((up + dy).cast("long"), up + 1 + below) - up
         choice = F.lit(None).cast("array<double>")
         for d in reach:
             choice = F.when(at == d, F.col(f"l{d + 2 * far}")).otherwise(choice)
@@ -74,12 +76,12 @@ def stencil(samples: DataFrame, weights: dict[tuple[int, int], float], edge=clam
 def smooth_dc(dc: DataFrame, steps: tuple[float, ...] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Adaptive smoothing of three channels (columns c0, c1, c2 by image_id, y, x) inside the border: each moves
     toward its 3x3 mean by a factor that falls from 1 to 0 as the largest change, in steps, grows to 3/4."""
-    line, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    out = dc.repartition("image_id")
+    line, column = Window.partitionBy("image_id", "_band", "y").orderBy("x"), Window.partitionBy("image_id", "_band", "x").orderBy("y")
+    out = banded(dc, ("image_id",), above=1, below=1)
     names = ("c0", "c1", "c2")
     out = out.select("*", *[f(c).over(column).alias(f"{c}_{k}") for c in names for k, f in (("u", F.lag), ("d", F.lead))])
     sides = {"l": F.lag, "r": F.lead}
-    out = out.select("*", *[f(f"{c}{v}").over(line).alias(f"{c}{v}_{k}") for c in names for v in ("", "_u", "_d") for k, f in sides.items()])
+    out = out.select("*", *[f(f"{c}{v}").over(line).alias(f"{c}{v}_{k}") for c in names for v in ("", "_u", "_d") for k, f in sides.items()]).where("_own")
     smooth = {c: SMOOTHING[0] * F.col(c) + SMOOTHING[1] * ((F.col(f"{c}_u") + F.col(f"{c}_d")) + (F.col(f"{c}_l") + F.col(f"{c}_r"))) + SMOOTHING[2] * ((F.col(f"{c}_u_l") + F.col(f"{c}_u_r")) + (F.col(f"{c}_d_l") + F.col(f"{c}_d_r"))) for c in names}
     gap = F.greatest(*[F.abs(F.col(c) - smooth[c]) / s for c, s in zip(names, steps, strict=True)])
     inside = F.col("c0_u_l").isNotNull() & F.col("c0_d_r").isNotNull()

@@ -221,11 +221,11 @@ def rct_gate_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN px.i < 25 THEN b WHEN px.i < 89 THEN ((((px.i - 25) >> 4 & 3) * 255) >> 2) + 32 ELSE 0 END AS b
     FROM px LEFT JOIN pal ON px.i = pal.i""")
 def palette_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = rasters.table(spark, sf_dir, "nation").limit(256)
+    nation = rasters.table(spark, sf_dir, "nation")
     pal = nation.select(F.col("n_nationkey").cast("long").alias("i"), *[(F.col("n_nationkey") * m % 256).cast("long").alias(f"p{k}") for k, m in enumerate((37, 91, 53))])
     px = rasters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 100).alias("i"))
     cube = [F.shiftright(F.shiftright(F.col("i") - 25, 2 * c).bitwiseAND(3) * 255, 2) + 32 for c in range(3)]
-    out = px.join(F.broadcast(pal), "i", "left")
+    out = px.join(pal, "i", "left")
     return out.select("k", "i", *[F.when(F.col("i") < 25, F.col(f"p{c}")).when(F.col("i") < 89, cube[c]).otherwise(0).cast("long").alias("rgb"[c]) for c in range(3)])
 
 
@@ -282,13 +282,13 @@ _CLASS = "CASE WHEN {b} BETWEEN 65 AND 90 OR {b} BETWEEN 97 AND 122 THEN 0 WHEN
           + 8 * ({_CLASS.format(b='b2')} WHEN b2 < 16 THEN 2 WHEN b2 > 240 THEN 3 ELSE 4 END) END AS context FROM pr)
     SELECT context, count(*) AS n FROM k GROUP BY context""")
 def icc_byte_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every byte of the texts; a document's bytes are an array, so no shuffle is needed before the counts."""
-    hexed = F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    rows = rasters.table(spark, sf_dir, "documents").select(hexed.alias("h")).where("h <> ''")
-    bytes_ = rows.select(F.transform(F.expr("sequence(0, length(h) div 2 - 1)"), lambda k: F.conv(F.substring("h", 2 * k + 1, F.lit(2)), 16, 10).cast("int")).alias("b"))
-    at = bytes_.select("b", F.explode(F.expr("sequence(0, size(b) - 1)")).alias("pos"))
-    before, before2 = (F.when(F.col("pos") >= d, F.get("b", F.greatest(F.col("pos") - d, F.lit(0)))).otherwise(0) for d in (1, 2))
-    return at.groupBy(codes.icc_context(F.col("pos"), before, before2).cast("int").alias("context")).agg(F.count("*").alias("n"))
+    """Every byte of the texts, by the two bytes before it: pairs are counted first, and contexts made of the few that differ."""
+    rows = rasters.table(spark, sf_dir, "documents").select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("t")).where("length(t) > 0")
+    at = rows.select("t", F.explode(F.expr("sequence(0, length(t) - 1)")).alias("pos"))
+    pairs = at.groupBy(F.expr("IF(pos > 128, substring(t, pos - 1, 2), NULL)").alias("pair")).agg(F.count("*").alias("n"))
+    b2, b1 = (F.conv(F.hex(F.substring("pair", k, 1)), 16, 10).cast("int") for k in (1, 2))
+    context = F.when(F.col("pair").isNull(), 0).otherwise(codes.icc_context(F.lit(129), b1, b2))
+    return pairs.groupBy(context.cast("int").alias("context")).agg(F.sum("n").alias("n"))
 
 
 # ---- histograms and codes -----------------------------------------------------------------------

@@ -57,10 +57,3 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sequence of frames for each user: (sequence_id, i, duration)."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("sequence_id"), F.col("event_id").alias("i"), (F.col("event_id") % 7 + 1).alias("duration"))
 
-
-def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of the documents' UTF-8 texts: (doc_id, pos, byte)."""
-    hexed = F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", hexed.alias("h"))
-    rows = rows.where("h <> ''").select("doc_id", "h", F.explode(F.expr("sequence(1, length(h) div 2)")).alias("k"))
-    return rows.select("doc_id", (F.col("k") - 1).cast("long").alias("pos"), F.conv(F.substring("h", 2 * F.col("k") - 1, F.lit(2)), 16, 10).cast("int").alias("byte"))

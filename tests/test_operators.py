@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tesselune.operators import layout, neighbours, recurrences, tiles
+from tesselune.operators import layout, neighbours, ranges, recurrences, stencils, tiles
 from tesselune.operators.weighted import weighted_residuals, weighted_samples
 from tesselune.sources import rasters
 
@@ -43,3 +43,33 @@ def test_parts_with_a_gap_or_a_repeat_are_not_complete(spark):
     rows = [(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 2, "c"), (3, 0, "a"), (3, 0, "a"), (4, 1, "z")]
     got = {r.k: (r.complete, r.joined) for r in layout.joined_parts(spark.createDataFrame(rows, "k int, s int, p string"), "k", "s", "p").collect()}
     assert got == {1: (True, "ab"), 2: (False, "ac"), 3: (False, "aa"), 4: (False, "z")}
+
+
+def dealt_by_band(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "SinglePartition" not in plan and "_band" in plan.split("hashpartitioning(", 1)[1].split(")")[0]
+
+
+def test_a_large_image_is_dealt_out_by_bands(spark):
+    tall = rasters.closed_form(spark, 3, 2000, (F.col("x") * 7 + F.col("y") * 3) % 251)
+    near = neighbours.neighbours(tall)
+    assert dealt_by_band(near)
+    value = lambda y, x: (x * 7 + y * 3) % 251
+    for r in near.where("y IN (63, 64, 65, 127, 128, 129) AND x = 1").collect():
+        assert (r.n, r.nn, r.nw, r.ne, r.w) == (value(r.y - 1, 1), value(r.y - 2, 1), value(r.y - 1, 0), value(r.y - 1, 2), value(r.y, 0))
+    soft = stencils.stencil(tall, stencils.sharpen_weights(), stencils.mirrored)
+    assert dealt_by_band(soft)
+    got = {r.y: r.filtered for r in soft.where("x = 1").collect()}
+    at = lambda k, n: -k - 1 if k < 0 else 2 * n - 1 - k if k >= n else k
+    for y in (0, 1, 62, 63, 64, 65, 1998, 1999):
+        want = sum(w * value(at(y + dy, 2000), at(1 + dx, 3)) for (dy, dx), w in stencils.sharpen_weights().items())
+        assert abs(got[y] - want) < 1e-9
+
+
+def test_sums_before_a_row_across_ranges(spark):
+    rows = spark.range(5000).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS k", "id AS o", "id % 11 AS s")
+    total = {}
+    for r in sorted(ranges.before(rows, ("k",), "o", F.col("s")).collect(), key=lambda r: r.o):
+        assert r._before == total.get(r.k, 0)
+        total[r.k] = total.get(r.k, 0) + r.s
+    assert ranges.before(rows.limit(0), ("k",), "o", F.col("s")).count() == 0
