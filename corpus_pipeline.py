@@ -26,7 +26,7 @@ def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; those it was not taught on are scored alike."""
     scores = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), carry=True)
-    return scores.where("predicted = 1").select(docs.columns)
+    return scores.where("predicted = 1").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

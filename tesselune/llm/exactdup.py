@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, shared_dir, small, stored, tune
+from .common import Scratch, small, tune
 
 _HEAD = struct.Struct("<BBQQ")
 
@@ -52,10 +52,7 @@ class QuotientFilter:
 
     def merge(self, other: QuotientFilter) -> QuotientFilter:
         """Counts add up; nothing is lost."""
-        both, place = np.unique(np.concatenate([self.prints(), other.prints()]), return_inverse=True)
-        counts = np.zeros(len(both), np.int64)
-        np.add.at(counts, place, np.concatenate([self.counts, other.counts]))
-        return QuotientFilter(both, counts, self.bits)
+        return QuotientFilter(*_summed((self.prints(), self.counts), (other.prints(), other.counts)), self.bits)
 
     def to_bytes(self) -> bytes:
         width = (self.bits - self.quotient_bits + 7) // 8
@@ -91,20 +88,29 @@ class QuotientFilter:
         return out
 
 
+def _summed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of (distinct fingerprints, counts) as one."""
+    prints, counts = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(prints, kind="stable")  # merges two sorted runs
+    prints, counts = prints[order], counts[order]
+    first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1])) if len(prints) else np.zeros(0, np.int64)
+    return prints[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def _filters(slice_bits: int):
     """Of each partition: a filter for each slice that has fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, np.uint64)
-        counts = np.zeros(0, np.int64)
+        runs: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            new = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            own, place = np.unique(np.concatenate([own, new]), return_inverse=True)
-            total = np.zeros(len(own), np.int64)
-            np.add.at(total, place, np.concatenate([counts, np.ones(len(new), np.int64)]))
-            counts = total
-        if not len(own):
+            runs.append(np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), return_counts=True))
+            while len(runs) > 1 and len(runs[-2][0]) <= 2 * len(runs[-1][0]):  # each fingerprint is merged a logarithm of times
+                runs[-2:] = [_summed(*runs[-2:])]
+        while len(runs) > 1:
+            runs[-2:] = [_summed(*runs[-2:])]
+        if not runs or not len(runs[0][0]):
             return
+        own, counts = runs[0]
         bits = 64 - slice_bits
         ids = (own >> np.uint64(bits)).astype(np.int64) if slice_bits else np.zeros(len(own), np.int64)
         low = own & np.uint64((1 << bits) - 1)
@@ -143,25 +149,29 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, keep_id, group_size, kept, text_sha256), a row for each input row.
 
     Texts are equal when the same after lower-casing A-Z; a null text is an empty one. Of a group the
-    largest id stays. Ids must be unique; other columns are not looked at. An empty table gives no rows.
+    largest id stays; a null id is smaller than any, and of rows that share the largest id one stays. keep_id is
+    null only where all ids of a group are. Other columns are not looked at. An empty table gives no rows.
     """
     spark = docs.sparkSession
     tune(spark)
     upper = "".join(map(chr, range(65, 91)))
     norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), upper, upper.lower())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
-    path, repeats_path = shared_dir(spark), shared_dir(spark)
-    base = stored(texts.select("doc_id", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256")), path)
-    repeats = stored(repeated_fingerprints(base), repeats_path).select("fp")
+    t = Scratch(spark)
+    base = t.put(texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256")))
+    repeats = t.put(repeated_fingerprints(base))
     n = repeats.count()
-    routed = texts.withColumn("fp", F.xxhash64("norm")).join(small(repeats, n, 16), "fp", "left_semi")
+    routed = texts.withColumn("fp", F.xxhash64("norm")).join(small(repeats.select("fp"), n, 16), "fp", "left_semi")
     groups = routed.groupBy("fp", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = stored(groups.select("fp", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
-    remove(spark, repeats_path)
-    return base.join(small(groups, n, 120), ["fp", "text_sha256"], "left").select(
+    groups = t.put(groups.select("fp", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
+    t.drop(repeats)
+    same = ["fp", "text_sha256"]
+    stays = base.join(small(groups, n, 120), same).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*same).agg(F.min("row").alias("stays"))
+    groups = t.put(groups.join(stays, same))
+    return base.join(small(groups, n, 128), same, "left").select(
         "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("keep_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("row") == F.col("stays"), F.lit(True)).alias("kept"),
         "text_sha256",
     )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tune
+from .common import small, tune
 from .textkernel import NOT_ALNUM, Words, slices, stream
 
 BUCKETS, DIMENSIONS, NONZERO, NEIGHBOURS = 1 << 14, 48, 3, 2
@@ -168,18 +168,22 @@ def fit_temperature(margin: np.ndarray, y: np.ndarray) -> float:
     return float(grid[np.argmin([np.logaddexp(0, -sign * margin / t).mean() for t in grid])])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, most: int) -> DataFrame:
-    """(doc_id, y, fold, text) of at most ``most`` labelled rows outside fold 0, first by a hash of their id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, most: int, text_col: str = "text") -> DataFrame:
+    """(doc_id, y, fold, text) of at most ``most`` labelled ids outside fold 0, first by a hash of their id.
+
+    One row an id: of rows that repeat an id the least text counts, and of repeated labels any one.
+    """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)).cast("int")
-    rows = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("y"), fold.alias("fold"))
+    rows = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"), fold.alias("fold"))
     rows = rows.where("fold <> 0").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col(id_col).alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(small(rows, most, 32), "doc_id").groupBy("doc_id", "y", "fold").agg(F.min("text").alias("text"))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", sample: int = SAMPLE, text_col: str = "text") -> tuple[np.ndarray, Network]:
     """Word vectors of all documents, and a network fitted on at most ``sample`` labelled rows outside fold 0."""
     tune(docs.sparkSession)
-    vectors = word_vectors(docs)
+    vectors = word_vectors(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +192,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
                 pooled = _pooled(batch.column(3), shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in pooled], pa.binary())], ["doc_id", "y", "fold", "x"])
 
-    rows = labelled_sample(docs, labels, label, id_col, sample).select("doc_id", "y", "fold", "text").mapInArrow(features, "doc_id long, y int, fold int, x binary")
+    rows = labelled_sample(docs, labels, label, id_col, sample, text_col).select("doc_id", "y", "fold", "text").mapInArrow(features, "doc_id long, y int, fold int, x binary")
     rows = sorted(rows.collect(), key=lambda r: r.doc_id)
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, FEATURES).astype(np.float64)
     y, fold = np.array([r.y for r in rows], np.int64), np.array([r.fold for r in rows], np.int64)
@@ -196,27 +200,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, carry: bool = False) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row, and with ``carry`` the columns of docs as they are.
+    """(doc_id, held_out, score, predicted) of every row; with ``carry``, row, a struct of all columns of docs, for doc_id.
 
     A null or empty text has no words and gets the score of a document of zeros. held_out: the crc32 of the
     id as text leaves 0 modulo 5, so its label was not used. predicted is 1 from ``threshold`` on. Equal
-    texts score alike; an empty table gives no rows. With ``carry`` the columns held_out, score and predicted
-    stand in for columns of docs so named; otherwise other columns are ignored.
+    texts score alike; an empty table gives no rows. Other columns are ignored, or carried
+    in row whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     tune(docs.sparkSession)
-    kept = [c for c in docs.columns if carry and c not in ("held_out", "score", "predicted")] or [id_col]
-    rows = docs.select(*[F.col(c) for c in kept], F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.struct(*docs.columns).alias("row")] * carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for batch in batches:
             if batch.num_rows:
-                score = net.score(_pooled(batch.column(len(kept)), vectors).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(score)], [*kept, "score"])
+                score = net.score(_pooled(batch.column(1), vectors).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(2)] if carry else []), pa.array(score)], ["doc_id", *["row"] * carry, "score"])
 
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField("row", docs.schema)] * carry, T.StructField("score", T.DoubleType())])
     scored = rows.mapInArrow(run, schema)
-    held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(False))
-    first = [F.col(c) for c in kept] if carry else [F.col(id_col).cast("long").alias("doc_id")]
-    return scored.select(*first, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    return scored.select("row" if carry else "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -37,20 +37,30 @@ ALLOWED = (
 _SPANS = "array<struct<start:bigint,end:bigint,hit:string>>"
 
 
+#: Matches that one fold appends, so that a text of many costs no more a match than one of few.
+RUN = 256
+
+
 def _places(kind: str) -> Column:
     """array<struct<start, end, hit>> from the columns of a kind's matches and of the gaps around them.
 
-    The gaps come from a split by the same pattern, so places, in code points, are running sums of lengths.
+    The gaps come from a split by the same pattern, so places, in code points, are running sums of lengths:
+    within runs of ``RUN`` matches, and over the runs.
     """
-    return F.expr(f"""
-        IF(size({kind}_hit) = 0, CAST(array() AS {_SPANS}), aggregate(
-          arrays_zip({kind}_gap, {kind}_hit),
+    # what a lambda reads many times is bound to a variable first: a column may be computed anew at each reading
+    fold = f"""aggregate(slice(found, CAST(r * {RUN} + 1 AS int), {RUN}),
           named_struct('at', 0L, 'out', CAST(array() AS {_SPANS})),
-          (a, x) -> named_struct(
-            'at', a.at + char_length(x.{kind}_gap) + coalesce(char_length(x.{kind}_hit), 0),
-            'out', IF(x.{kind}_hit IS NULL, a.out, concat(a.out, array(named_struct(
-              'start', a.at + char_length(x.{kind}_gap), 'end', a.at + char_length(x.{kind}_gap) + char_length(x.{kind}_hit), 'hit', x.{kind}_hit))))),
-          a -> a.out))""")
+          (a, x) -> named_struct('at', a.at + x.gap + x.len, 'out', concat(a.out, array(named_struct(
+            'start', a.at + x.gap, 'end', a.at + x.gap + x.len, 'hit', x.hit)))))"""
+    found = f"""transform(filter(arrays_zip({kind}_gap, {kind}_hit), x -> x.{kind}_hit IS NOT NULL), x -> named_struct(
+          'gap', CAST(char_length(x.{kind}_gap) AS bigint), 'len', CAST(char_length(x.{kind}_hit) AS bigint), 'hit', x.{kind}_hit))"""
+    return F.expr(f"""
+        IF(size({kind}_hit) = 0, CAST(array() AS {_SPANS}), element_at(transform(
+          transform(array({found}), found -> transform(sequence(0, (size(found) - 1) div {RUN}), r -> {fold})),
+          runs -> flatten(zip_with(
+            runs,
+            aggregate(runs, named_struct('at', 0L, 'out', CAST(array() AS array<bigint>)), (a, r) -> named_struct('at', a.at + r.at, 'out', concat(a.out, array(a.at))), a -> a.out),
+            (r, earlier) -> transform(r.out, m -> named_struct('start', m.start + earlier, 'end', m.end + earlier, 'hit', m.hit))))), 1))""")
 
 
 def _sql_list(values: list) -> str:
@@ -63,9 +73,8 @@ def _hot(kind: str, window: int, bits: float) -> str:
     table = _sql_list([f"{n * math.log2(n) if n else 0.0!r}D" for n in range(window + 1)])
     return f"""
       aggregate(
-        transform(sequence(1, char_length(c.hit)), i -> named_struct(
-          'i', i, 'new', locate(substring(c.hit, i, 1), '{alphabet}'),
-          'old', IF(i > {window}, locate(substring(c.hit, i - {window}, 1), '{alphabet}'), 0))),
+        element_at(transform(array(transform(regexp_extract_all(c.hit, '.', 0), x -> locate(x, '{alphabet}'))), places ->
+          transform(places, (p, k) -> named_struct('i', k + 1, 'new', p, 'old', IF(k >= {window}, get(places, k - {window}), 0)))), 1),
         named_struct('counts', array_repeat(0, {len(alphabet)}), 'sum', 0.0D, 'out', CAST(array() AS array<struct<start:int,end:int>>)),
         (b, x) -> element_at(transform(array(b), a -> element_at(transform(array(
             named_struct('counts', IF(x.old > 0, transform(a.counts, (n, k) -> n - IF(k = x.old - 1, 1, 0)), a.counts),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import small, tune
 from .quality import labelled_sample
 from .textkernel import NOT_ALNUM, Words, hash_runs, slices
 
@@ -182,7 +182,7 @@ def calibrate(net: Convolution, texts: list[np.ndarray], y: np.ndarray, weight:
         net.thresholds[lang] = float(grid[best[np.abs(grid[best] - 0.5).argmin()]])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", lang_col: str = "lang", positives: int = POSITIVES, negatives: int = NEGATIVES) -> Convolution:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", lang_col: str = "lang", positives: int = POSITIVES, negatives: int = NEGATIVES, text_col: str = "text") -> Convolution:
     """A network fitted on the bounded sample of rows outside fold 0; fold 4 of it calibrates. Labels of fold 0 are not even counted."""
     tune(docs.sparkSession)
     counts = {r.y: r.n for r in labels.where(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) != 0).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
@@ -195,10 +195,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
                 taken = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in range(4)), pa.array([found[k].tobytes() for k in keep], pa.binary())], ["doc_id", "y", "fold", "lang", "words"])
 
-    some = docs.select(F.col(id_col).alias(id_col), F.col("text"), (F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")).alias("lang"))
+    some = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"), (F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")).alias("lang"))
     parts = [labelled_sample(some.select(id_col, "text"), labels.where(F.col(label) == y), label, id_col, n) for y, n in ((1, positives), (0, negatives))]
     rows = parts[0].unionByName(parts[1])
-    lang = some.select(F.col(id_col).alias("doc_id"), "lang").join(F.broadcast(rows.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    lang = some.select(F.col(id_col).alias("doc_id"), "lang").join(small(rows.select("doc_id"), positives + negatives, 16), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("lang").alias("lang"))
     rows = rows.join(lang, "doc_id", "left").select("doc_id", "y", "fold", "lang", "text").mapInArrow(words, "doc_id long, y int, fold int, lang string, words binary")
     rows = sorted(rows.collect(), key=lambda r: r.doc_id)
     texts, y = [np.frombuffer(r.words, np.uint16).reshape(-1, 1 + len(PREFIXES)) for r in rows], np.array([r.y for r in rows], np.int64)

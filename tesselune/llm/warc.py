@@ -57,13 +57,14 @@ def resolve_revisits(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     ``changed`` as it weakly equals the target's or not; else the same by Last-Modified; ``unverified``
     with neither. headers are the target's, if resolved with the permitted ones of the revisit over them, else null.
     A null URL has no target; null headers count as none; repeated rows give repeated results; an empty table
-    gives no rows; other columns are ignored. A URL of more than ``hot_rows`` captures is cut into spans of
+    gives no rows; other columns are ignored. A record without ts has no place in time: a revisit meets no response,
+    and a response meets no revisit. A URL of more than ``hot_rows`` captures is cut into spans of
     time, and the last response before a span is carried in from the spans' own summaries; captures of one URL
     in one same instant stay together.
     """
     tune(records.sparkSession)
     header = F.coalesce("headers", F.create_map().cast("map<string,string>"))
-    full = (F.col("type") == "response") & (F.col("status") == 200)
+    full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull()
     asked = (F.col("type") == "revisit") & (F.col("profile") == NOT_MODIFIED)
     events = records.select("record_id", "ts", canonical_url(F.col("url")).alias("canonical"), F.coalesce(full, F.lit(False)).alias("full"), header.alias("headers"), F.coalesce(asked, F.lit(False)).alias("asked"))
     events = events.where("full OR asked")
@@ -106,7 +107,8 @@ def _members(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]
         while (line := lines.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
-        yield head, lines.read(int(head.get("content-length", 0)))
+        length = head.get("content-length", "0")
+        yield head, lines.read(int(length)) if length.isascii() and length.isdigit() else b""
 
 
 class _Joined(io.RawIOBase):
@@ -135,10 +137,12 @@ def _parsed(head: dict[str, str], block: bytes) -> tuple:
         for line in lines:
             name, _, value = line.partition(":")
             headers[name.strip().lower()] = value.strip()
-    date = head.get("warc-date")
     from datetime import datetime
 
-    ts = int(datetime.fromisoformat(date.replace("Z", "+00:00")).timestamp()) if date else None
+    try:
+        ts = int(datetime.fromisoformat(head.get("warc-date", "").replace("Z", "+00:00")).timestamp())
+    except (ValueError, OverflowError):
+        ts = None
     return head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), ts, head.get("warc-profile"), status, list(headers.items()), payload
 
 
@@ -149,7 +153,9 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The records of WARC files, plain or gzipped by record; a file is a task, read as a stream.
 
     Paths are what ``pyarrow.fs`` opens on the executors. Header names come lower-cased; a record without an
-    HTTP block has null status and no headers. An empty list or file gives no rows.
+    HTTP block has null status and no headers. A date that is none gives a null ts; after a Content-Length that
+    is no number the payload is empty, and reading goes on at the next line that begins a record. An empty list
+    or file gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

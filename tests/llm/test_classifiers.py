@@ -2,11 +2,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tesselune.llm.quality import FEATURES, fit_network, fit_quality, fit_temperature, score_quality
-from tesselune.llm.toxicity import ROWS, Convolution, fit_convolution, fit_toxicity, score_toxicity
+from tesselune.llm.quality import BUCKETS, DIMENSIONS, FEATURES, NEIGHBOURS, _buckets, _context_sums, _pooled, fit_network, fit_quality, fit_temperature, index_vectors, labelled_sample, score_quality
+from tesselune.llm.textkernel import slices
+from tesselune.llm.toxicity import DIMENSIONS as EMBEDDED
+from tesselune.llm.toxicity import FILTERS, ROWS, WIDTHS, Convolution, fit_convolution, fit_toxicity, score_toxicity
 
 
 def corpus(spark, n=600):
@@ -49,7 +52,9 @@ def test_quality_on_held_out_rows(spark):
     again = score_quality(docs.repartition(5), fit_quality(docs.repartition(5), labels)).collect()
     assert {r.doc_id: round(r.score, 6) for r in rows} == {r.doc_id: round(r.score, 6) for r in again}
     kept = score_quality(docs, fit_quality(docs, labels), carry=True)
-    assert kept.columns == ["doc_id", "text", "lang", "held_out", "score", "predicted"] and kept.count() == len(rows)
+    assert kept.columns == ["row", "held_out", "score", "predicted"] and kept.select("row.*").columns == docs.columns
+    carried = {r.doc_id: (r.own, round(r.score, 9)) for r in kept.select("row.doc_id", F.col("row.score").alias("own"), "score").collect()}
+    assert carried == {r.doc_id: (0.5, round(r.score, 9)) for r in rows}
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -116,3 +121,54 @@ def test_network_and_temperature():
     drawn = rng.random(4000) < 1 / (1 + np.exp(-margin))
     assert fit_temperature(3 * margin, drawn.astype(int)) == pytest.approx(3, rel=0.15)
     assert fit_temperature(margin, np.ones(4000, int)) == 1
+
+
+def test_context_sums_and_pooling_equal_plain_loops():
+    texts = pa.array(["a b, c! a", None, "", "zeta " * 7 + "b", "one", "two words", "a b c d e f g h i"])
+    docs = []
+    for _, _, data, offsets in slices(texts):
+        buckets, bounds = _buckets(data, offsets)
+        docs += [buckets[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    places, sums = index_vectors(), np.zeros((BUCKETS, DIMENSIONS))
+    for words in docs:
+        for i, w in enumerate(words):
+            for near in words[max(0, i - NEIGHBOURS) : i + NEIGHBOURS + 1]:
+                for k, at in enumerate(places[near]):
+                    sums[w, at] += 1 - 2 * (k % 2)
+    got = np.zeros_like(sums)
+    for batch in _context_sums(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+        for block, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            part = np.frombuffer(blob, "<i8").reshape(-1, DIMENSIONS)
+            got[block * len(part) : (block + 1) * len(part)] += part
+    assert np.array_equal(got, sums)
+    vectors = np.random.default_rng(6).normal(size=(BUCKETS, DIMENSIONS)).astype(np.float32)
+    pooled = _pooled(texts, vectors)
+    for words, row in zip(docs, pooled, strict=True):
+        want = np.zeros(FEATURES)
+        if words:
+            v = vectors[words].astype(np.float64)
+            likeness = [sum(v[i] @ v[i - far] for i in range(far, len(v))) / len(v) for far in (1, 2)]
+            want = np.concatenate([v.mean(0), v.std(0), [np.linalg.norm(v.mean(0)), *likeness, np.log1p(len(v)) / 10]])
+        assert np.allclose(row, want, atol=2e-3)  # spreads are differences of squares in float32
+
+
+def test_responses_equal_plain_loops():
+    rng = np.random.default_rng(5)
+    net = fit_convolution([rng.integers(0, 30000, (20, 3)).astype(np.uint16) for _ in range(40)], np.arange(40) % 2, epochs=1)
+    texts = [rng.integers(0, 30000, (n, 3)).astype(np.uint16) for n in (0, 1, 2, 5, 40)]
+    got = net.responses(texts)[0]
+    for t, row in zip(texts, got, strict=True):
+        vectors = [sum(net.embedding[int(b) + k * (ROWS // 3)] for k, b in enumerate(w)) for w in t] + [np.zeros(EMBEDDED)] * max(WIDTHS)
+        at = 0
+        for width, w, b in zip(WIDTHS, net.filters, net.bias, strict=True):
+            for f in range(FILTERS):
+                best = max(b[f] + sum(vectors[i + j] @ w[j, :, f] for j in range(width)) for i in range(max(1, len(t))))
+                assert row[at] == pytest.approx(max(best, 0), abs=1e-4)
+                at += 1
+
+
+def test_the_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (None, "x"), (3, None)] * 4, "doc_id long, body string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (None, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r.text for r in labelled_sample(docs, labels, "quality", "doc_id", 100, "body").collect()}
+    assert got == {i: t for i, t in ((1, "a"), (2, "c"), (3, None)) if zlib.crc32(str(i).encode()) % 5}

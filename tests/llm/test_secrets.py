@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 from tesselune.llm.secrets import ALLOWED, ALPHABETS, BITS, WINDOW, secrets
 
@@ -61,3 +63,14 @@ def test_secrets_equal_brute_force(spark):
 
 def test_secrets_of_no_rows(spark):
     assert secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_matches_and_a_long_candidate_take_seconds(spark):
+    rng, alphabet = random.Random(4), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    many = "é " + " ".join(f"token=abcdefgh{i:06d}" for i in range(50_000))
+    long = "".join(rng.choice(alphabet) for _ in range(80_000))
+    rows = [(1, many), (2, f"x {long}\n{long[:50]}")]
+    began = time.time()
+    out = {r.doc_id: tuple(r)[1:] for r in secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert out == {i: brute(t) for i, t in rows}

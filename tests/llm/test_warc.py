@@ -75,3 +75,19 @@ def test_files_round_trip(spark, tmp_path):
             (*r[:6], tuple(sorted((r[6] or {}).items())), r[7]) for r in rows
         )
     assert read_warc(spark, []).count() == 0
+
+
+def test_bad_lengths_and_dates(spark, tmp_path):
+    def record(i, date, length, block):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nWARC-Date: {date}\r\nContent-Length: {length}\r\n\r\n{block}\r\n\r\n"
+
+    text = record(1, "soon", 3, "abc") + record(2, "2020-01-01T00:00:00Z", "many", "lost") + record(3, "2020-01-01T00:00:01Z", 2, "ok") + record(4, "", -1, "x")
+    (tmp_path / "a.warc").write_text(text, newline="")
+    got = {r.record_id: (r.ts, bytes(r.payload)) for r in read_warc(spark, [f"file://{tmp_path}/a.warc"]).collect()}
+    assert got == {"<1>": (None, b"abc"), "<2>": (1577836800, b""), "<3>": (1577836801, b"ok"), "<4>": (None, b"")}
+
+
+def test_records_without_a_time_meet_nothing(spark):
+    rows = [("a", "response", "http://x/", None, None, 200, {}, None), ("b", "revisit", "http://x/", 5, NOT_MODIFIED, 304, {}, None), ("c", "response", "http://x/", 1, None, 200, {}, None), ("d", "revisit", "http://x/", None, NOT_MODIFIED, 304, {}, None)]
+    got = {r.record_id: (r.outcome, r.target_id) for r in resolve_revisits(spark.createDataFrame(rows, RECORDS), 1).collect()}
+    assert got == {"b": ("unverified", "c"), "d": ("no_response", None)}
