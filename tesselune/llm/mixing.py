@@ -176,7 +176,10 @@ def mix(
     bounds = shard_quotas(quotas, shards, seed).withColumn("end", F.sum("quota").over(ends)).groupBy("rank").agg(F.array_sort(F.collect_list("end")).alias("ends"))
     dealt = _ranked(deck.join(small(quotas.withColumnRenamed("quota", "blocks"), n, 24), "rank"), deck_key(seed))
     dealt = dealt.join(small(bounds, n, 24 + 8 * shards), "rank").withColumn("shard", F.expr("size(filter(ends, e -> e <= place))"))
-    return named.drop("rank", "rows"), dealt.select("shard", order_key(seed).alias("order_key"), "doc_id", "epoch", "block", "start", "words", "rank", F.col("u").alias("deck_key"))
+    dealt = dealt.select("shard", order_key(seed).alias("order_key"), "doc_id", "epoch", "block", "start", "words", "rank", F.col("u").alias("deck_key"))
+    dealt = t.put(dealt)
+    t.drop(deck)
+    return named.drop("rank", "rows"), dealt
 
 
 def taken(sizes: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from .textkernel import Words, mix, slices, stream, windows
 #: Signature coordinates, and the first of them, whose tokens choose the nodes.
 COORDINATES, TOKENS = 256, 64
 #: Shingles of a block of a cluster's members, and of those that ask.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 18
 #: Candidates whose sketches agree in so many standard deviations less than those of a pair at the threshold are not read.
 DEVIATIONS = 5
 
@@ -276,7 +276,7 @@ def _block_links(least: int, percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 16, depth: int = 6, block: int = 2048, draws: int = 3, scratch: Scratch | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 16, depth: int = 6, block: int = 8192, scratch: Scratch | None = None
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id), a row for each row of docs.
 
@@ -289,8 +289,8 @@ def near_duplicates(
 
     What can be missed: a pair at 0.8 meets in no root node with probability 0.2**trees, and each further level
     that a crowded node makes it pass keeps about 1.25 * 0.8 nodes of it; its sketches disagree too much with
-    probability 1.2e-6. ``draws`` is how often a crowded node draws hubs anew before it branches. The
-    rows are read from three tables of ``scratch``, which the caller can drop when done.
+    probability 1.2e-6. The rows are read from three tables of
+    ``scratch``, which the caller can drop when done.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -377,10 +377,9 @@ def near_duplicates(
 
     comp: DataFrame | None = None  # (doc, label): joined by links
     cluster: DataFrame | None = None  # (doc, label): joined by candidates
-    members, level, turn = own.select("doc", "tokens").mapInArrow(_roots(min(trees, TOKENS)), "node long, doc long"), 1, 0
+    members, level = own.select("doc", "tokens").mapInArrow(_roots(min(trees, TOKENS)), "node long, doc long"), 1
     while True:
-        turn += 1
-        rows = labelled(members, comp, "comp").withColumn("draw", F.xxhash64(F.lit(turn), "node", "doc"))
+        rows = labelled(members, comp, "comp").withColumn("draw", F.xxhash64("node", "doc"))
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("draw").alias("first"), F.max("draw").alias("second")).where("low < high").drop("low", "high")
         mixed = t.put(rows.join(nodes, "node").select("node", "n", "doc", "comp", ((F.col("draw") == F.col("first")) | (F.col("draw") == F.col("second"))).alias("hub")))
         n_hubs = mixed.where("hub").count()
@@ -388,10 +387,9 @@ def near_duplicates(
             break
         hubs = mixed.where("hub").join(signed, "doc").select("node", F.col("doc").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n_shingles").alias("n_hub"), F.col("sketch").alias("hub_sketch"))
         pairs = t.put(candidates(mixed.drop("hub"), small(hubs, n_hubs, 160)))
-        gained = 0
         if pairs.limit(1).count():
             found = links(pairs)
-            comp, cluster, gained = merged(comp, found), merged(cluster, pairs), found.limit(1).count()
+            comp, cluster = merged(comp, found), merged(cluster, pairs)
             t.drop(found)
         t.drop(pairs)
         crowd = t.put(labelled(mixed.select("node", "n", "doc"), comp, "comp"))
@@ -400,7 +398,7 @@ def near_duplicates(
         still = per.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0").select("node", F.col("top.comp").alias("main"), "others")
         left = t.put(crowd.join(still, "node"))
         t.drop(crowd)
-        last = level >= depth and (turn >= draws or not gained)
+        last = level >= depth
         asks = t.put(askers(left if last else left.where(F.col("others") <= block)))
         if asks.limit(1).count():
             found = cluster_links(asks)
@@ -410,12 +408,10 @@ def near_duplicates(
         large = left.where(F.col("others") > block)
         if last or not large.limit(1).count():
             break
-        if gained and turn < draws:
-            members = large.select("node", "doc")
-        else:
-            lists = large.groupBy("doc").agg(F.collect_set("node").alias("nodes"))
-            members = t.put(lists.join(own, "doc").select("doc", "nodes", "tokens").mapInArrow(_children, "node long, doc long").distinct())
-            level, turn = level + 1, 0
+        lists = large.groupBy("doc").agg(F.collect_set("node").alias("nodes"))
+        members = t.put(lists.join(own, "doc").select("doc", "nodes", "tokens").mapInArrow(_children, "node long, doc long").distinct())
+        t.drop(left)
+        level += 1
     t.drop_all_but(features, classes, comp)
     named = features.join(classes, same, "left").withColumn("doc", F.coalesce("doc", "doc_id"))
     out = labelled(named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("doc")).alias("doc")), comp, "comp")

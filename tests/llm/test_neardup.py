@@ -43,7 +43,7 @@ def corpus(seed=3):
 def test_equal_to_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, node int").repartition(3)
-    for words, limit, depth, block in ((4, 16, 6, 2048), (5, 3, 3, 10)):
+    for words, limit, depth, block in ((4, 16, 6, 8192), (5, 3, 3, 10)):
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, words=words, node_limit=limit, depth=depth, block=block).collect()}
         assert got == brute(rows, words)
 
