@@ -14,6 +14,16 @@ def crop(samples: DataFrame, x0: int, y0: int, width: int, height: int) -> DataF
     return samples.where(inside).withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
 
 
+def paste(samples: DataFrame, piece: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
+    """The rectangle from (x0, y0) replaced by the samples of a piece, whose coordinates count from its corner.
+
+    Samples of the piece beyond the rectangle are not written, and places that it lacks are left out.
+    """
+    inside = F.col("x").between(x0, x0 + width - 1) & F.col("y").between(y0, y0 + height - 1)
+    moved = piece.withColumns({"x": F.col("x") + x0, "y": F.col("y") + y0}).where(inside)
+    return samples.where(~inside).unionByName(moved)
+
+
 def oriented(x: Column, y: Column, width: Column, height: Column, orientation: Column) -> tuple[Column, Column]:
     """Where a sample goes under one of the eight Exif orientations."""
     right, down = width - 1 - x, height - 1 - y
@@ -46,3 +56,10 @@ def joined_parts(parts: DataFrame, key: str, seq: str, payload: str, first: int
     complete = (F.col("d") == F.col("parts")) & (F.col("lo") == first) & (F.col("hi") == first + F.col("parts") - 1)
     return per.select(key, "parts", complete.alias("complete"), F.array_join(F.transform("a", lambda e: e["p"]), "").alias("joined"))
 
+
+
+def metadata_check(entries: Column, required: Column, most: int, more: int = 0) -> tuple[Column, Column, Column]:
+    """Of a map of names to bytes: whether it has all required names, its bytes with their names and ``more`` added,
+    and whether these are at most ``most``."""
+    size = F.aggregate(F.map_entries(entries), F.lit(more).cast("long"), lambda n, e: n + F.octet_length(e["key"]) + F.octet_length(e["value"]))
+    return F.size(F.array_except(required, F.map_keys(entries))) == 0, size, size <= most

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesselune.functions import codes
+from tesselune.functions import codes, contexts
 from tesselune.operators import blocks, entropy, layout, neighbours, recurrences, smallblocks, stencils, tiles, weighted
 from tesselune.sources import rasters
 
@@ -709,3 +709,129 @@ def entropy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_RASTER} SELECT y, x, v FROM raster")
 def weighted_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.weighted_samples(weighted.weighted_residuals(rasters.embedding_raster(spark, sf_dir))).select("y", "x", "v")
+
+
+# ---- contexts, strategies and small formats -----------------------------------------------------
+
+
+@_query(f"""WITH {_PIXELS}, s AS (SELECT a, b, c, (a - 25) / 1000.0::DOUBLE AS x, b / 20.0::DOUBLE + 0.2::DOUBLE AS y, c / 20.0::DOUBLE AS z, 0.0037930732552754493::DOUBLE AS k FROM px),
+    l AS (SELECT a, b, c, pow(y + x + cbrt(k), 3) - k AS l, pow(y - x + cbrt(k), 3) - k AS m, pow(z + cbrt(k), 3) - k AS s FROM s)
+    SELECT a, b, c, round(11.031566901960783::DOUBLE * l - 9.866943921568629::DOUBLE * m - 0.16462299647058826::DOUBLE * s, 8) + 0.0 AS red,
+           round(-3.254147380392157::DOUBLE * l + 4.418770392156863::DOUBLE * m - 0.16462299647058826::DOUBLE * s, 8) + 0.0 AS green,
+           round(-3.6588512862745097::DOUBLE * l + 2.7129230470588235::DOUBLE * m + 1.9459282392156863::DOUBLE * s, 8) + 0.0 AS blue FROM l""")
+def xyb_to_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xyb = (F.col("a") - 25) / 1000.0, F.col("b") / 20.0 + 0.2, F.col("c") / 20.0
+    found = contexts.xyb_to_linear(*xyb, codes.OPSIN_BIAS)
+    return rasters.lineitem_pixels(spark, sf_dir).select("a", "b", "c", *[(F.round(v, 8) + 0.0).alias(n) for v, n in zip(found, ("red", "green", "blue"), strict=True)])
+
+
+_FREQUENCY_PARTS = [0, 0, *range(1, 15), *(15 + i // 2 for i in range(16)), *(23 + i // 4 for i in range(32))]
+_NONZERO_PARTS = [0, 0, 31, *[62] * 2, *[93] * 4, *[123] * 4, *[152] * 8, *[180] * 12, *[206] * 31]
+
+
+@_query(f"""{_QUANT}, ord AS ({_order_sql(1, 1)}),
+    s AS (SELECT place, count_if(q <> 0) OVER w AS l, lag(q) OVER o AS before, count_if(q <> 0) OVER a AS nz FROM (SELECT "by", bx, place, q FROM q JOIN ord ON index = v * 8 + u WHERE place > 0)
+          WINDOW o AS (PARTITION BY "by", bx ORDER BY place), a AS (PARTITION BY "by", bx), w AS (PARTITION BY "by", bx ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT (555 + 7 * 458 + 2 * (({_NONZERO_PARTS})[(l + 1)::BIGINT] + ({_FREQUENCY_PARTS})[place + 1]) + CASE WHEN before IS NULL THEN nz <= 4 ELSE before <> 0 END::INTEGER)::BIGINT AS context, count(*) AS n
+    FROM s WHERE l > 0 GROUP BY 1""")
+def zero_density_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of each block in scan order while non-zeros are left; the first goes by whether over 4 are not zero."""
+    order = F.broadcast(blocks.natural_order(spark).select("place", F.col("index").alias("k")))
+    block = Window.partitionBy("image_id", "channel", "by", "bx")
+    odd = F.when(F.col("q") != 0, 1).otherwise(0)
+    rows = _quantised(spark, sf_dir).join(order, "k").where("place > 0")
+    left, total = F.sum(odd).over(block.orderBy("place").rowsBetween(0, Window.unboundedFollowing)), F.sum(odd).over(block)
+    rows = rows.select("channel", "place", left.alias("left"), F.coalesce(F.lag(odd).over(block.orderBy("place")), F.when(total > 4, 0).otherwise(1)).alias("before"))
+    found = contexts.zero_density_context(F.col("left"), F.col("place"), 0, F.col("before"), contexts.block_context(F.col("channel"), F.lit(0)))
+    return rows.where(F.col("left") > 0).groupBy(found.cast("long").alias("context")).agg(F.count("*").alias("n"))
+
+
+@_query("""WITH s AS (SELECT p_partkey, p_partkey % 28 AS s, p_size % 3 AS channel FROM part),
+    d AS (SELECT *, [1, 1, 1, 1, 2, 4, 1, 2, 1, 4, 2, 4, 1, 1, 1, 1, 1, 1, 8, 4, 8, 16, 8, 16, 32, 16, 32][s + 1] AS cells_x, [1, 1, 1, 1, 2, 4, 2, 1, 4, 1, 4, 2, 1, 1, 1, 1, 1, 1, 8, 8, 4, 16, 16, 8, 32, 32, 16][s + 1] AS cells_y,
+        CASE WHEN s BETWEEN 14 AND 17 THEN 1 WHEN s = 4 THEN 2 WHEN s = 5 THEN 3 WHEN s IN (6, 7) THEN 4 WHEN s IN (8, 9) THEN 5 WHEN s IN (10, 11) THEN 6 WHEN s = 18 THEN 7 WHEN s IN (19, 20) THEN 8
+             WHEN s = 21 THEN 9 WHEN s IN (22, 23) THEN 10 WHEN s = 24 THEN 11 WHEN s IN (25, 26) THEN 12 ELSE 0 END AS bucket FROM s)
+    SELECT p_partkey, cells_x, cells_y, bucket, CASE WHEN channel = 1 THEN CASE WHEN bucket < 3 THEN bucket WHEN bucket = 3 THEN 2 WHEN bucket < 6 THEN 3 ELSE least(6, bucket - 2) END
+        ELSE CASE WHEN bucket < 3 THEN 7 + bucket ELSE least(14, 6 + bucket) END END AS context FROM d""")
+def block_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strategy, channel = F.col("p_partkey") % 28, F.col("p_size") % 3
+    (x, y), bucket = contexts.strategy_cells(strategy), contexts.strategy_order(strategy)
+    found = {"cells_x": x, "cells_y": y, "bucket": bucket, "context": contexts.block_context(channel, bucket)}
+    return rasters.table(spark, sf_dir, "part").select("p_partkey", *[c.cast("int").alias(n) for n, c in found.items()])
+
+
+@_query("SELECT least(7, CASE WHEN n_chars = 0 THEN 0 ELSE floor(log2(n_chars)) + 1 END)::INTEGER AS context, count(*) AS n FROM documents GROUP BY 1")
+def order_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rasters.table(spark, sf_dir, "documents").groupBy(contexts.order_context(F.col("n_chars")).cast("int").alias("context")).agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {_RASTER}, {_near()}, p AS (SELECT w - nw AS p FROM near)
+    SELECT CASE WHEN p > 0 THEN 0 ELSE 1 END AS of_2, CASE WHEN p > 0 THEN CASE WHEN p > 20 THEN 0 ELSE 1 END WHEN p > -20 THEN 2 ELSE 3 END AS of_4,
+        CASE WHEN p > 0 THEN CASE WHEN p > 20 THEN CASE WHEN p > 40 THEN 0 ELSE 1 END WHEN p > 8 THEN 2 ELSE 3 END
+             WHEN p > -20 THEN CASE WHEN p > -8 THEN 4 ELSE 5 END WHEN p > -40 THEN 6 ELSE 7 END AS of_8, count(*) AS n FROM p GROUP BY ALL""")
+def activity_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    change, cuts = F.col("w") - F.col("nw"), {"of_2": (0,), "of_4": (-20, 0, 20), "of_8": (-40, -20, -8, 0, 8, 20, 40)}
+    bins = [contexts.activity_bin(change, t).cast("int").alias(n) for n, t in cuts.items()]
+    return neighbours.neighbours(rasters.embedding_raster(spark, sf_dir)).groupBy(*bins).agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {_RASTER}, tiles AS (SELECT *, y // 16 AS gy, x // 16 AS gx FROM raster), {_near('tiles', 'gy, gx')},
+    r AS (SELECT y, x, v - CASE WHEN n0 IS NULL AND x0 IS NULL THEN 0 WHEN n0 IS NULL THEN w WHEN x0 IS NULL THEN n ELSE {_GRADIENT} END AS r FROM near)
+    SELECT y, x, {_ZIGZAG.format(r='r')} AS u FROM r""")
+def slice_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slices = neighbours.tiled(rasters.embedding_raster(spark, sf_dir), 16)
+    return neighbours.plane_residuals(slices, ("image_id", "channel", "gy", "gx")).select("y", "x", codes.zigzag(F.col("residual")).alias("u"))
+
+
+@_query("""WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), p AS (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS pos FROM t),
+    bb AS (SELECT doc_id, pos, ('0x' || substr(h, 2 * pos + 1, 2))::INTEGER AS b FROM p),
+    pr AS (SELECT coalesce(lag(b) OVER w, 0) AS a, coalesce(lag(b, 2) OVER w, 0) AS b FROM bb WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    g AS (SELECT a, b, count(*) AS n FROM pr GROUP BY ALL),
+    k AS (SELECT n, a & 63 AS lsb6, a >> 2 AS msb6,
+        CASE WHEN a >= 192 THEN 2 + a % 2 WHEN a >= 128 THEN a % 2 WHEN a IN (9, 10, 13) THEN 4 WHEN a < 32 OR a = 127 THEN 0 WHEN a = 32 THEN 8 WHEN a IN (34, 39) THEN 16 WHEN a = 37 THEN 20
+             WHEN a IN (40, 60, 91, 123) THEN 24 WHEN a IN (41, 62, 93, 125) THEN 28 WHEN a IN (44, 58, 59) THEN 32 WHEN a = 46 THEN 36 WHEN a = 61 THEN 40 WHEN a BETWEEN 48 AND 57 THEN 44
+             WHEN a IN (65, 69, 73, 79, 85) THEN 48 WHEN a BETWEEN 65 AND 90 THEN 52 WHEN a IN (97, 101, 105, 111, 117) THEN 56 WHEN a BETWEEN 97 AND 122 THEN 60 ELSE 12 END
+        | CASE WHEN b <= 32 OR b BETWEEN 127 AND 223 THEN 0 WHEN b >= 224 THEN 2 WHEN b BETWEEN 97 AND 122 THEN 3 WHEN b BETWEEN 65 AND 90 OR b BETWEEN 48 AND 57 THEN 2 ELSE 1 END AS utf8,
+        8 * CASE WHEN a = 255 THEN 7 WHEN a >= 240 THEN 6 WHEN a >= 192 THEN 5 WHEN a >= 128 THEN 4 WHEN a >= 64 THEN 3 WHEN a >= 16 THEN 2 ELSE (a > 0)::INTEGER END
+        + CASE WHEN b = 255 THEN 7 WHEN b >= 240 THEN 6 WHEN b >= 192 THEN 5 WHEN b >= 128 THEN 4 WHEN b >= 64 THEN 3 WHEN b >= 16 THEN 2 ELSE (b > 0)::INTEGER END AS signed FROM g)
+    SELECT mode, context, sum(n)::BIGINT AS n FROM (SELECT n, unnest([{'m': 'lsb6', 'c': lsb6}, {'m': 'msb6', 'c': msb6}, {'m': 'utf8', 'c': utf8}, {'m': 'signed', 'c': signed}]) AS e FROM k), LATERAL (SELECT e.m AS mode, e.c AS context) GROUP BY 1, 2""")
+def literal_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte of the texts by the two bytes before it (0 before the first): pairs are counted, then given a context in each mode."""
+    rows = rasters.table(spark, sf_dir, "documents").select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("t")).where("length(t) > 0")
+    at = rows.select("t", F.explode(F.expr("sequence(0, length(t) - 1)")).alias("pos"))
+    pair = F.expr("CASE pos WHEN 0 THEN X'0000' WHEN 1 THEN X'00' || substring(t, 1, 1) ELSE substring(t, pos - 1, 2) END")
+    pairs = at.groupBy(pair.alias("pair")).agg(F.count("*").alias("n"))
+    before, last = (F.conv(F.hex(F.substring("pair", k, 1)), 16, 10).cast("int") for k in (1, 2))
+    pairs = pairs.select("n", last.alias("last"), before.alias("before"))
+    modes = [F.struct(F.lit(m).alias("mode"), contexts.literal_context(m, F.col("last"), F.col("before")).cast("int").alias("context")) for m in ("lsb6", "msb6", "utf8", "signed")]
+    return pairs.select("n", F.inline(F.array(*modes))).groupBy("mode", "context").agg(F.sum("n").alias("n"))
+
+
+@_query("""WITH h AS (SELECT p_partkey, (p_partkey * 37 % 31744)::BIGINT AS m, p_partkey % 2 AS s FROM part)
+    SELECT p_partkey, (1 - 2 * s) * CASE WHEN m < 1024 THEN m * pow(2.0::DOUBLE, -24) ELSE (1024 + m % 1024) * pow(2.0::DOUBLE, m // 1024 - 25) END AS value FROM h""")
+def half_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = F.col("p_partkey") * 37 % 31744 + F.col("p_partkey") % 2 * 32768
+    return rasters.table(spark, sf_dir, "part").select("p_partkey", contexts.half_to_double(bits).alias("value"))
+
+
+@_query("""WITH f AS (SELECT p_partkey, p_size * 13 AS w, p_size * 7 + p_partkey % 50 AS h, 1 + p_partkey % 2 AS s FROM part),
+    g AS (SELECT p_partkey, ceil(ceil(w * s / 2.0) / 8)::BIGINT AS across, ceil(ceil(h * s / 2.0) / 8)::BIGINT AS down, (ceil(w / 16.0) * s)::BIGINT AS stored FROM f)
+    SELECT p_partkey, p_partkey % 97 AS ordinal, CASE WHEN p_partkey % 97 < across * down THEN p_partkey % 97 // across * stored + p_partkey % 97 % across END::BIGINT AS at FROM g""")
+def jpeg_storage_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = jpeg_block_layout(spark, sf_dir).withColumn("ordinal", F.col("p_partkey") % 97)
+    return grid.select("p_partkey", "ordinal", contexts.storage_index(F.col("ordinal"), F.col("visible_x"), F.col("visible_y"), F.col("stored_x")).cast("long").alias("at"))
+
+
+@_query("""WITH b AS (SELECT doc_id, lang IS NOT NULL AND (doc_id % 2 = 0 OR source IS NOT NULL) AS complete, 5 + coalesce(4 + strlen(lang), 0) + coalesce(6 + strlen(source), 0) AS bytes FROM documents)
+    SELECT doc_id, complete, bytes, bytes <= 22 AS fits FROM b""")
+def metadata_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.create_map(*[c for n in ("lang", "source") for c in (F.lit(n), F.col(n).cast("binary"))])
+    required = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("lang"))).otherwise(F.array(F.lit("lang"), F.lit("source")))
+    complete, size, fits = layout.metadata_check(F.map_filter(given, lambda _, v: v.isNotNull()), required, 22, 5)
+    return rasters.table(spark, sf_dir, "documents").select("doc_id", complete.alias("complete"), size.alias("bytes"), fits.alias("fits"))
+
+
+@_query(f"""WITH {_RASTER} SELECT x, y, v FROM raster WHERE NOT (x BETWEEN 4 AND 35 AND y BETWEEN 10 AND 109)
+    UNION ALL SELECT x - 4, y - 90, v FROM raster WHERE x BETWEEN 8 AND 39 AND y BETWEEN 100 AND 199""")
+def rectangle_paste(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = rasters.embedding_raster(spark, sf_dir)
+    return layout.paste(image, layout.crop(image, 8, 100, 32, 100), 4, 10, 32, 100).select("x", "y", "v")
