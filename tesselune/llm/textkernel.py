@@ -6,6 +6,7 @@ one longer document is a slice of its own, and its words are still hashed in pie
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,12 @@ SLICE = 1 << 20
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 (Steele, Lea and Flood 2014), over uint64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def stream(seed: int, n: int) -> np.ndarray:
@@ -37,20 +41,12 @@ SPACES = byte_set(b" \t\n\v\f\r")
 #: The same and all ASCII punctuation, for matching that ignores punctuation.
 NOT_ALNUM = byte_set(bytes(b for b in range(128) if not chr(b).isalnum()))
 
+_MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTES = stream(11, 256)
-_BASE = 0x2545F4914F6CDD1D
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n, SLICE + 1), base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+#: A word of more bytes than this is hashed by blake2b.
+LONG = 128
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -86,20 +82,37 @@ def _runs(inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, little end first; zeros follow the last byte. A view of a copy, not aligned."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each run of bytes."""
-    out = np.empty(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE, "right")))
-        a, b = int(starts[lo]), int(ends[hi - 1])
-        power, inverse = _powers(b - a + 1)
-        part = data[a:b]
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTES[_LOWER[part] if lower else part] * power[: b - a], out=sums[1:])
-        out[lo:hi] = (sums[ends[lo:hi] - a] - sums[starts[lo:hi] - a]) * inverse[starts[lo:hi] - a]
-        lo = hi
-    return mix(out)
+    """A 64-bit hash of each run of bytes.
+
+    Eight bytes at a time are mixed into the state of a run; no sum of powers is formed, so no word is the
+    algebraic twin of another, as words of Thue and Morse are under polynomials modulo 2**64.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    rows, at, left = np.arange(len(starts)), starts.astype(np.int64), sizes.astype(np.int64)
+    wide = sizes > LONG
+    if wide.any():
+        for k in np.flatnonzero(wide).tolist():
+            run = data[starts[k] : ends[k]]
+            out[k] = int.from_bytes(hashlib.blake2b((_LOWER[run] if lower else run).tobytes(), digest_size=8).digest(), "little")
+        rows, at, left = rows[~wide], at[~wide], left[~wide]
+    eights = loads(_LOWER[data] if lower else data)
+    while len(rows):
+        word = eights[at]
+        word &= _MASKS[np.minimum(left, 8)]
+        word += out[rows] * _MULTIPLIER
+        out[rows] = mix(word)
+        more = np.flatnonzero(left > 8)
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    return out
 
 
 class Words:
@@ -119,31 +132,17 @@ class Words:
         return self.hashes[self.bounds[k] : self.bounds[k + 1]]
 
 
-_MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
-
-
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive words, in order; empty when there are fewer."""
+    """Hash of each k consecutive words, in order; empty when there are fewer.
+
+    Hashes of 1, 2, 4, ... words come from two of half the width, and the last from two that overlap.
+    """
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    if k <= 8:
-        out = hashes[:n].copy()
-        for j in range(1, k):
-            out = out * _MULTIPLIER + hashes[j : j + n]
-        return mix(out)
-    out = np.empty(n, np.uint64)  # prefix sums of hash * power, as Karp and Rabin's, modulo 2**64
-    base = int(_MULTIPLIER)
-    for lo in range(0, n, SLICE):
-        hi = min(n, lo + SLICE)
-        m = hi - lo + k - 1
-        power = np.full(m, base, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        back = np.full(hi - lo, pow(base, -1, 1 << 64), np.uint64)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        sums = np.zeros(m + 1, np.uint64)
-        np.cumsum(hashes[lo : lo + m] * power, out=sums[1:])
-        out[lo:hi] = (sums[k:] - sums[:-k]) * back
-    return mix(out)
+    out, width = hashes, 1
+    while width < k:
+        step = min(width, k - width)
+        out = mix(out[: len(out) - step] * _MULTIPLIER + out[step:] + np.uint64(step))
+        width += step
+    return out if k > 1 else mix(out)

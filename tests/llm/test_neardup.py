@@ -89,3 +89,12 @@ def test_sketches_rank_pairs_as_similarity_does():
     assert lost == 0
     apart = sketches(signatures([rng.integers(0, 1 << 63, 100, dtype=np.uint64) for _ in range(200)])).view(np.uint64)
     assert agreement(apart[1:], apart[:1]).max() < least
+
+
+def test_words_of_thue_and_morse_are_two_words(spark):
+    one, other = "a", "b"
+    for _ in range(10):
+        one, other = one + other, other + one
+    rows = [(1, one), (2, other), (3, f"{one} {other}"), (4, f"{other} {one}"), (5, one.upper())]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}

@@ -54,3 +54,23 @@ def test_null_ids_stay_whole(spark):
 
 def test_no_rows(spark):
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_of_thue_and_morse_are_two_words(spark):
+    one, other = "a", "b"
+    for _ in range(10):
+        one, other = one + other, other + one
+    order = [0]
+    for _ in range(6):
+        order += [1 - x for x in order]
+    rows = [(1, "w " * 49 + one, 1), (2, "w " * 49 + other, 1), (3, " ".join(("x", "y")[k] for k in order), 1), (4, " ".join(("y", "x")[k] for k in order), 1), (5, "w " * 49 + one, 1)]
+    got = {r.doc_id: r.n_removed for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string, hash int")).collect()}
+    assert got == {i: v[1] for i, v in brute(rows, 50).items()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 50}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    rows = [(2, " ".join(long), 0), (1, " ".join(long[70_000:70_200]), 0)]
+    got = {r.doc_id: r.n_removed for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string, hash int")).collect()}
+    assert got == {1: 0, 2: 200}
