@@ -12,6 +12,7 @@ from .decontam import contaminated
 from .exactdup import exact_duplicates
 from .mixing import mix, taken
 from .neardup import near_duplicates
+from .phrases import collocations
 from .quality import fit_quality, score_quality
 from .radixdup import repeated_bytes
 from .secrets import secrets
@@ -66,6 +67,10 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical", "ts", "outcome", "target_id", header_text(F.col("headers")).alias("headers"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
@@ -76,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_toxicity, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_secret_scans, op7_mix_sources, op8_substring_dedup, op9_exact_dedup, op10_warc_revisits, op13_suffix_radix_dedup, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_toxicity, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_secret_scans, op7_mix_sources, op8_substring_dedup, op9_exact_dedup, op10_warc_revisits, op12_phrase_collocations, op13_suffix_radix_dedup, pipeline)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -146,4 +151,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
                sha256(unhex(CASE WHEN runs.doc_id IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
         FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_phrase_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+        g AS (SELECT lang, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS r(k))),
+        f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g),
+        sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE f >= 100 AND len(g) > 1),
+        parts AS (SELECT lang, part, max(f) AS f FROM (
+            SELECT lang, g, f, g[i : i + k - 1] AS part FROM (SELECT *, unnest(range(1, len(g) - k + 2)) AS i FROM c, range(2, 5) AS r(k) WHERE k < len(g))) GROUP BY lang, part),
+        left_ AS (SELECT c.lang, c.g, c.f FROM c LEFT JOIN parts ON parts.lang = c.lang AND parts.part = c.g WHERE parts.f IS NULL OR 100 * parts.f < 100 * c.f),
+        cut AS (SELECT x.lang, x.g, x.f AS a, l.f AS l, r.f AS r, n, k, (1000::HUGEINT * x.f * n) // (l.f::HUGEINT * r.f) AS score
+                FROM (SELECT *, unnest(range(1, len(g))) AS k FROM left_) x JOIN sizes USING (lang)
+                JOIN f l ON l.lang = x.lang AND l.g = x.g[1 : k] JOIN f r ON r.lang = x.lang AND r.g = x.g[k + 1 :]),
+        best AS (SELECT *, array_to_string(g, ' ') AS phrase FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }
