@@ -19,6 +19,7 @@ from .secrets import secrets
 from .substring import repeated_passages
 from .tokenfiles import token_digest
 from .toxicity import fit_toxicity, score_toxicity
+from .turns import damaged, repair_conversations
 from .warc import header_text, page_captures, resolve_revisits
 
 
@@ -67,6 +68,12 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical", "ts", "outcome", "target_id", header_text(F.col("headers")).alias("headers"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair_conversations(damaged(table(spark, sf_dir, "conversations")), there_col="there")
+    lines = F.array_join(F.transform("repaired", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n")
+    return found.withColumn("repaired_sha256", F.sha2(lines.cast("binary"), 256)).drop("repaired")
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -81,10 +88,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_toxicity, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_secret_scans, op7_mix_sources, op8_substring_dedup, op9_exact_dedup, op10_warc_revisits, op12_phrase_collocations, op13_suffix_radix_dedup, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_toxicity, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_secret_scans, op7_mix_sources, op8_substring_dedup, op9_exact_dedup, op10_warc_revisits, op11_conversation_repair, op12_phrase_collocations, op13_suffix_radix_dedup, pipeline)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+
+
+def _after(value: str, cost: int | str, edit: str) -> str:
+    """SQL of a state's value, cost in nine digits and then the audit, after one more edit."""
+    return f"(lpad((left({value}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({value}, 10) || '{edit}')"
+
+
+_IN2 = "least(" + ", ".join(["e2", *(_after(e, 3, "I") for e in ("e0", "e1", "e3"))]) + ")"
+_IN3 = "least(" + ", ".join(["e3", _after("e2", 3, "I"), *(_after(e, 6, "II") for e in ("e0", "e1"))]) + ")"
+
+
+def _read(initial: str, states: tuple[str, ...]) -> str:
+    reads = [f"CASE WHEN NOT gone AND initial = '{initial}' THEN {_after(n, 'cut', 'K')} END" for n in states]
+    return ", ".join(reads + ([f"CASE WHEN NOT gone THEN {_after(n, '3 + cut', 'R')} END" for n in states] if initial != "s" else []))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_minhash_near_dedup": f"""
         WITH RECURSIVE d AS (SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
@@ -168,4 +191,34 @@ ORACLE_SQL: dict[str, str] = {
         best AS (SELECT *, array_to_string(g, ' ') AS phrase FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
         SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
+    "op11_conversation_repair": rf"""
+        WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS tab FROM range(256) AS r(i)),
+        c AS (SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS ck, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+        k AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault FROM c, crc),
+        d AS (SELECT ck, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                     unnest(range(0, CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE fault <> 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM d),
+        r AS (SELECT *, left(role, 1) AS initial, CASE WHEN t = '' THEN 1 WHEN row_number() OVER (PARTITION BY ck, role, text ORDER BY i) > 1 THEN 2 WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f,
+                     lag(left(role, 1)) OVER (PARTITION BY ck ORDER BY i) AS before FROM n),
+        rows_ AS (SELECT ck, i, initial, f IN (1, 2) AS gone, CASE WHEN f = 3 THEN 3 ELSE 0 END AS cut FROM r),
+        chart AS (
+            SELECT DISTINCT ck, 0::BIGINT AS i, '000000000' AS e0, NULL::VARCHAR AS e1, NULL::VARCHAR AS e2, NULL::VARCHAR AS e3 FROM c
+            UNION ALL
+            SELECT ck, i, {_after("e0", 4, "D")}, least({_after("e1", 4, "D")}, {_read("s", ("e0",))}),
+                   least({_after("n2", 4, "D")}, {_read("u", ("e0", "e1", "n3"))}), least({_after("n3", 4, "D")}, {_read("a", ("n2",))})
+            FROM (SELECT x.*, rows_.i AS next, initial, gone, cut FROM (SELECT *, {_IN2} AS n2, {_IN3} AS n3 FROM chart) x JOIN rows_ ON rows_.ck = x.ck AND rows_.i = x.i + 1) y(ck, before, e0, e1, e2, e3, n2, n3, i, initial, gone, cut)),
+        best AS (SELECT ck, least(e0, {_IN3}) AS v FROM chart QUALIFY row_number() OVER (PARTITION BY ck ORDER BY i DESC) = 1),
+        audits AS (SELECT ck, left(v, 9)::BIGINT AS cost, substr(v, 10) AS audit FROM best),
+        edits AS (SELECT *, substr(audit, p, 1) AS e FROM (SELECT ck, audit, unnest(range(1, length(audit) + 1)) AS p FROM audits)),
+        placed AS (SELECT *, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS o FROM edits WINDOW w AS (PARTITION BY ck ORDER BY p)),
+        opened AS (SELECT ck, 1 AS s FROM placed JOIN r USING (ck, i) WHERE o = 1 AND e = 'K' AND initial = 's'),
+        lines AS (SELECT ck, p, CASE WHEN e = 'K' THEN role WHEN (o - 1 - coalesce(s, 0)) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line
+                  FROM placed LEFT JOIN r USING (ck, i) LEFT JOIN opened USING (ck) WHERE e <> 'D'),
+        whole AS (SELECT ck, string_agg(line, chr(10) ORDER BY p) AS t FROM lines GROUP BY ck),
+        counts AS (SELECT ck, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,
+                          count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY ck)
+        SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, cost, audit, sha256(coalesce(t, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, ck FROM c) JOIN audits USING (ck) LEFT JOIN counts USING (ck) LEFT JOIN whole USING (ck)""",
 }
