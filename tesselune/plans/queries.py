@@ -835,3 +835,7 @@ def metadata_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rectangle_paste(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = rasters.embedding_raster(spark, sf_dir)
     return layout.paste(image, layout.crop(image, 8, 100, 32, 100), 4, 10, 32, 100).select("x", "y", "v")
+
+
+# further queries register themselves here
+from tesselune.plans import learning  # noqa: E402, F401
