@@ -192,7 +192,8 @@ def taken(sizes: DataFrame, blocks: DataFrame) -> DataFrame:
     return sizes.join(per, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
 
 
-def _unused(name: str, columns: list[str]) -> str:
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or one like it that no column has."""
     while name.lower() in {c.lower() for c in columns}:
         name += "_"
     return name
@@ -210,7 +211,7 @@ def mixed_documents(
     Without, rows stay where they are, for consumers that order them by themselves. docs, its columns and ``seed``
     are those that ``mix`` had; columns of any name are carried.
     """
-    high, key = F.shiftrightunsigned, _unused("_mix", docs.columns)
+    high, key = F.shiftrightunsigned, unused("_mix", docs.columns)
     last = blocks.groupBy("rank").agg(F.max(F.struct("epoch", high(last_key(seed), 32).alias("h"), last_key(seed).alias("u"), "doc_id")).alias("cut"))
     first = blocks.groupBy("rank", "shard").agg(F.min(F.struct(high("deck_key", 32).alias("h"), F.col("deck_key").alias("u"), "doc_id", "epoch")).alias("at"))
     first = first.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("at", "shard"))).alias("bounds"))

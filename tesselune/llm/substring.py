@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, shared_dir, stored, tune
+from .common import Scratch, tune
 from .textkernel import Words, slices, windows
 
 
@@ -52,30 +52,22 @@ def difference_cover(period: int) -> list[int]:
 
 
 def _anchors(width: int, period: int, cover: list[int]):
-    """Of each document: its words' number, two hashes of the whole sequence, the hash of its words joined, its anchors."""
+    """(doc_id, the hashes of its anchors, in order)."""
     length = width - period + 1
     member = np.zeros(period, bool)
     member[cover] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in slices(batch.column(1)):
-                words = Words(data, offsets)
-                hashes, docs, places = [], [], []
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                words, hashes, ends = Words(data, offsets), [np.zeros(0, np.uint64)], [0]
                 for k in range(len(offsets) - 1):
                     own = words.of(k)
-                    if len(own) < width:
-                        continue
-                    at = np.flatnonzero(member[np.arange(len(own) - length + 1) % period])
-                    hashes.append(windows(own, length)[at])
-                    places.append(at)
-                    docs.append(np.full(len(at), ids[lo + k]))
-                if hashes:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places).astype(np.int32))],
-                        ["hash", "doc_id", "place"],
-                    )
+                    if len(own) >= width:
+                        hashes.append(windows(own, length)[member[np.arange(len(own) - length + 1) % period]])
+                    ends.append(ends[-1] + (len(hashes[-1]) if len(own) >= width else 0))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["doc_id", "hashes"])
 
     return run
 
@@ -88,23 +80,24 @@ def _starts(width: int, period: int, places: np.ndarray, n_windows: int) -> np.n
     return np.flatnonzero(np.cumsum(near)[:n_windows] > 0)
 
 
-def _windows(width: int, period: int):
+def _windows(width: int, period: int, cover: list[int]):
+    """(doc_id, text, numbers of its shared anchors) to (doc_id, hashes, starts) of the windows around them."""
+    residues = np.array(sorted(cover))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for lo, _, data, offsets in slices(batch.column(1)):
-                words = Words(data, offsets)
-                hashes, docs, starts = [], [], []
+            numbers = batch.column(2)
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                words, hashes, starts, ends = Words(data, offsets), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [0]
                 for k in range(len(offsets) - 1):
-                    own = windows(words.of(k), width)
-                    at = _starts(width, period, np.asarray(places[lo + k].values), len(own))
+                    own, n = windows(words.of(k), width), np.asarray(numbers[lo + k].values)
+                    at = _starts(width, period, n // len(residues) * period + residues[n % len(residues)], len(own))
                     hashes.append(own[at])
                     starts.append(at)
-                    docs.append(np.full(len(at), ids[lo + k]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts).astype(np.int32))],
-                    ["hash", "doc_id", "start"],
-                )
+                    ends.append(ends[-1] + len(at))
+                bounds = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (np.concatenate(hashes).view(np.int64), np.concatenate(starts).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], ["doc_id", "hashes", "starts"])
 
     return run
 
@@ -148,19 +141,21 @@ def repeated_passages(
     """
     spark = docs.sparkSession
     tune(spark)
-    period = min(period, width)
+    period, t = min(period, width), Scratch(spark)
+    cover = difference_cover(period)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    anchors = texts.where("doc_id IS NOT NULL").mapInArrow(_anchors(width, period, difference_cover(period)), "hash long, doc_id long, place int")
-    shared = anchors.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash")
-    # written first, so that the join below has a plain shuffle on either side and Spark can split a hot hash
-    shared_path, near_path, first_path, found_path = (shared_dir(spark) for _ in range(4))
-    shared = stored(shared, shared_path)
-    near = stored(anchors.join(shared, "hash").groupBy("doc_id").agg(F.collect_set("place").alias("places")), near_path)
-    full = texts.join(near, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows(width, period), "hash long, doc_id long, start int")
-    first = full.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
-    first = stored(first, first_path)
-    found = full.join(first, "hash").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    found = stored(found, found_path)
-    remove(spark, shared_path, near_path, first_path)
+    # texts are hashed once for anchors and once for windows: what is counted and then joined is read back from tables
+    marks = t.put(texts.where("doc_id IS NOT NULL").mapInArrow(_anchors(width, period, cover), "doc_id long, hashes array<long>"))
+    anchors = marks.select("doc_id", F.posexplode("hashes").alias("number", "hash"))
+    shared = t.put(anchors.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash"))
+    near = t.put(anchors.join(shared.hint("shuffle_hash"), "hash").groupBy("doc_id").agg(F.collect_list("number").alias("numbers")))
+    t.drop(marks, shared)
+    full = texts.join(near.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "numbers").mapInArrow(_windows(width, period, cover), "doc_id long, hashes array<long>, starts array<int>")
+    full = t.put(full)
+    t.drop(near)
+    full = t.view(full.select("doc_id", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("doc_id", F.col("w.hashes").alias("hash"), F.col("w.starts").alias("start")), full)
+    first = t.put(full.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"))
+    found = t.put(full.join(first.hint("shuffle_hash"), "hash").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
+    t.drop_all_but(found)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return texts.join(found, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(_kept(width, with_text), schema)

@@ -206,46 +206,68 @@ class SequenceReader:
 
 
 def _write(tokenizer: str, end: int, length: int, folder: str):
+    """Rows (part, first, doc_id, text) to the manifest's; rows that do not follow each other begin a new shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
         words = encoder(tokenizer)
         where, root = pyarrow.fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc_ids = batch.column(0)
-            if writer is None:
-                where.create_dir(root, recursive=True)
-                name, first = f"{uuid.uuid4().hex}.arrow", doc_ids[0].as_py()  # a name of its own for each attempt; the manifest has those that ended
-                writer = SequenceWriter(where, f"{root}/{name}", length, words.dtype)
-                n_docs = 0
-            for lo in range(0, len(doc_ids), ENCODED):
-                texts = [t.encode() for t in batch.column(1).slice(lo, ENCODED).to_pylist()]
-                writer.add(doc_ids.slice(lo, ENCODED), words.encode(texts, end))
-            n_docs += len(doc_ids)
-        if writer is not None:
+        open_shard: tuple | None = None
+
+        def closed() -> pa.RecordBatch:
+            writer, part, first, name, n_docs = open_shard
             writer.close()
-            yield pa.RecordBatch.from_pydict({"first_id": pa.array([first], pa.int64()), "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_tokens": [writer.total]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.string()), "first": pa.array([first], pa.int64()), "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_tokens": [writer.total]})
+
+        for batch in batches:
+            parts, firsts = batch.column(0), batch.column(1)
+            cuts = [0, batch.num_rows]
+            if batch.num_rows and parts[0].is_valid:  # places in files
+                at, named = firsts.to_numpy(), np.array(parts.to_pylist(), object)
+                cuts = [0, *(np.flatnonzero((at[1:] != at[:-1] + 1) | (named[1:] != named[:-1])) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                part, first = parts[lo].as_py(), firsts[lo].as_py()
+                if open_shard and part is not None and (part, first) != (open_shard[1], open_shard[2] + open_shard[4]):
+                    yield closed()
+                    open_shard = None
+                if not open_shard:
+                    where.create_dir(root, recursive=True)
+                    name = f"{uuid.uuid4().hex}.arrow"  # a name of its own for each attempt; the manifest has those that ended
+                    open_shard = SequenceWriter(where, f"{root}/{name}", length, words.dtype), part, first, name, 0
+                for k in range(lo, hi, ENCODED):
+                    own = batch.slice(k, min(ENCODED, hi - k))
+                    texts = [t.encode() for t in own.column(3).to_pylist()]
+                    open_shard[0].add(own.column(2), words.encode(texts, end))
+                open_shard = (*open_shard[:4], open_shard[4] + hi - lo)
+        if open_shard:
+            yield closed()
 
     return run
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2, length: int = 1024
+    docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2, length: int = 1024, as_they_lie: bool = False
 ) -> DataFrame:
     """Encodes whole texts in ascending id order to shards under ``folder``; the manifest, also written there.
 
-    Manifest: (first_id, path, n_docs, n_tokens), a row for each shard, first_id giving their order. A null
+    Manifest: (part, first, path, n_docs, n_tokens), a row for each shard, part and first giving their order. A null
     text is an empty one and has the end id alone. Rows of one id stay together, in the order of their texts;
-    so do those of a null id, which come first and keep it (a shard that begins with them has a null first_id).
+    so do those of a null id, which come first and keep it (a shard that begins with them has a null first).
+    With ``as_they_lie`` the order is that of docs' files, by name and row, and no text is shuffled: docs must
+    be read from files, and a shard holds rows that follow each other in one.
     ``folder`` must be a place that all executors reach and ``pyarrow.fs`` can open. A task that is run again
     writes files of its own, and only what the manifest names counts. An empty table gives no shards.
     """
     tune(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(_write(tokenizer, end, length, folder), "first_id long, path string, n_docs long, n_tokens long"), f"{folder}/manifest")
+    texts = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    if as_they_lie:
+        ordered = docs.select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("first"), *texts)
+    else:
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ordered = docs.select(*texts).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+        ordered = ordered.select(F.lit(None).cast("string").alias("part"), F.col("doc_id").alias("first"), "doc_id", "text")
+    return stored(ordered.mapInArrow(_write(tokenizer, end, length, folder), "part string, first long, path string, n_docs long, n_tokens long"), f"{folder}/manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +285,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
     start counts the ids of all documents before it, over all shards; the sum is over one row a shard.
     """
-    before = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.length("part"), "part", "first").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     shards = shards.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     return shards.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import Row
 
-from tesselune.llm.decontam import contaminated, tile
+from tesselune.llm.decontam import contaminated, seeds_asked, tile
 
 
 def brute(item, doc, seed):
@@ -25,15 +26,38 @@ def brute(item, doc, seed):
 
 def test_tiles_are_as_greedy_as_brute_force():
     rng = random.Random(5)
-    for _ in range(150):
-        item = [rng.randrange(9) for _ in range(rng.randrange(1, 25))]
-        doc = [rng.randrange(9) for _ in range(rng.randrange(0, 40))] + item[len(item) // 2 :] + [9] + item[: len(item) // 2]
+    for k in range(1500):
+        letters = rng.choice([2, 3, 5, 9])
+        item = [rng.randrange(letters) for _ in range(rng.randrange(1, 25))]
+        doc = [rng.randrange(letters) for _ in range(rng.randrange(0, 30))] + (item[len(item) // 2 :] + [9] + item[: len(item) // 2] if k % 2 else [])
         found = tile(np.array(item, np.uint64), np.array(doc, np.uint64), 3)
         used = [p for i, _, n in found for p in range(i, i + n)], [p for _, j, n in found for p in range(j, j + n)]
         assert all(len(set(u)) == len(u) for u in used)
         assert all(item[i : i + n] == doc[j : j + n] for i, j, n in found)
-        # halving search lengths may mark two runs above half the length in another order: coverage stays close
-        assert sum(n for *_, n in found) >= brute(item, doc, min(3, len(item))) - 3
+        assert sum(n for *_, n in found) == brute(item, doc, min(3, len(item)))
+
+
+def test_seeds_asked_for_lose_no_hit():
+    rng = random.Random(7)
+    for _ in range(800):
+        letters, seed, least = rng.choice([2, 4]), rng.randrange(1, 5), rng.choice([0.3, 0.5, 1.0])
+        item, doc = ([rng.randrange(letters) for _ in range(rng.randrange(1, 20))] for _ in range(2))
+        s = min(seed, len(item))
+        have = {tuple(doc[j : j + s]) for j in range(len(doc) - s + 1)}
+        places = sum(tuple(item[i : i + s]) in have for i in range(len(item) - s + 1))
+        if brute(item, doc, s) >= least * len(item):
+            assert places >= seeds_asked(len(item), seed, least)
+
+
+def test_both_routes_give_rows_of_null_and_repeated_ids(spark):
+    leak, other = (" ".join(f"{x}{k}" for k in range(30)) for x in "wv")
+    docs = [(None, leak), (None, leak), (None, "clean text of some words"), (4, leak), (4, leak + " " + other), (4, "clean"), (None, None), (9, other)]
+    items = [(None, leak), (1, leak), (1, other), (None, ""), (2, None)]
+    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item long").repartition(3)
+    b = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc long")
+    one, two = (sorted(map(str, contaminated(d, b, broadcast_chars=chars).collect())) for chars in (1 << 20, 0))
+    assert one == two and len(one) == 10
+    assert one == sorted(str(Row(doc_id=i, item_id=k, item_words=30, tiles=1, covered=30, coverage=1.0)) for i, t in docs for k, x in items if t and x and x in t)
 
 
 def test_passages_are_found_and_clean_documents_left_alone(spark):

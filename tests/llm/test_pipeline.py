@@ -31,7 +31,9 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     assert max(mixed.values()) <= 2
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got, start = sorted(seen[5].collect(), key=lambda r: r.start), 0
-    assert Counter(r.doc_id for r in got) == mixed and [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+    lies = seen[4].select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    assert Counter(r.doc_id for r in got) == mixed and [r.doc_id for r in got] == [r.doc_id for r in sorted(lies, key=lambda r: (r.file_name, r.row_index))]
+    assert [r.doc_id for r in got] != sorted(r.doc_id for r in got)
     for r in got:
         ids = [*tokenizer.encode(texts[4][r.doc_id], add_special_tokens=False).ids, 2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -51,3 +53,36 @@ def test_null_and_repeated_ids(spark):
     mixed = corpus_pipeline.mixture(spark, docs, SF)
     got, had = Counter((r.doc_id, r.text) for r in mixed.collect()), Counter(rows)
     assert mixed.columns == docs.columns and set(got) == set(had) and all(had[x] <= n <= 2 * had[x] for x, n in got.items())
+
+
+def reread(spark, df, path):
+    df.write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_rows_are_dealt_as_the_splitting_tree_says(spark, tmp_path):
+    from tesselune.llm.mixing import mix
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    order = sorted((r.shard, r.order_key, r.doc_id, r.epoch) for r in mix(docs, block_words=0)[1].collect())
+    assert len({shard for shard, *_ in order}) == 8
+    out = reread(spark, corpus_pipeline.mixture(spark, docs, SF), tmp_path / "mixed")
+    lies = out.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    assert [r.doc_id for r in sorted(lies, key=lambda r: (r.file_name, r.row_index))] == [i for _, _, i, _ in order]
+
+
+def test_empty_tables_clashing_columns_null_and_repeated_ids_in_all_stages(spark, tmp_path):
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(4).collect()]
+    rows = [(1, good[0], 10), (1, good[1], 11), (None, good[2], 12), (None, good[3], 13), (3, None, 14), (4, "", 15)]
+    made = spark.createDataFrame([(i, t, "s", n, n, n, n) for i, t, n in rows], "doc_id long, text string, source string, _row int, score int, row int, component_id int")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = reread(spark, made, tmp_path / f"in{k}")
+        out = stage(spark, docs, SF)
+        if k == 4:
+            got = sorted(((r.doc_id, r.n_tokens > 1) for r in out.collect()), key=str)
+            assert got == sorted(((i, bool(t)) for i, t, _ in rows), key=str), name
+        else:
+            found = {(r.doc_id, r.text, r._row, r.score, r.row, r.component_id) for r in out.collect()}
+            assert out.columns == docs.columns and found <= {(i, t, n, n, n, n) for i, t, n in rows}, name
+            assert {n for _, _, n, *_ in found} >= {10, 11, 12, 13} or k == 0 and found, name
+        assert stage(spark, reread(spark, made.limit(0), tmp_path / f"none{k}"), SF).count() == 0, name
