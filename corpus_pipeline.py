@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesselune.llm.common import Scratch, stored, table
 from tesselune.llm.decontam import contaminated
-from tesselune.llm.mixing import mix, mixed_documents
+from tesselune.llm.mixing import mix, mixed_documents, unused
 from tesselune.llm.neardup import near_duplicates
 from tesselune.llm.quality import fit_quality, score_quality
 from tesselune.llm.tokenfiles import token_digest
@@ -17,9 +17,13 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows, and the column that tells them apart: doc_id, or, if ids are null or repeat, a number written with each row."""
-    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
-        return stored(docs.withColumn("_row", F.monotonically_increasing_id())), "_row"
+    """The rows, and the column that tells them apart: doc_id, or, if ids are null or repeat, a number written with each row.
+
+    The number's column has a name that no column of docs has.
+    """
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1").limit(1).count():
+        key = unused("_row", docs.columns)
+        return stored(docs.withColumn(key, F.monotonically_increasing_id())), key
     return docs, "doc_id"
 
 
@@ -51,21 +55,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them, each where it lies.
+    """Whole documents as often as the mix takes them, dealt to shards by the splitting tree and shuffled in each.
 
     The share is that of one epoch and a half, as the operator's default; a source whose target lies below
     its size gives fewer documents and others give some twice. Rows of a null or repeated id are documents of
-    their own; draws then follow the rows' numbers. Rows are not dealt to shards here, as the next stage puts
-    documents in order of their ids: that is the one shuffle of texts.
+    their own; draws then follow the rows' numbers. Rows are written in order of shard and shuffled place: the
+    one shuffle of texts here, and the next stage keeps to that order.
     """
     rows, key = told_apart(docs)
     _, blocks = mix(rows, id_col=key, block_words=0)
-    return mixed_documents(rows, blocks, id_col=key, ordered=False).select(docs.columns)
+    return mixed_documents(rows, blocks, id_col=key).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all rows, read back: (doc_id, start, n_tokens, ids_crc32)."""
-    return token_digest(docs, TOKENIZER)
+    """Token files of all rows in the mix's order, that of the files of docs, read back: (doc_id, start, n_tokens, ids_crc32)."""
+    return token_digest(docs, TOKENIZER, as_they_lie=True)
 
 
 STAGES = [
