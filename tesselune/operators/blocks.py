@@ -1,4 +1,4 @@
-"""Blocks: scan orders, cosine transforms as join and sum, quantisation and costs."""
+"""Blocks: scan orders, cosine transforms, quantisation and costs."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselune.operators.ranges import banded
+from tesselune.operators.transforms import block_samples, coefficients
 
 
 def natural_order(spark: SparkSession, width: int = 1, height: int = 1) -> DataFrame:
@@ -21,32 +22,14 @@ def natural_order(spark: SparkSession, width: int = 1, height: int = 1) -> DataF
     return cells.select((F.row_number().over(Window.orderBy(diagonal, way)) - 1).cast("long").alias("place"), "index")
 
 
-def cosine_basis(spark: SparkSession, n: int = 8) -> DataFrame:
-    """(k, i, b): the scaled DCT-II basis of n points, in which a constant gives its value at k = 0."""
-    rows = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("k"), (F.col("id") % n).cast("int").alias("i"))
-    scale = F.when(F.col("k") == 0, 1.0).otherwise(math.sqrt(2)) / n
-    return rows.withColumn("b", scale * F.cos((2 * F.col("i") + 1) * F.col("k") * (math.pi / (2 * n))))
-
-
 def block_coefficients(samples: DataFrame, n: int = 8) -> DataFrame:
-    """(image_id, channel, by, bx, v, u, coef): the transform of each full n x n block, in two joins with the
-    basis, which has n * n rows, and two sums."""
-    basis = F.broadcast(cosine_basis(samples.sparkSession, n))
-    keys = ["image_id", "channel", "by", "bx"]
-    cells = samples.select("image_id", "channel", F.floor(F.col("y") / n).alias("by"), F.floor(F.col("x") / n).alias("bx"), (F.col("y") % n).cast("int").alias("iy"), (F.col("x") % n).cast("int").alias("ix"), F.col("v").cast("double").alias("s"))
-    full = cells.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") == n * n)
-    across = full.join(basis.withColumnsRenamed({"i": "ix", "k": "u"}), "ix").groupBy(*keys, "iy", "u").agg(F.sum(F.col("s") * F.col("b")).alias("s"))
-    return across.join(basis.withColumnsRenamed({"i": "iy", "k": "v"}), "iy").groupBy(*keys, "v", "u").agg(F.sum(F.col("s") * F.col("b")).alias("coef"))
+    """(image_id, channel, by, bx, v, u, coef): the transform of each full n x n block."""
+    return coefficients(samples, n, n).drop("place")
 
 
 def inverse_blocks(coefs: DataFrame, n: int = 8) -> DataFrame:
     """(image_id, channel, y, x, v): the samples of blocks, unrounded."""
-    basis = cosine_basis(coefs.sparkSession, n).withColumn("b", F.col("b") * n)
-    basis = F.broadcast(basis)
-    keys = ["image_id", "channel", "by", "bx"]
-    across = coefs.join(basis.withColumnsRenamed({"i": "ix", "k": "u"}), "u").groupBy(*keys, "v", "ix").agg(F.sum(F.col("coef") * F.col("b")).alias("s"))
-    both = across.join(basis.withColumnsRenamed({"i": "iy", "k": "v"}), "v").groupBy(*keys, "iy", "ix").agg(F.sum(F.col("s") * F.col("b")).alias("s"))
-    return both.select("image_id", "channel", (F.col("by") * n + F.col("iy")).alias("y"), (F.col("bx") * n + F.col("ix")).alias("x"), F.col("s").alias("v"))
+    return block_samples(coefs, n, n)
 
 
 #: Value of a quantised one by channel, and what is taken from larger ones, over their size.

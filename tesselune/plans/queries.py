@@ -838,4 +838,4 @@ def rectangle_paste(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # further queries register themselves here
-from tesselune.plans import learning  # noqa: E402, F401
+from tesselune.plans import learning, transforms  # noqa: E402, F401
