@@ -18,10 +18,15 @@ def _lines(samples: DataFrame, value: str) -> DataFrame:
     return samples.groupBy("image_id", "channel", "y").agg(F.transform(ordered, lambda s: s["v"]).alias("line"))
 
 
-def squeeze(samples: DataFrame) -> DataFrame:
+def _turned(samples: DataFrame) -> DataFrame:
+    return samples.select("image_id", "channel", F.col("x").alias("y"), F.col("y").alias("x"), "v")
+
+
+def squeeze(samples: DataFrame, down: bool = False) -> DataFrame:
     """(image_id, channel, y, low, high): pairs of a line as mean and what is left of their difference beside the slope
-    that means and the sample before suggest; the last sample of an odd line is a mean of its own."""
-    lines = _lines(samples, "v")
+    that means and the sample before suggest; the last sample of an odd line is a mean of its own. With ``down`` pairs
+    are those of a column, whose number is y."""
+    lines = _lines(_turned(samples) if down else samples, "v")
     pairs = F.expr("IF(size(line) < 2, CAST(array() AS array<int>), sequence(0, size(line) div 2 - 1))")
     mean = F.transform(pairs, lambda k: F.shiftright(F.get("line", 2 * k) + F.get("line", 2 * k + 1) + F.when(F.get("line", 2 * k) > F.get("line", 2 * k + 1), 1).otherwise(0), 1))
     low = F.when(F.size("line") % 2 == 1, F.concat(mean, F.array(F.get("line", F.size("line") - 1)))).otherwise(mean)
@@ -35,8 +40,8 @@ def squeeze(samples: DataFrame) -> DataFrame:
     return lines.select("image_id", "channel", "y", "low", F.transform(pairs, left).alias("high"))
 
 
-def unsqueeze(squeezed: DataFrame) -> DataFrame:
-    """The samples (image_id, channel, y, x, v) of squeezed lines; each pair needs the sample made before it."""
+def unsqueeze(squeezed: DataFrame, down: bool = False) -> DataFrame:
+    """The samples (image_id, channel, y, x, v) of squeezed lines, or columns; each pair needs the sample made before it."""
 
     def step(acc: Column, k: Column) -> Column:
         a = F.get("low", k)
@@ -49,7 +54,8 @@ def unsqueeze(squeezed: DataFrame) -> DataFrame:
     whole = F.aggregate(ks, F.struct(F.expr("CAST(array() AS array<bigint>)").alias("out")), step)["out"]
     line = F.when(F.size("low") > F.size("high"), F.concat(whole, F.array(F.get("low", F.size("high"))))).otherwise(whole)
     rows = squeezed.select("image_id", "channel", "y", F.posexplode(line).alias("i", "v"))
-    return rows.select("image_id", "channel", "y", F.col("i").cast("long").alias("x"), "v")
+    rows = rows.select("image_id", "channel", "y", F.col("i").cast("long").alias("x"), "v")
+    return _turned(rows) if down else rows
 
 
 def permutation(code: Column) -> Column:
