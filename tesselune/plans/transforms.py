@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselune.operators import placement, transforms
-from tesselune.plans.queries import _RASTER, _cosine_sql, _query
+from tesselune.operators import codelengths, entropy, neighbours, placement, search, transforms
+from tesselune.plans.queries import _RASTER, _RESIDUALS, _SMALL, _cosine_sql, _query
 from tesselune.sources import rasters
 
 # a thousandth of a millionth is added before rounding, as many values lie halfway between two sixth decimals
@@ -109,3 +109,67 @@ def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     strategy = F.when(e % 11 == 0, 4).when(e % 7 == 0, 6).when(e % 13 == 0, 7).when(e % 97 == 0, 99).otherwise(e % 4)
     rows = rasters.table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), e.alias("i"), strategy.cast("long").alias("strategy"), (e % 300 - 5).alias("raw"))
     return rows, rows.groupBy("image_id").agg(F.lit(6).cast("long").alias("width"), F.floor(F.count("*") / 6).alias("height"))
+
+
+_SCALE = 0.1
+
+
+def _cost_sql(name: str, rows: int, columns: int, way: str | None = None) -> str:
+    """CTE ``name`` ("by", bx, cost) of blocks of a shape, or of cells transformed in another way."""
+    h, w = rows // 8, columns // 8
+    if way:
+        coefs = f"""{name}_co AS (SELECT f.y // 8 AS "by", f.x // 8 AS bx, a AS v, b AS u, sum(f.v * m) AS coef FROM {name}_full f JOIN (
+            SELECT a, b, y, x, (CASE {_SMALL[way]} ELSE 0 END)::DOUBLE AS m FROM (SELECT *, CASE WHEN greatest(a, b) >= 4 THEN 4 WHEN greatest(a, b) >= 2 THEN 2 ELSE 1 END AS g FROM range(8) a(a), range(8) b(b), range(8) y(y), range(8) x(x)))
+            m ON m.y = f.y % 8 AND m.x = f.x % 8 GROUP BY ALL)"""
+        coefs = f"""{name}_full AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY y // 8, x // 8) AS n FROM raster) WHERE n = 64), {coefs}"""
+    else:
+        coefs = _forward_sql(rows, columns, f"{name}_co")
+    extra, spread = ("", "0") if h * w == 1 else (f"""{name}_dc AS (SELECT "by", bx, y, x, round(round(sum(coef / (sy.s * sx.s) * CASE WHEN v = 0 THEN 1.0 ELSE sqrt(2.0) END * cos((y + 0.5) * v * pi() / {h}) * CASE WHEN u = 0 THEN 1.0 ELSE sqrt(2.0) END * cos((x + 0.5) * u * pi() / {w})), 6)) AS dc
+        FROM {name}_co JOIN scales sy ON sy.c = {h} AND sy.k = v JOIN scales sx ON sx.c = {w} AND sx.k = u, range({h}) a(y), range({w}) b(x) GROUP BY ALL),
+        {name}_sp AS (SELECT "by", bx, max(dc) - min(dc) AS spread FROM {name}_dc GROUP BY ALL),""", "any_value(spread)")
+    join = "" if h * w == 1 else f'JOIN {name}_sp USING ("by", bx)'
+    oblong = 0.5 if rows != columns else 0
+    more = "" if h * w == 1 else f" + {spread} * {h * w} + count_if(q <> 0) * {h + w}"
+    return f"""{coefs}, {extra} {name}_q AS (SELECT "by", bx, round(round(coef, 6) * {_SCALE}::DOUBLE) AS q FROM {name}_co WHERE NOT (v < {h} AND u < {w})),
+    {name} AS (SELECT "by" AS y, bx AS x, (3.5 * count_if(q <> 0) + 0.25 * sum(abs(q)) + 1 + {oblong}{more})::DOUBLE AS cost FROM {name}_q {join} GROUP BY ALL)"""
+
+
+def _tried_sql() -> str:
+    """CTE l8: each cell's best way, tried in turn."""
+    out = [_cost_sql(f"w{k}", 8, 8, way) for k, way in enumerate(search.WAYS)]
+    steps = "SELECT y, x, 0::BIGINT AS id, cost, cost AS plain FROM c8"
+    for k, identifier in enumerate(search.WAYS.values()):
+        steps = f"SELECT s.y, s.x, CASE WHEN plain > 6.5 AND w{k}.cost + 0.5 < s.cost THEN {identifier} ELSE id END AS id, CASE WHEN plain > 6.5 AND w{k}.cost + 0.5 < s.cost THEN w{k}.cost ELSE s.cost END AS cost, plain FROM ({steps}) s JOIN w{k} USING (y, x)"
+    return f"""{_cost_sql('c8', 8, 8)}, {', '.join(out)}, l8 AS (SELECT y, x, cost, [[id, y, x, 1, 1]::BIGINT[]] AS leaves FROM ({steps}))"""
+
+
+def _level_sql(n: int) -> str:
+    half, ids = n // 2, {v: k for k, v in transforms.LARGE.items()}
+    parts = [_cost_sql(f"c{n}", n, n), _cost_sql(f"t{n}", half, n), _cost_sql(f"s{n}", n, half)]
+    leaf = lambda name, rows, columns: f"[{ids[rows, columns]}, {name}.y * {rows // 8}, {name}.x * {columns // 8}, {rows // 8}, {columns // 8}]::BIGINT[]"
+    return f"""{', '.join(parts)},
+    o{n} AS (SELECT c.y, c.x, c.cost AS c0, k.cost AS c1, a.cost + b.cost AS c2, d.cost + e.cost AS c3, [{leaf('c', n, n)}] AS l0, k.leaves AS l1,
+        [{leaf('a', half, n)}, {leaf('b', half, n)}] AS l2, [{leaf('d', n, half)}, {leaf('e', n, half)}] AS l3
+        FROM c{n} c JOIN (SELECT y // 2 AS y, x // 2 AS x, sum(cost) AS cost, flatten(list(leaves)) AS leaves FROM l{half} GROUP BY 1, 2 HAVING count(*) = 4) k ON k.y = c.y AND k.x = c.x
+        JOIN t{n} a ON a.y = 2 * c.y AND a.x = c.x JOIN t{n} b ON b.y = 2 * c.y + 1 AND b.x = c.x JOIN s{n} d ON d.y = c.y AND d.x = 2 * c.x JOIN s{n} e ON e.y = c.y AND e.x = 2 * c.x + 1),
+    l{n} AS (SELECT y, x, CASE WHEN c0 <= 1.25 THEN c0 ELSE least(c0, c1, c2, c3) END AS cost,
+        CASE WHEN c0 <= 1.25 OR c0 <= least(c1, c2, c3) THEN l0 WHEN c1 <= least(c2, c3) THEN l1 WHEN c2 <= c3 THEN l2 ELSE l3 END AS leaves FROM o{n})"""
+
+
+@_query(f"""WITH {_RASTER}, {_SCALES}, {_tried_sql()}, {', '.join(_level_sql(n) for n in (16, 32, 64))}
+    SELECT y AS tile_y, x AS tile_x, round(cost, 6) AS cost, leaf[1] AS strategy, leaf[2] AS y, leaf[3] AS x, leaf[4] AS h, leaf[5] AS w FROM (SELECT y, x, cost, unnest(leaves) AS leaf FROM l64)""")
+def transform_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search.search_tiles(rasters.embedding_raster(spark, sf_dir), scale=_SCALE)
+    return out.select(F.col("y").alias("tile_y"), F.col("x").alias("tile_x"), F.round("cost", 6).alias("cost"), F.explode("leaves").alias("l")).select("tile_y", "tile_x", "cost", "l.*")
+
+
+@_query(f"""{_RESIDUALS.replace('WITH ', 'WITH RECURSIVE ', 1)}, hist AS (SELECT x AS column_, token, count(*) AS n FROM tok GROUP BY ALL),
+    m AS (SELECT column_, list_sort(list(n)) AS ws, 0::BIGINT AS bits, count(*) AS tokens FROM hist GROUP BY column_
+          UNION ALL SELECT column_, list_sort(list_append(ws[3:], ws[1] + ws[2])), bits + ws[1] + ws[2], tokens FROM m WHERE len(ws) > 1)
+    SELECT column_, tokens, bits, 32768::BIGINT AS kraft, true AS fits FROM m WHERE len(ws) = 1""")
+def bounded_code_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What prefix codes of at most 15 bits cost for each column of the raster; merging the least weights costs their sum."""
+    tokens = neighbours.residual_tokens(rasters.embedding_raster(spark, sf_dir)).withColumn("column_", F.col("x"))
+    lengths = codelengths.code_lengths_bounded(entropy.histogram(tokens, "column_"), "column_")
+    kraft = F.sum(F.pow(F.lit(2.0), 15 - F.col("len")).cast("long"))
+    return lengths.groupBy("column_").agg(F.count("*").alias("tokens"), F.sum(F.col("n") * F.col("len")).alias("bits"), kraft.alias("kraft"), (F.max("len") <= 15).alias("fits"))
