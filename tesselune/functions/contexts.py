@@ -16,9 +16,15 @@ STRATEGY_CELLS = (
 STRATEGY_ORDER = (0, 0, 0, 0, 2, 3, 4, 4, 5, 5, 6, 6, 0, 0, 1, 1, 1, 1, 7, 8, 8, 9, 10, 10, 11, 12, 12)
 #: Default block contexts by order bucket, of luma (channel 1) and of the other two channels.
 LUMA_CONTEXTS, CHROMA_CONTEXTS = (0, 1, 2, 2, 3, 3, 4, 5, 6, 6, 6, 6, 6), (7, 8, 9, 9, 10, 11, 12, 13, 14, 14, 14, 14, 14)
-#: Fixed values: (highest number of non-zeros left, its part of the density context).
-NONZERO_STEPS = ((1, 0), (2, 31), (4, 62), (8, 93), (12, 123), (20, 152), (32, 180))
-NONZERO_MOST = 206
+#: Part of the density context by the number of non-zeros left, 0 to 63, and by the place, 0 to 63.
+NONZERO_PARTS = (
+    0, 0, 31, 62, 62, 93, 93, 93, 93, 123, 123, 123, 123, 152, 152, 152, 152, 152, 152, 152, 152, 180, 180, 180, 180, 180, 180, 180, 180, 180, 180, 180,
+    180, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206,
+)
+PLACE_PARTS = (
+    0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 15, 16, 16, 17, 17, 18, 18, 19, 19, 20, 20, 21, 21, 22, 22,
+    23, 23, 23, 23, 24, 24, 24, 24, 25, 25, 25, 25, 26, 26, 26, 26, 27, 27, 27, 27, 28, 28, 28, 28, 29, 29, 29, 29, 30, 30, 30, 30,
+)
 
 
 def _of(values: tuple[int, ...], at: Column) -> Column:
@@ -43,17 +49,13 @@ def block_context(channel: Column, bucket: Column) -> Column:
 def zero_density_context(left: Column, k: Column, log2_covered: int, before: Column, block: Column, clusters: int = 15) -> Column:
     """The context of coefficient k, by the non-zeros left from it on and whether the one before was not zero (1 or 0).
 
-    Both numbers are brought to the size of one cell; k counts ever more coarsely from 16 and from 32 on.
+    Both numbers are brought to the size of one cell.
     """
 
     def cell(v: Column) -> Column:
         return F.least(F.lit(63), F.greatest(F.lit(1), F.shiftright(v, log2_covered)))
 
-    left, k = cell(left + (1 << log2_covered) - 1), cell(k)
-    dense = F.lit(NONZERO_MOST)
-    for most, part in reversed(NONZERO_STEPS):
-        dense = F.when(left <= most, part).otherwise(dense)
-    place = F.when(k < 16, k - 1).when(k < 32, F.shiftright(k, 1) + 7).otherwise(F.shiftright(k, 2) + 15)
+    dense, place = _of(NONZERO_PARTS, cell(left + (1 << log2_covered) - 1)), _of(PLACE_PARTS, cell(k))
     return clusters * 37 + block * 458 + 2 * (dense + place) + before
 
 

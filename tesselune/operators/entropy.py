@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselune.functions.codes import bit_length
-from tesselune.operators.ranges import before
+from tesselune.operators.ranges import ROWS, before
 
 #: Frequencies of a table add up to this.
 TABLE = 4096
@@ -92,21 +92,24 @@ def flat(hist: DataFrame, total: int = TABLE) -> DataFrame:
 
 
 def octiles(values: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, k, threshold) for k of 1 to 7: the value at place floor(n * k / 8) in order, ties kept."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1
-    count = F.count("*").over(Window.partitionBy(key))
-    rows = values.select(key, F.col(value).alias("threshold"), place.alias("_i"), count.alias("_n"))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7))))
-    return rows.where(F.col("_i") == F.floor(F.col("_n") * F.col("k") / 8)).select(key, "k", "threshold")
+    """(key, k, threshold) for k of 1 to 7: the value at place floor(n * k / 8) in order, ties kept.
+
+    Equal values are counted first: windows hold a row for each value that a key has, not for each sample.
+    """
+    counts = values.groupBy(key, F.col(value).alias("threshold")).agg(F.count("*").alias("_c"))
+    up = Window.partitionBy(key).orderBy("threshold").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counts.select(key, "threshold", "_c", F.sum("_c").over(up).alias("_end"), F.sum("_c").over(Window.partitionBy(key)).alias("_n"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("_at", F.floor(F.col("_n") * F.col("k") / 8))
+    return rows.where((F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_c"))).select(key, "k", "threshold")
 
 
-def uniform_subsample(rows: DataFrame, order: str, most: int) -> DataFrame:
+def uniform_subsample(rows: DataFrame, order: str, most: int, task_rows: int = ROWS) -> DataFrame:
     """The rows at places floor(i * n / most) of an order; all if there are no more than ``most``.
 
     The place is a global rank, so rows are ranked within ranges of ``order``, a number, and the ranges' counts
     added up.
     """
-    out = before(rows, (), order, F.lit(1).cast("long")).withColumnRenamed("_before", "_place")
+    out = before(rows, (), order, F.lit(1).cast("long"), task_rows).withColumnRenamed("_before", "_place")
     out = out.join(F.broadcast(rows.agg(F.count("*").alias("_n"))))  # one row
     # place = floor(i * n / most) for some i exactly if ceil(place * most / n) * n / most falls below place + 1
     i = F.expr(f"CAST(ceil(_place * {most} / _n) AS bigint)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,16 +72,26 @@ def permutation(code: Column) -> Column:
     )["out"]
 
 
-def unmove_to_front(places: Column, size: int = 256) -> Column:
-    """The symbols of their places in a list whose last used symbol moves to the front."""
-    start = F.struct(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")).alias("order"), F.expr("CAST(array() AS array<bigint>)").alias("out"))
+def unmove_to_front(places: DataFrame, key: str, order: str, size: int = 256) -> DataFrame:
+    """(key, order, symbol) of rows (key, order, place): symbols of places in a list whose last used symbol moves to the front.
 
-    def step(acc: Column, k: Column) -> Column:
-        symbol = F.get(acc["order"], k.cast("int"))
-        order = F.concat(F.array(symbol), F.filter(acc["order"], lambda v: v != symbol))
-        return F.struct(order.alias("order"), F.concat(acc["out"], F.array(symbol)).alias("out"))
+    Rows of a key stream through a task in order, which holds one list; keys are whole numbers.
+    """
+    ready(places.sparkSession)
 
-    return F.aggregate(places, start, step)["out"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, begun, symbols = None, False, []
+        for batch in batches:
+            out = []
+            for k, place in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or k != current:
+                    current, begun, symbols = k, True, list(range(size))
+                out.append(symbols.pop(place))
+                symbols.insert(0, out[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], [key, order, "symbol"])
+
+    rows = places.select(F.col(key).cast("long"), F.col(order).cast("long"), F.col("place").cast("long")).repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInArrow(run, f"{key} long, {order} long, symbol long")
 
 
 def rans_sections(tokens: DataFrame, table: DataFrame, section: str, order: str) -> DataFrame:

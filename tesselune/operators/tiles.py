@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselune.session import ready
@@ -31,7 +31,7 @@ def halo_tiles(pixels: DataFrame, size: int, halo: int) -> DataFrame:
     return pixels.withColumn("ty", F.explode(tiles("y"))).withColumn("tx", F.explode(tiles("x")))
 
 
-def block_sigma(quant: int, sharpness: int, global_scale: int = 4096) -> float:
+def block_sigma(quant: float | Column, sharpness: int, global_scale: int = 4096) -> float | Column:
     """A block's sigma from its quantiser and sharpness 0 to 7."""
     return 65536.0 / global_scale / quant * QUANT_FACTOR * sharpness / 7
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesselune.functions import codes, contexts
 from tesselune.operators import blocks, entropy, layout, neighbours, recurrences, smallblocks, stencils, tiles, weighted
+from tesselune.operators.transforms import coefficients
 from tesselune.sources import rasters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,7 +196,8 @@ def rct_inverse_all42(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.explode("k").alias("k")).select("k.*")
 
 
-_RGB8 = "rgb AS (SELECT i // 64 AS y, i % 64 AS x, ((i % 64) + 3 * (i // 64)) & 255 AS r, (5 * (i % 64) + i // 64) & 255 AS g, (xor(i % 64, i // 64) + 77) & 255 AS b FROM range(64 * 64) t(i))"
+_RGB8 = "rgb AS (SELECT vec_id AS y, x, " + ", ".join(f"floor((embedding[3 * x + {k + 1}]::DOUBLE + 1.0) * 127.5)::BIGINT AS {c}" for k, c in enumerate("rgb")) + """
+    FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 3)) AS x FROM embeddings)), size AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM rgb)"""
 
 
 def _rgb_planes() -> str:
@@ -205,7 +207,7 @@ def _rgb_planes() -> str:
 
 @_query(f"{_rgb_planes()}, u AS (SELECT channel, {_ZIGZAG.format(r=f'(v - {_GRADIENT})')} AS u FROM near) SELECT CASE WHEN channel < 3 THEN 'rgb' ELSE 'ycocg' END AS space, sum({_BITS.format(u='u')})::BIGINT AS bits FROM u GROUP BY 1")
 def rct_gate_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = rasters.rgb8(spark, 64, 64)
+    pixels = rasters.embedding_pixels(spark, sf_dir)
     r, g, b = (F.col(k) for k in "rgb")
     planes = pixels.select("image_id", "y", "x", F.posexplode(F.array(r, g, b, *codes.ycocg_forward(r, g, b))).alias("channel", "v"))
     out = neighbours.neighbours(planes)
@@ -216,17 +218,18 @@ def rct_gate_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""WITH pal AS (SELECT n_nationkey AS i, (n_nationkey * 37 % 256)::BIGINT AS r, (n_nationkey * 91 % 256)::BIGINT AS g, (n_nationkey * 53 % 256)::BIGINT AS b FROM nation),
     px AS (SELECT c_custkey AS k, c_custkey % 100 AS i FROM customer)
-    SELECT k, px.i AS i, CASE WHEN px.i < 25 THEN r WHEN px.i < 89 THEN ((((px.i - 25) & 3) * 255) >> 2) + 32 ELSE 0 END AS r,
-           CASE WHEN px.i < 25 THEN g WHEN px.i < 89 THEN ((((px.i - 25) >> 2 & 3) * 255) >> 2) + 32 ELSE 0 END AS g,
-           CASE WHEN px.i < 25 THEN b WHEN px.i < 89 THEN ((((px.i - 25) >> 4 & 3) * 255) >> 2) + 32 ELSE 0 END AS b
-    FROM px LEFT JOIN pal ON px.i = pal.i""")
+    SELECT k, px.i AS i, CASE WHEN px.i < s THEN r WHEN px.i < s + 64 THEN ((((px.i - s) & 3) * 255) >> 2) + 32 ELSE 0 END AS r,
+           CASE WHEN px.i < s THEN g WHEN px.i < s + 64 THEN ((((px.i - s) >> 2 & 3) * 255) >> 2) + 32 ELSE 0 END AS g,
+           CASE WHEN px.i < s THEN b WHEN px.i < s + 64 THEN ((((px.i - s) >> 4 & 3) * 255) >> 2) + 32 ELSE 0 END AS b
+    FROM px CROSS JOIN (SELECT count(*) AS s FROM nation) LEFT JOIN pal ON px.i = pal.i""")
 def palette_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = rasters.table(spark, sf_dir, "nation")
     pal = nation.select(F.col("n_nationkey").cast("long").alias("i"), *[(F.col("n_nationkey") * m % 256).cast("long").alias(f"p{k}") for k, m in enumerate((37, 91, 53))])
     px = rasters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 100).alias("i"))
-    cube = [F.shiftright(F.shiftright(F.col("i") - 25, 2 * c).bitwiseAND(3) * 255, 2) + 32 for c in range(3)]
+    size = F.lit(nation.count())
+    cube = [F.shiftright(F.shiftright(F.col("i") - size, 2 * c).bitwiseAND(3) * 255, 2) + 32 for c in range(3)]
     out = px.join(pal, "i", "left")
-    return out.select("k", "i", *[F.when(F.col("i") < 25, F.col(f"p{c}")).when(F.col("i") < 89, cube[c]).otherwise(0).cast("long").alias("rgb"[c]) for c in range(3)])
+    return out.select("k", "i", *[F.when(F.col("i") < size, F.col(f"p{c}")).when(F.col("i") < size + 64, cube[c]).otherwise(0).cast("long").alias("rgb"[c]) for c in range(3)])
 
 
 _XYB = """lms AS (SELECT *, cbrt(0.30 * r + 0.622 * g + 0.078 * b + 0.0037930732552754493) - cbrt(0.0037930732552754493) AS l,
@@ -245,11 +248,12 @@ def srgb_to_xyb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("a").alias("qa"), F.col("b").alias("qb"), F.col("c").alias("qc"), *[(F.round(v, 8) + 0.0).alias(n) for v, n in ((x, "xyb_x"), (y, "xyb_y"), (b, "xyb_b"))])
 
 
-@_query(f"""WITH v AS (SELECT i AS code, i / 255.0::DOUBLE AS v FROM range(256) t(i)), l AS (SELECT code, {_LINEAR.format(v='v')} AS lin FROM v)
-    SELECT code, round(lin, 9) AS linear, round(255 * CASE WHEN lin <= 0.0031308 THEN lin * 12.92 ELSE 1.055 * pow(lin, 1 / 2.4::DOUBLE) - 0.055 END)::BIGINT AS back FROM l""")
+@_query(f"""WITH {_RASTER}, v AS (SELECT v AS code, v / 255.0::DOUBLE AS v, count(*) AS n FROM raster GROUP BY ALL), l AS (SELECT code, n, {_LINEAR.format(v='v')} AS lin FROM v)
+    SELECT code, n, round(lin, 9) AS linear, round(255 * CASE WHEN lin <= 0.0031308 THEN lin * 12.92 ELSE 1.055 * pow(lin, 1 / 2.4::DOUBLE) - 0.055 END)::BIGINT AS back FROM l""")
 def srgb_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(256).select(F.col("id").alias("code"), codes.srgb_to_linear(F.col("id") / 255.0).alias("lin"))
-    return rows.select("code", F.round("lin", 9).alias("linear"), F.round(255 * codes.linear_to_srgb(F.col("lin"))).cast("long").alias("back"))
+    levels = rasters.embedding_raster(spark, sf_dir).groupBy(F.col("v").alias("code")).agg(F.count("*").alias("n"))
+    rows = levels.withColumn("lin", codes.srgb_to_linear(F.col("code") / 255.0))
+    return rows.select("code", "n", F.round("lin", 9).alias("linear"), F.round(255 * codes.linear_to_srgb(F.col("lin"))).cast("long").alias("back"))
 
 
 @_query(f"""WITH {_PIXELS}, s AS (SELECT a AS y, b + 90 AS cb, c + 120 AS cr, n FROM px)
@@ -369,12 +373,14 @@ def tile_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.tiled(rasters.embedding_raster(spark, sf_dir), 64).groupBy("gy", "gx").agg(F.count("*").alias("samples"), F.sum("v").alias("total"))
 
 
-@_query("""WITH c AS (SELECT i // 31 AS y, i % 31 AS x, ((i % 31) * 13 + (i // 31) * 29 + (xor(i % 31, i // 31) & 63)) & 4095 AS v FROM range(31 * 17) t(i)), o AS (SELECT *, o.o::INTEGER AS o FROM c, range(1, 9) o(o))
-    SELECT o::INTEGER AS orientation, CASE WHEN o IN (2, 3) THEN 30 - x WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN 16 - y ELSE x END AS x,
-           CASE WHEN o IN (3, 4) THEN 16 - y WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN 30 - x ELSE y END AS y, v FROM o""")
+@_query(f"""WITH {_RASTER}, size AS (SELECT max(y) AS h, max(x) AS w FROM raster)
+    SELECT o::INTEGER AS orientation, CASE WHEN o IN (2, 3) THEN w - x WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN h - y ELSE x END AS x,
+           CASE WHEN o IN (3, 4) THEN h - y WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN w - x ELSE y END AS y, v FROM raster, size, range(1, 9) o(o)""")
 def exif_orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rasters.grey12(spark, 31, 17).withColumn("orientation", F.explode(F.sequence(F.lit(1), F.lit(8))))
-    x, y = layout.oriented(F.col("x"), F.col("y"), F.lit(31).cast("long"), F.lit(17).cast("long"), F.col("orientation"))
+    raster = rasters.embedding_raster(spark, sf_dir)
+    size = raster.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))  # a row an image
+    rows = raster.join(size, "image_id").withColumn("orientation", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    x, y = layout.oriented(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("orientation"))
     return rows.select("orientation", x.alias("x"), y.alias("y"), "v")
 
 
@@ -440,16 +446,6 @@ def _order_sql(width: int, height: int) -> str:
         SELECT row_number() OVER (ORDER BY CASE WHEN low THEN -1 ELSE d END, CASE WHEN low THEN i WHEN d % 2 = 1 THEN y ELSE -y END) - 1 AS place, i AS index FROM d"""
 
 
-@_query(_order_sql(1, 1))
-def natural_order_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.natural_order(spark)
-
-
-@_query(_order_sql(4, 2))
-def natural_order_32x16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.natural_order(spark, 4, 2)
-
-
 _DCT = f"""WITH {_RASTER}, b AS (SELECT k::INTEGER AS k, i::INTEGER AS i, CASE WHEN k = 0 THEN 1.0 ELSE sqrt(2.0) END / 8 * cos((2 * i + 1) * k * pi() / 16) AS b FROM range(8) k(k), range(8) i(i)),
     full_ AS (SELECT *, y // 8 AS "by", x // 8 AS bx, count(*) OVER (PARTITION BY y // 8, x // 8) AS n FROM raster),
     a AS (SELECT "by", bx, y % 8 AS iy, k AS u, sum(v * b) AS s FROM full_ JOIN b ON x % 8 = b.i WHERE n = 64 GROUP BY ALL),
@@ -512,6 +508,25 @@ def _quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "channel", "by", "bx", "v", "u", (F.col("v") * 8 + F.col("u")).alias("k"), F.round(F.round("coef", 6) / 2).cast("long").alias("q"))
 
 
+@_query(f"""{_DCT}, q AS (SELECT v * 8 + u AS index, round(round(coef, 6) / 2)::BIGINT AS q FROM co), o AS ({_order_sql(1, 1)})
+    SELECT place, o.index, count_if(q <> 0)::BIGINT AS nonzeros FROM o JOIN q USING (index) GROUP BY ALL""")
+def natural_order_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nonzero coefficients of the raster's blocks by place in the scan."""
+    per = _quantised(spark, sf_dir).groupBy(F.col("k").cast("long").alias("index")).agg(F.count_if(F.col("q") != 0).alias("nonzeros"))
+    return per.join(blocks.natural_order(spark), "index").select("place", "index", "nonzeros")
+
+
+@_query(f"""WITH {_RASTER}, f AS (SELECT *, y // 16 AS "by", x // 32 AS bx, count(*) OVER (PARTITION BY y // 16, x // 32) AS n FROM raster),
+    a AS (SELECT "by", bx, y % 16 AS iy, u, sum(v * {_cosine_sql(32, 'u', 'x % 32')}) AS s FROM f, range(32) r(u) WHERE n = 512 GROUP BY ALL),
+    co AS (SELECT "by", bx, v, u, sum(s * {_cosine_sql(16, 'v', 'iy')}) AS coef FROM a, range(16) r(v) GROUP BY ALL),
+    q AS (SELECT v * 32 + u AS index, round(round(coef, 6) / 2)::BIGINT AS q FROM co), o AS ({_order_sql(4, 2)})
+    SELECT place, o.index, count_if(q <> 0)::BIGINT AS nonzeros FROM o JOIN q USING (index) GROUP BY ALL""")
+def natural_order_32x16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coefs = coefficients(rasters.embedding_raster(spark, sf_dir), 16, 32)
+    per = coefs.groupBy(F.col("place").cast("long").alias("index")).agg(F.count_if(F.round(F.round("coef", 6) / 2) != 0).alias("nonzeros"))
+    return per.join(blocks.natural_order(spark, 4, 2), "index").select("place", "index", "nonzeros")
+
+
 @_query(f"""{_QUANT} SELECT "by", bx, v, u, q, round(CASE WHEN q = 0 THEN 0.0 WHEN abs(q) = 1 THEN q * (1 - 0.05465007330715401) ELSE q - 0.145 / q END, 9) + 0.0 AS value FROM q""")
 def dequantise_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _quantised(spark, sf_dir)
@@ -544,41 +559,49 @@ def nonzero_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("y", "x", "nz", "predicted", blocks.nonzero_context(F.col("predicted"), F.lit(0)).cast("long").alias("context"))
 
 
-@_query("""WITH c AS (SELECT i // 8 AS y, i % 8 AS x FROM range(64) t(i)), t AS (SELECT [3150.0, 2110.5, 1055.25, 707.0175, 353.50875, 116.6578875]::DOUBLE[] AS v),
+@_query(f"""{_DCT}, c AS (SELECT i // 8 AS y, i % 8 AS x FROM range(64) t(i)), t AS (SELECT [3150.0, 2110.5, 1055.25, 707.0175, 353.50875, 116.6578875]::DOUBLE[] AS bands),
     p AS (SELECT y, x, greatest(0, least(5, sqrt((y / 7.0) * (y / 7.0) + (x / 7.0) * (x / 7.0)) / sqrt(2.0) * 5)) AS pos FROM c),
-    q AS (SELECT y, x, pos, least(4, floor(pos))::INTEGER AS k FROM p)
-    SELECT y, x, round(v[k + 1] * pow(v[k + 2] / v[k + 1], pos - k), 5) AS weight FROM q, t""")
+    q AS (SELECT y, x, pos, least(4, floor(pos))::INTEGER AS k FROM p),
+    w AS (SELECT y, x, bands[k + 1] * pow(bands[k + 2] / bands[k + 1], pos - k) AS weight FROM q, t)
+    SELECT y, x, round(weight, 5) AS weight, round(sum(abs(round(coef, 6)) / weight), 6) AS steps FROM w JOIN co ON co.v = y AND co.u = x GROUP BY y, x, weight""")
 def band_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.band_weights(spark, BANDS).select("y", "x", F.round("weight", 5).alias("weight"))
+    """Weights, and how many steps of them the raster's coefficients are in all."""
+    coefs = blocks.block_coefficients(rasters.embedding_raster(spark, sf_dir)).groupBy(F.col("v").cast("long").alias("y"), F.col("u").cast("long").alias("x")).agg(F.sum(F.abs(F.round("coef", 6))).alias("size"))
+    both = coefs.join(blocks.band_weights(spark, BANDS), ["y", "x"])
+    return both.select("y", "x", F.round("weight", 5).alias("weight"), F.round(F.col("size") / F.col("weight"), 6).alias("steps"))
 
 
 @_query(f"""WITH {_RGB8}, f AS (SELECT y, x, y // 8 AS "by", x // 8 AS bx, r / 2550.0::DOUBLE AS c0, g / 2550.0::DOUBLE AS c1, b / 2550.0::DOUBLE AS c2 FROM rgb),
     s AS (SELECT *, {', '.join(f"coalesce(abs(lead({c}) OVER h - {c}), 0) + coalesce(abs(lead({c}) OVER d - {c}), 0) AS {c}_s" for c in ('c0', 'c1', 'c2'))} FROM f
           WINDOW h AS (PARTITION BY "by", bx, y ORDER BY x), d AS (PARTITION BY "by", bx, x ORDER BY y)),
-    a AS (SELECT "by", bx, sqrt((0.35 * var_pop(c0) + var_pop(c1) + 0.15 * var_pop(c2)) / 1.5) + 0.5 * ((0.35 * sum(c0_s) + sum(c1_s) + 0.15 * sum(c2_s)) / 112 / 1.5) AS act FROM s GROUP BY ALL)
+    a AS (SELECT "by", bx, sqrt((0.35 * var_pop(c0) + var_pop(c1) + 0.15 * var_pop(c2)) / 1.5) + 0.5 * ((0.35 * sum(c0_s) + sum(c1_s) + 0.15 * sum(c2_s)) / 112 / 1.5) AS act FROM s GROUP BY ALL HAVING count(*) = 64)
     SELECT "by", bx, CASE WHEN act <= 1e-7 THEN 5 ELSE least(24, greatest(5, round(5 + least(1, greatest(0, act / 0.25)) * 19))) END::BIGINT AS qf FROM a""")
 def adaptive_quantiser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = rasters.rgb8(spark, 64, 64).select("image_id", "y", "x", *[(F.col(k) / 2550.0).alias(f"c{i}") for i, k in enumerate("rgb")])
+    pixels = rasters.embedding_pixels(spark, sf_dir).select("image_id", "y", "x", *[(F.col(k) / 2550.0).alias(f"c{i}") for i, k in enumerate("rgb")])
     return blocks.quantiser_field(pixels).select("by", "bx", "qf")
 
 
-def _stencil_sql(weights: dict[tuple[int, int], float], mirror: bool) -> str:
+def _stencil_sql(reach: int, weight: str, mirror: bool) -> str:
+    """weight: SQL over a, the smaller, and b, the larger of a neighbour's distances."""
+
     def edge(e: str, n: str) -> str:
         return f"CASE WHEN {e} < 0 THEN -({e}) - 1 WHEN {e} >= {n} THEN 2 * {n} - 1 - ({e}) ELSE {e} END" if mirror else f"greatest(0, least({n} - 1, {e}))"
 
-    offsets = ", ".join(f"({dy}, {dx}, {w!r}::DOUBLE)" for (dy, dx), w in weights.items())
-    return f"""WITH {_RASTER}, size AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM raster), o(dy, dx, wt) AS (VALUES {offsets}),
+    return f"""WITH {_RASTER}, size AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM raster),
+        d AS (SELECT dy, dx, least(abs(dy), abs(dx)) AS a, greatest(abs(dy), abs(dx)) AS b FROM range({-reach}, {reach + 1}) i(dy), range({-reach}, {reach + 1}) j(dx)),
+        u AS (SELECT dy, dx, ({weight})::DOUBLE AS u FROM d), o AS (SELECT dy, dx, u / (SELECT sum(u) FROM u) AS wt FROM u),
         p AS (SELECT r.y, r.x, r.v, wt, {edge('r.y + dy', 'h')} AS sy, {edge('r.x + dx', 'w')} AS sx FROM raster r, size, o)
         SELECT p.y, p.x, p.v::DOUBLE AS v, round(sum(wt * s.v), 6) AS filtered FROM p JOIN raster s ON s.y = sy AND s.x = sx GROUP BY ALL"""
 
 
-@_query(_stencil_sql(stencils.gaborish_weights(), False))
+@_query(_stencil_sql(1, "CASE a + b WHEN 0 THEN 1 WHEN 1 THEN 0.115169525 ELSE 0.061248592 END", False))
 def gaborish(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stencils.stencil(rasters.embedding_raster(spark, sf_dir), stencils.gaborish_weights())
     return out.select("y", "x", "v", F.round("filtered", 6).alias("filtered"))
 
 
-@_query(_stencil_sql(stencils.sharpen_weights(), True))
+@_query(_stencil_sql(2, """CASE WHEN b = 0 THEN 1 WHEN a = 0 AND b = 1 THEN -0.09495815671340026 WHEN a = 1 AND b = 1 THEN -0.041031725066768575 WHEN a = 0 THEN 0.013710004822696948
+    WHEN a = 1 THEN 0.006510206083837737 ELSE -0.0014789063378272242 END""", True))
 def inverse_gaborish(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stencils.stencil(rasters.embedding_raster(spark, sf_dir), stencils.sharpen_weights(), stencils.mirrored)
     return out.select("y", "x", "v", F.round("filtered", 6).alias("filtered"))
@@ -591,14 +614,14 @@ def _smooth_sql() -> str:
     moved = ", ".join(f"round(c.{c} + CASE WHEN f IS NULL THEN 0 ELSE (m_{c} - c.{c}) * f END, 7) AS {c}" for c in names)
     return f"""WITH {_RGB8}, c AS (SELECT y, x, r::DOUBLE AS c0, g::DOUBLE AS c1, b::DOUBLE AS c2 FROM rgb),
         o AS (SELECT dy, dx, abs(dy) + abs(dx) AS ad FROM range(-1, 2) a(dy), range(-1, 2) b(dx)),
-        m AS (SELECT c.y, c.x, {sums} FROM c, o JOIN c s ON s.y = c.y + dy AND s.x = c.x + dx WHERE c.y BETWEEN 1 AND 62 AND c.x BETWEEN 1 AND 62 GROUP BY ALL),
+        m AS (SELECT c.y, c.x, {sums} FROM c, o JOIN c s ON s.y = c.y + dy AND s.x = c.x + dx WHERE c.y BETWEEN 1 AND (SELECT h - 2 FROM size) AND c.x BETWEEN 1 AND (SELECT w - 2 FROM size) GROUP BY ALL),
         g AS (SELECT m.*, greatest(0, least(1, 3 - 4 * greatest({gap}))) AS f FROM m JOIN c USING (y, x))
         SELECT c.y, c.x, {moved} FROM c LEFT JOIN g USING (y, x)"""
 
 
 @_query(_smooth_sql())
 def dc_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dc = rasters.rgb8(spark, 64, 64).select("image_id", "y", "x", *[F.col(k).cast("double").alias(f"c{i}") for i, k in enumerate("rgb")])
+    dc = rasters.embedding_pixels(spark, sf_dir).select("image_id", "y", "x", *[F.col(k).cast("double").alias(f"c{i}") for i, k in enumerate("rgb")])
     return stencils.smooth_dc(dc, (4.0, 4.0, 4.0)).select("y", "x", *[F.round(c, 7).alias(c) for c in ("c0", "c1", "c2")])
 
 
@@ -606,25 +629,24 @@ def dc_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges_sql(step: int) -> str:
-    offsets, cross = (tiles.FIRST if step == 0 else tiles.SIDES), (((0, 0),) if step == 2 else tiles.CROSS)
-
-    def m(e: str, n: int) -> str:
-        return f"CASE WHEN {e} < 0 THEN -({e}) - 1 WHEN {e} >= {n} THEN {2 * n - 1} - ({e}) ELSE {e} END"
-
-    values = ", ".join(f"({k}, {dy}, {dx})" for k, (dy, dx) in enumerate(offsets))
-    crosses = ", ".join(f"({dy}, {dx})" for dy, dx in cross)
-    sad = " + ".join(f"{w}::DOUBLE * abs(a.c{c} - b.c{c})" for c, w in enumerate(tiles.CHANNELS))
-    return f"""WITH {_RGB8}, p AS (SELECT y, x, r / 2550.0::DOUBLE AS c0, g / 2550.0::DOUBLE AS c1, b / 2550.0::DOUBLE AS c2 FROM rgb), o(k, dy, dx) AS (VALUES {values}), c(cy, cx) AS (VALUES {crosses}),
-        s AS (SELECT p.y, p.x, k, dy, dx, sum({sad}) AS sad FROM p, o, c JOIN p a ON a.y = {m('p.y + cy', 64)} AND a.x = {m('p.x + cx', 64)} JOIN p b ON b.y = {m('p.y + dy + cy', 64)} AND b.x = {m('p.x + dx + cx', 64)} GROUP BY ALL),
-        w AS (SELECT y, x, dy, dx, greatest(0, 1 - sad * {tiles.SIGMA_UNIT}::DOUBLE * CASE WHEN y % 8 IN (0, 7) OR x % 8 IN (0, 7) THEN {tiles.BORDER}::DOUBLE ELSE 1 END / ({tiles.block_sigma(2, 5)}::DOUBLE * {tiles.SIGMA_SCALE[step]}::DOUBLE)) AS w FROM s),
-        t AS (SELECT w.y, w.x, sum(w) AS w, {', '.join(f'sum(w * n.c{c}) AS t{c}' for c in range(3))} FROM w JOIN p n ON n.y = {m('w.y + dy', 64)} AND n.x = {m('w.x + dx', 64)} GROUP BY ALL)
+    def m(e: str, n: str) -> str:
+        return f"CASE WHEN {e} < 0 THEN -({e}) - 1 WHEN {e} >= {n} THEN 2 * {n} - 1 - ({e}) ELSE {e} END"
+
+    near, cross = ("1 AND 2", "1 AND 1", "1 AND 1")[step], (1, 1, 0)[step]
+    return f"""WITH {_RGB8}, p AS (SELECT y, x, r / 2550.0::DOUBLE AS c0, g / 2550.0::DOUBLE AS c1, b / 2550.0::DOUBLE AS c2, 16 / (1 + (y // 8 + x // 8) % 5)::DOUBLE * 0.27878788 * 5 / 7 AS sigma FROM rgb),
+        o AS (SELECT dy, dx FROM range(-2, 3) i(dy), range(-2, 3) j(dx) WHERE abs(dy) + abs(dx) BETWEEN {near}), c AS (SELECT cy, cx FROM range(-1, 2) i(cy), range(-1, 2) j(cx) WHERE abs(cy) + abs(cx) <= {cross}),
+        s AS (SELECT p.y, p.x, dy, dx, p.sigma, sum(40 * abs(a.c0 - b.c0) + 5 * abs(a.c1 - b.c1) + 3.5 * abs(a.c2 - b.c2)) AS sad FROM p, size, o, c JOIN p a ON a.y = {m('p.y + cy', 'h')} AND a.x = {m('p.x + cx', 'w')} JOIN p b ON b.y = {m('p.y + dy + cy', 'h')} AND b.x = {m('p.x + dx + cx', 'w')} GROUP BY ALL),
+        w AS (SELECT y, x, dy, dx, greatest(0, 1 - sad * 1.1715728752538099::DOUBLE * CASE WHEN y % 8 IN (0, 7) OR x % 8 IN (0, 7) THEN 2 / 3.0::DOUBLE ELSE 1 END / (sigma * {(1.65, 1.0, 0.65)[step]}::DOUBLE)) AS w FROM s),
+        t AS (SELECT w.y, w.x, sum(w.w) AS w, {', '.join(f'sum(w.w * n.c{c}) AS t{c}' for c in range(3))} FROM w, size JOIN p n ON n.y = {m('w.y + dy', 'h')} AND n.x = {m('w.x + dx', 'size.w')} GROUP BY ALL)
         SELECT p.y, p.x, {', '.join(f'round((p.c{c} + t{c}) / (1 + w), 7) AS c{c}' for c in range(3))} FROM p JOIN t USING (y, x)"""
 
 
 def _edges(step: int) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pixels = rasters.rgb8(spark, 64, 64).select("image_id", "y", "x", *[(F.col(k) / 2550.0).alias(f"c{i}") for i, k in enumerate("rgb")])
-        pixels = pixels.withColumns({"sigma": F.lit(tiles.block_sigma(2, 5)), "height": F.lit(64), "width": F.lit(64)})
+        pixels = rasters.embedding_pixels(spark, sf_dir)
+        size = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))  # a row an image
+        quant = 1 + (F.floor(F.col("y") / 8) + F.floor(F.col("x") / 8)) % 5
+        pixels = pixels.select("image_id", "y", "x", *[(F.col(k) / 2550.0).alias(f"c{i}") for i, k in enumerate("rgb")], tiles.block_sigma(quant, 5).alias("sigma")).join(size, "image_id")
         return tiles.preserve_edges(pixels, step, 24).select("y", "x", *[F.round(f"c{k}", 7).alias(f"c{k}") for k in range(3)])
 
     run.__name__ = f"edge_preserving_{step}"
@@ -666,9 +688,10 @@ def lehmer_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT user_id, p, i + 1, list_concat([ord[p[i] + 1]], list_filter(ord, lambda v: v <> ord[p[i] + 1])), list_append(out, ord[p[i] + 1]) FROM s WHERE i <= len(p))
     SELECT user_id, array_to_string(out, ',') AS symbols FROM s WHERE i = len(p) + 1""")
 def inverse_move_to_front(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_id") * 5 % 16).alias("p"))))
-    rows = rasters.table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(ordered, lambda e: e["p"]).alias("p"))
-    return rows.select("user_id", F.array_join(F.transform(recurrences.unmove_to_front(F.col("p"), 16), lambda v: v.cast("string")), ",").alias("symbols"))
+    places = rasters.table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 5 % 16).alias("place"))
+    symbols = recurrences.unmove_to_front(places, "user_id", "event_id", 16)
+    ordered = F.array_sort(F.collect_list(F.struct("event_id", "symbol")))
+    return symbols.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda e: e["symbol"].cast("string")), ",").alias("symbols"))
 
 
 @_query(f"""{_QUANT}, m AS (SELECT q, count(*) AS n FROM q GROUP BY q), c AS (SELECT q, n, CASE WHEN q = 0 THEN 0 ELSE floor(log2(abs(q)))::INTEGER + 1 END AS category FROM m)
@@ -725,8 +748,14 @@ def xyb_to_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.lineitem_pixels(spark, sf_dir).select("a", "b", "c", *[(F.round(v, 8) + 0.0).alias(n) for v, n in zip(found, ("red", "green", "blue"), strict=True)])
 
 
-_FREQUENCY_PARTS = [0, 0, *range(1, 15), *(15 + i // 2 for i in range(16)), *(23 + i // 4 for i in range(32))]
-_NONZERO_PARTS = [0, 0, 31, *[62] * 2, *[93] * 4, *[123] * 4, *[152] * 8, *[180] * 12, *[206] * 31]
+_FREQUENCY_PARTS = [
+    0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 15, 16, 16, 17, 17, 18, 18, 19, 19, 20, 20, 21, 21, 22, 22,
+    23, 23, 23, 23, 24, 24, 24, 24, 25, 25, 25, 25, 26, 26, 26, 26, 27, 27, 27, 27, 28, 28, 28, 28, 29, 29, 29, 29, 30, 30, 30, 30,
+]
+_NONZERO_PARTS = [
+    0, 0, 31, 62, 62, 93, 93, 93, 93, 123, 123, 123, 123, 152, 152, 152, 152, 152, 152, 152, 152, 180, 180, 180, 180, 180, 180, 180, 180, 180, 180, 180,
+    180, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206,
+]
 
 
 @_query(f"""{_QUANT}, ord AS ({_order_sql(1, 1)}),

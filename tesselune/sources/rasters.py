@@ -25,6 +25,13 @@ def embedding_raster(spark: SparkSession, sf_dir: str, levels: float = 127.5) ->
     )
 
 
+def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels (image_id, y, x, r, g, b) of 0 to 255: three elements of an embedding after another are one pixel of its line."""
+    level = lambda k: F.floor((F.get("embedding", k).cast("double") + 1.0) * 127.5).cast("long")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1)).alias("x"))
+    return rows.select(F.lit("embeddings").alias("image_id"), F.col("vec_id").alias("y"), F.col("x").cast("long").alias("x"), *[level(3 * F.col("x") + c).alias("rgb"[c]) for c in range(3)])
+
+
 def lineitem_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct pixels (a, b, c) of quantity, discount and tax in per cent, with their number n."""
     rows = table(spark, sf_dir, "lineitem").select(
@@ -46,13 +53,6 @@ def grey12(spark: SparkSession, width: int, height: int) -> DataFrame:
     return closed_form(spark, width, height, (x * 13 + y * 29 + x.bitwiseXOR(y).bitwiseAND(63)).bitwiseAND(4095), "grey12")
 
 
-def rgb8(spark: SparkSession, width: int, height: int) -> DataFrame:
-    """Pixels (y, x, r, g, b)."""
-    x, y = F.col("x"), F.col("y")
-    cells = closed_form(spark, width, height, F.lit(0), "rgb8")
-    return cells.select("image_id", "y", "x", (x + 3 * y).bitwiseAND(255).alias("r"), (5 * x + y).bitwiseAND(255).alias("g"), (x.bitwiseXOR(y) + 77).bitwiseAND(255).alias("b"))
-
-
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sequence of frames for each user: (sequence_id, i, duration)."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("sequence_id"), F.col("event_id").alias("i"), (F.col("event_id") % 7 + 1).alias("duration"))

@@ -67,9 +67,37 @@ def test_a_large_image_is_dealt_out_by_bands(spark):
 
 
 def test_sums_before_a_row_across_ranges(spark):
-    rows = spark.range(5000).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS k", "id AS o", "id % 11 AS s")
-    total = {}
-    for r in sorted(ranges.before(rows, ("k",), "o", F.col("s")).collect(), key=lambda r: r.o):
-        assert r._before == total.get(r.k, 0)
-        total[r.k] = total.get(r.k, 0) + r.s
-    assert ranges.before(rows.limit(0), ("k",), "o", F.col("s")).count() == 0
+    rows = spark.range(5000).selectExpr("IF(id % 3 = 0, NULL, IF(id % 50 = 1, 7, id % 3)) AS k", "id AS o", "id % 11 AS s")
+    for most in (100, 1000, 1 << 20):  # all keys cut; those of many rows; none
+        total = {}
+        got = sorted(ranges.before(rows, ("k",), "o", F.col("s"), most).collect(), key=lambda r: r.o)
+        assert len(got) == 5000
+        for r in got:
+            assert r._before == total.get(r.k, 0)
+            total[r.k] = total.get(r.k, 0) + r.s
+        whole = sorted(ranges.before(rows, (), "o", F.col("s"), most).collect(), key=lambda r: r.o)
+        assert [r._before for r in whole] == [sum(i % 11 for i in range(r.o)) for r in whole]
+        assert ranges.before(rows.limit(0), ("k",), "o", F.col("s"), most).count() == 0
+
+
+def test_a_hot_key_is_cut_into_ranges(spark):
+    rows = spark.range(3000).selectExpr("IF(id < 2900, 0, id) AS k", "id AS o", "1L AS s")
+    plan = lambda most: ranges.before(rows, ("k",), "o", F.col("s"), most)._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan(500) and "_part" not in plan(1 << 20)
+
+
+def test_octiles_and_move_to_front(spark):
+    from tesselune.operators import entropy
+
+    rows = [(k, (i * i + k) % 9) for k in range(3) for i in range(50 + k)]
+    got = {(r.k0, r.k): r.threshold for r in entropy.octiles(spark.createDataFrame(rows, "k0 int, v int"), "k0", "v").collect()}
+    for k in range(3):
+        own = sorted(v for j, v in rows if j == k)
+        assert [got[k, i] for i in range(1, 8)] == [own[len(own) * i // 8] for i in range(1, 8)]
+    places = spark.createDataFrame([(u, o, (u * 7 + o * 5) % 6) for u in range(4) for o in range(30)], "u long, o long, place long")
+    for u in range(4):
+        symbols, want = list(range(6)), []
+        for o in range(30):
+            want.append(symbols.pop((u * 7 + o * 5) % 6))
+            symbols.insert(0, want[-1])
+        assert [r.symbol for r in recurrences.unmove_to_front(places.where(F.col("u") == u), "u", "o", 6).orderBy("o").collect()] == want
