@@ -1,7 +1,8 @@
 """Phrases whose words keep together, by count tries of limited depth.
 
-Every shard (a partition of the documents) counts its phrases in a trie, serialises the nodes sorted by path, and
-the shards' nodes are merged by ranges of paths, so that a frequent first word is cut at its later words. A part of
+Every shard (a partition of the documents) counts its phrases in a trie and serialises it sorted, a piece for each
+range of prefixes; the shards' pieces of a range are merged in one task. A range goes by a prefix of two or three
+words, so that a frequent first word falls into many. A part of
 a phrase occurs at least as often as the phrase: so words are counted first, then pairs of frequent words, then
 phrases of three to five words whose pairs are all frequent. What is frequent goes to the tasks as a Bloom filter
 of bounded size: it lets some others through, which are counted and fall away, and holds back none.
@@ -26,11 +27,32 @@ from .textkernel import SPACES, Words, byte_set, mix, slices, windows
 ENDS = byte_set(b".,;:!?\n\v\f\r")
 DEPTH = 5
 #: A shard's trie is written and begun anew when it holds so many paths.
-PATHS = 1 << 19
+PATHS = 1 << 18
+#: Words of the corpus for each range of prefixes.
+RANGE_WORDS = 1 << 18
 #: Bits of the filter of what is frequent: 16 for each entry, up to 32 MB in all.
 FILTER_BITS = 1 << 28
 
 
+def pack(paths: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted paths and their counts; of a path what it shares with the one before is left out."""
+    shared = np.zeros(len(paths), np.uint8)
+    shared[1:] = (np.cumsum(paths[1:] != paths[:-1], 1) == 0).sum(1)
+    own = paths[np.arange(paths.shape[1]) >= shared[:, None]]
+    return b"".join((len(paths).to_bytes(8, "little"), shared.tobytes(), own.astype("<u8").tobytes(), counts.astype("<i8").tobytes()))
+
+
+def unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    shared = np.frombuffer(blob, np.uint8, n, 8)
+    own = np.arange(width) >= shared[:, None]
+    size = int(own.sum())
+    paths = np.zeros((n, width), np.uint64)
+    paths[own] = np.frombuffer(blob, "<u8", size, 8 + n)
+    last = np.maximum.accumulate(np.where(own, np.arange(n)[:, None], 0), 0)
+    return np.take_along_axis(paths, last, 0), np.frombuffer(blob, "<i8", n, 8 + n + 8 * size)
+
+
 class CountTrie:
     """How often each path of tokens occurs; a path of less than ``width`` tokens ends in zeros."""
 
@@ -38,15 +60,15 @@ class CountTrie:
         self.width, self.fresh, self.n_fresh = width, [], 0
         self.paths, self.counts = np.zeros((0, width), np.uint64), np.zeros(0, np.int64)
 
-    def add(self, paths: np.ndarray) -> None:
-        self.fresh.append(paths)
+    def add(self, paths: np.ndarray, counts: np.ndarray | None = None) -> None:
+        self.fresh.append((paths, np.ones(len(paths), np.int64) if counts is None else counts))
         self.n_fresh += len(paths)
-        if self.n_fresh >= PATHS:
+        if self.n_fresh >= 2 * PATHS:
             self.settle()
 
     def settle(self) -> None:
-        paths = np.concatenate([self.paths, *self.fresh])
-        counts = np.concatenate([self.counts, np.ones(self.n_fresh, np.int64)])
+        paths = np.concatenate([self.paths, *(p for p, _ in self.fresh)])
+        counts = np.concatenate([self.counts, *(c for _, c in self.fresh)])
         self.fresh, self.n_fresh = [], 0
         if len(paths):
             order = np.lexsort(paths.T[::-1])
@@ -57,24 +79,36 @@ class CountTrie:
     def full(self) -> bool:
         return len(self.paths) >= PATHS
 
-    def nodes(self, least_depth: int) -> pa.RecordBatch:
-        """All nodes of that depth and more, parents before children, sorted by path; the trie is empty then."""
+    def _taken(self) -> tuple[np.ndarray, np.ndarray]:
         self.settle()
         paths, counts = self.paths, self.counts
         self.paths, self.counts = paths[:0], counts[:0]
-        firsts, depths, sums = [], [], []
+        return paths, counts
+
+    def pieces(self, prefix: int, ranges: int) -> pa.RecordBatch:
+        """(range, trie): the paths, serialised by the range of their first ``prefix`` tokens; the trie is empty then."""
+        paths, counts = self._taken()
+        at = (windows(paths[:, :prefix].reshape(-1), prefix)[::prefix] % np.uint64(ranges)).astype(np.int64) if len(paths) else np.zeros(0, np.int64)
+        order = np.argsort(at, kind="stable")
+        found, begins = np.unique(at[order], return_index=True)
+        blobs = [pack(paths[part], counts[part]) for part in np.split(order, begins[1:])] if len(found) else []
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["range", "trie"])
+
+    def nodes(self, least_depth: int, least: int = 1) -> pa.RecordBatch:
+        """(w1, ..., f): the nodes of that depth and more met ``least`` times, parents before children, sorted by path; the trie is empty then."""
+        paths, counts = self._taken()
+        firsts, depths, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         new = np.zeros(len(paths), bool)
         new[:1] = True
         for depth in range(1, self.width + 1):
             new[1:] |= paths[1:, depth - 1] != paths[:-1, depth - 1]
             begins = np.flatnonzero(new)
             if depth >= least_depth and len(begins):
-                whole = paths[begins, depth - 1] != 0
-                firsts.append(begins[whole])
-                sums.append(np.add.reduceat(counts, begins)[whole])
+                total = np.add.reduceat(counts, begins)
+                kept = (paths[begins, depth - 1] != 0) & (total >= least)
+                firsts.append(begins[kept])
+                sums.append(total[kept])
                 depths.append(np.full(len(firsts[-1]), depth))
-        if not firsts:
-            firsts, depths, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         first, depth, total = np.concatenate(firsts), np.concatenate(depths), np.concatenate(sums)
         order = np.lexsort((depth, first))
         first, depth, total = first[order], depth[order], total[order]
@@ -152,8 +186,8 @@ class Filter:
         return out
 
 
-def _pairs(frequent):
-    """(w1, w2, f) of each shard's pairs of words that the filter knows."""
+def _pairs(frequent, ranges: int):
+    """(range, trie) of each shard's pairs of words that the filter knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = CountTrie(2)
@@ -163,8 +197,8 @@ def _pairs(frequent):
                 at = np.flatnonzero(known[1:] & known[:-1] & (piece[1:] == piece[:-1]))
                 trie.add(np.stack([token[at], token[at + 1]], 1))
                 if trie.full():
-                    yield trie.nodes(2)
-        yield trie.nodes(2)
+                    yield trie.pieces(2, ranges)
+        yield trie.pieces(2, ranges)
 
     return run
 
@@ -173,8 +207,8 @@ def pair_keys(tokens: np.ndarray) -> np.ndarray:
     return windows(tokens, 2)
 
 
-def _phrases(frequent):
-    """(w1, ..., w5, f) of each shard's phrases of three words and more all of whose pairs the filter knows."""
+def _phrases(frequent, ranges: int):
+    """(range, trie) of each shard's phrases of three words and more all of whose pairs the filter knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = CountTrie(DEPTH)
@@ -192,34 +226,26 @@ def _phrases(frequent):
                     paths[:, k] = np.where(on, padded[at + k], 0)
                 trie.add(paths)
                 if trie.full():
-                    yield trie.nodes(3)
-        yield trie.nodes(3)
+                    yield trie.pieces(3, ranges)
+        yield trie.pieces(3, ranges)
 
     return run
 
 
 def _merged(least: int, width: int):
-    """Nodes sorted by path to those met ``least`` times in all; a path's rows may span batches."""
-    names = [f"w{k}" for k in range(1, width + 1)]
+    """Pieces of tries sorted by range to the nodes met ``least`` times in all; a range's rows may span batches."""
+    prefix = min(width, 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = None, 0
+        trie, current = CountTrie(width), None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            paths = np.stack([c.to_numpy() for c in batch.columns[:width]], 1)
-            begins = np.flatnonzero(np.concatenate([[True], (paths[1:] != paths[:-1]).any(1)]))
-            paths, sums = paths[begins], np.add.reduceat(batch.column(width).to_numpy(), begins)
-            if held is not None:
-                if (held == paths[0]).all():
-                    sums[0] += total
-                else:
-                    paths, sums = np.concatenate([held[None], paths]), np.concatenate([[total], sums])
-            held, total = paths[-1], int(sums[-1])
-            keep = np.flatnonzero(sums[:-1] >= least)
-            yield pa.RecordBatch.from_arrays([*(pa.array(paths[keep, k]) for k in range(width)), pa.array(sums[keep])], [*names, "f"])
-        if held is not None and total >= least:
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (*held.tolist(), total)], [*names, "f"])
+            for at, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if at != current and current is not None:
+                    yield trie.nodes(prefix, least)
+                current = at
+                trie.add(*unpack(blob.as_buffer().to_pybytes(), width))
+        if current is not None:
+            yield trie.nodes(prefix, least)
 
     return run
 
@@ -244,30 +270,27 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     spark = docs.sparkSession
     tune(spark)
     t = Scratch(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = t.put(texts.mapInArrow(_words, "w1 long, f long, lang string, word string").groupBy("w1").agg(F.sum("f").alias("f"), F.first("lang").alias("lang"), F.first("word").alias("word")))
+    words = t.put(texts.mapInArrow(_words, "w1 long, f long, lang string, word string").groupBy("w1", "lang", "word").agg(F.sum("f").alias("f")))
     sizes = t.put(words.groupBy("lang").agg(F.sum("f").alias("n")))
-    n_langs = sizes.count()
+    counted = sizes.agg(F.count("*").alias("langs"), F.sum("n").alias("words")).first()
+    n_langs, ranges = counted.langs, max(1, -(-(counted.words or 0) // RANGE_WORDS))
     frequent = t.put(words.where(F.col("f") >= least))
     t.drop(words)
 
-    def merged(tries: DataFrame, width: int) -> DataFrame:
-        """The nodes of all shards' tries, by ranges of paths."""
-        path = [f"w{k}" for k in range(1, width + 1)]
-        rows = t.put(tries)
-        out = t.put(rows.repartitionByRange(parts, *path).sortWithinPartitions(*path).mapInArrow(_merged(least, width), rows.schema))
-        t.drop(rows)
-        return out
+    def merged(tries, width: int) -> DataFrame:
+        """The nodes of all shards' tries, by ranges of prefixes."""
+        pieces = texts.mapInArrow(tries, "range long, trie binary").repartition("range").sortWithinPartitions("range")
+        return t.put(pieces.mapInArrow(_merged(least, width), ", ".join(f"w{k} long" for k in range(1, width + 1)) + ", f long"))
 
     def held(keys: DataFrame, n: int):
         return spark.sparkContext.broadcast(Filter.of(keys, n))
 
     known = held(frequent.select(F.col("w1").alias("key")), frequent.count())
-    pairs = merged(texts.mapInArrow(_pairs(known), "w1 long, w2 long, f long"), 2)
+    pairs = merged(_pairs(known, ranges), 2)
     known.destroy()
     known = held(pairs.select("w1", "w2").mapInArrow(_with_key, "key long"), pairs.count())
-    longer = merged(texts.mapInArrow(_phrases(known), ", ".join(f"w{k} long" for k in range(1, DEPTH + 1)) + ", f long"), DEPTH)
+    longer = merged(_phrases(known, ranges), DEPTH)
     known.destroy()
 
     empty = F.array().cast("array<bigint>")

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from tesselune.llm.phrases import CountTrie, Filter, collocations
+from tesselune.llm.phrases import CountTrie, Filter, collocations, unpack
 
 
 def brute(rows, least, top):
@@ -78,6 +78,13 @@ def test_trie_and_filter(spark):
     nodes = trie.nodes(2).to_pylist()
     assert {tuple(v for v in (n["w1"], n["w2"], n["w3"]) if v): n["f"] for n in nodes} == want
     assert [(n["w1"], n["w2"], n["w3"]) for n in nodes] == sorted((n["w1"], n["w2"], n["w3"]) for n in nodes)
+    trie.add(paths)
+    merged = CountTrie(3)
+    for piece in trie.pieces(2, 3).to_pylist():
+        merged.add(*unpack(piece["trie"], 3))
+        merged.add(*unpack(piece["trie"], 3))
+    assert {tuple(v for v in (n["w1"], n["w2"], n["w3"]) if v): n["f"] for n in merged.nodes(2).to_pylist()} == {k: 2 * f for k, f in want.items()}
+    assert merged.nodes(2).num_rows == 0 and trie.pieces(2, 3).num_rows == 0
     keys = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
     held = Filter.of(spark.createDataFrame([(int(k),) for k in keys[:2000]], "key long"), 2000)
     assert held.has(keys[:2000]).all() and held.has(keys[2000:]).sum() < 100
