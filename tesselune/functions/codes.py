@@ -156,3 +156,24 @@ def mcu_layout(width: Column, height: Column, h: Column, v: Column, h_max: Colum
     """Blocks of a JPEG component across and down: those visible, and those stored to fill whole units."""
     across, down = F.ceil(width / (8 * h_max)), F.ceil(height / (8 * v_max))
     return F.ceil(F.ceil(width * h / h_max) / 8), F.ceil(F.ceil(height * v / v_max) / 8), across * h, down * v
+
+
+def reciprocal_estimate(q: Column) -> Column:
+    """An estimate of 1 / q to eight bits, as an arithmetic unit's table gives it: from the top eight bits of the fraction.
+
+    q: whole numbers of up to 24 bits, which single precision holds. Zero has infinity.
+    """
+    size = F.abs(q).cast("double")
+    exponent = F.floor(F.log2(size) + 1e-12)
+    d = 256 + F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * 256)
+    estimate = F.floor((F.floor(F.lit(524288) / (2 * d + 1)) + 1) / 2) - 256
+    return F.when(q == 0, F.lit(float("inf"))).otherwise(F.signum(q.cast("double")) * (1 + estimate / 256) * F.pow(F.lit(2.0), -1 - exponent))
+
+
+def count_kept(count: Column, shift: int, bits: int = 12) -> Column:
+    """The nearest count below that is told by its size in bits and as many of its next bits as ``shift`` leaves."""
+    top = bit_length(count) - 1
+    told = F.greatest(F.lit(0), F.least(top, F.lit(shift) - F.shiftright(F.lit(bits) - top, 1)))
+    step = F.pow(F.lit(2.0), top - told).cast("long")
+    base = F.pow(F.lit(2.0), top).cast("long")
+    return F.when(count <= 1, F.greatest(count, F.lit(0))).otherwise(base + F.floor((count - base) / step) * step).cast("long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselune.functions import codes
 from tesselune.functions.codes import bit_length
 from tesselune.operators.ranges import ROWS, before
 
@@ -140,3 +141,23 @@ def best_split(tokens: DataFrame, key: str, prop: str) -> DataFrame:
     bits = F.round(weight(F.col("nl")) - F.col("sl") + weight(F.col("nr")) - F.col("sr"), 6)
     cuts = sides.select(key, "threshold", bits.alias("bits"))
     return cuts.groupBy(key).agg(F.min(F.struct("bits", "threshold")).alias("best")).select(key, "best.threshold", "best.bits")
+
+
+def coarse_counts(freqs: DataFrame, shift: int, *keys: str, total: int = TABLE) -> DataFrame:
+    """(keys, token, freq, kept, omitted) of frequencies (keys, token, freq) that add up to ``total``.
+
+    kept is the next count below that the coarse form can tell; the first token of the greatest size in bits takes what is
+    left of the total instead, and is the omitted one. A key for which nothing is left has no rows.
+    """
+    rows = freqs.withColumn("kept", codes.count_kept(F.col("freq"), shift))
+    rows = rows.withColumn("_bits", codes.bit_length(F.col("kept")))
+    by = Window.partitionBy(*keys)
+    first = F.row_number().over(by.orderBy(F.desc("_bits"), "token")) == 1
+    rows = rows.withColumn("omitted", first).withColumn("_left", F.lit(total) - F.sum(F.when(F.col("omitted"), 0).otherwise(F.col("kept"))).over(by))
+    return rows.where("_left > 0").select(*keys, "token", "freq", F.when(F.col("omitted"), F.col("_left")).otherwise(F.col("kept")).cast("long").alias("kept"), "omitted")
+
+
+def table_frequencies(counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, token, n, freq) of whole alphabets: tokens of no count have frequency 0, the others as ``frequencies``."""
+    used = frequencies(counts.where("n > 0"), *keys)
+    return counts.join(used.drop("n"), [*keys, "token"], "left").select(*keys, "token", "n", F.coalesce("freq", F.lit(0)).cast("long").alias("freq"))

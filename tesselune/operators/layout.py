@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselune.operators.ranges import before
@@ -63,3 +63,30 @@ def metadata_check(entries: Column, required: Column, most: int, more: int = 0)
     and whether these are at most ``most``."""
     size = F.aggregate(F.map_entries(entries), F.lit(more).cast("long"), lambda n, e: n + F.octet_length(e["key"]) + F.octet_length(e["value"]))
     return F.size(F.array_except(required, F.map_keys(entries))) == 0, size, size <= most
+
+
+def planes_by_role(samples: DataFrame, order: str, roles: str) -> DataFrame:
+    """(image_id, channel, y, x, v) of interleaved samples (image_id, y, x, v): x counts components, which stand in ``order``
+    (as "bgr") in each pixel; channel k is the role ``roles[k]``. Samples of other components, and of a pixel cut off, are left out."""
+    if len(set(order)) != len(order) or not set(roles) <= set(order):
+        raise ValueError(f"roles {roles} are not components of {order}")
+    n = len(order)
+    full = samples.withColumn("_n", F.max("x").over(Window.partitionBy("image_id", "y")) + 1).where(F.floor(F.col("x") / n) < F.floor(F.col("_n") / n))
+    at = F.create_map(*(F.lit(v) for k, role in enumerate(roles) for v in (order.index(role), k)))
+    out = full.select("image_id", F.element_at(at, (F.col("x") % n).cast("int")).alias("channel"), "y", F.floor(F.col("x") / n).alias("x"), "v")
+    return out.where("channel IS NOT NULL")
+
+
+def checked(samples: DataFrame, bits: int) -> DataFrame:
+    """The samples; one outside 0 to 2**bits - 1 ends the job."""
+    bad = F.concat(F.lit("sample out of range at "), F.col("y"), F.lit(", "), F.col("x"))
+    return samples.withColumn("v", F.when(F.col("v").between(0, (1 << bits) - 1), F.col("v")).otherwise(F.raise_error(bad).cast("long")))
+
+
+def bridged(coefs: DataFrame, dc_quantiser: int | None) -> DataFrame:
+    """Coefficients (..., v, u, q) of JPEG blocks as the bridge holds them: axes changed, and, unless colours were transformed
+    (no quantiser given), the mean set off by 1024 / dc_quantiser."""
+    offset = 0 if dc_quantiser is None else 1024 // dc_quantiser
+    moved = F.col("q") + F.when((F.col("v") == 0) & (F.col("u") == 0), offset).otherwise(0)
+    rows = coefs.withColumn("q", moved)
+    return rows.select(*[F.col({"v": "u", "u": "v"}.get(c, c)).alias(c) for c in coefs.columns])

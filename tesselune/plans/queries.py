@@ -867,4 +867,4 @@ def rectangle_paste(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # further queries register themselves here
-from tesselune.plans import adaptive, learning, transforms  # noqa: E402, F401
+from tesselune.plans import adaptive, formats, learning, transforms  # noqa: E402, F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselune.operators import codelengths, entropy, neighbours, placement, search, transforms
+from tesselune.operators import codelengths, entropy, neighbours, placement, reconstruction, search, transforms
 from tesselune.plans.queries import _RASTER, _RESIDUALS, _SMALL, _cosine_sql, _query
 from tesselune.sources import rasters
 
@@ -173,3 +173,63 @@ def bounded_code_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = codelengths.code_lengths_bounded(entropy.histogram(tokens, "column_"), "column_")
     kraft = F.sum(F.pow(F.lit(2.0), 15 - F.col("len")).cast("long"))
     return lengths.groupBy("column_").agg(F.count("*").alias("tokens"), F.sum(F.col("n") * F.col("len")).alias("bits"), kraft.alias("kraft"), (F.max("len") <= 15).alias("fits"))
+
+
+#: Bands of the weights by channel.
+_BANDS = {0: [30.0, 0.8, 0.6, 0.9], 1: [12.0, 0.7, 0.5, 0.8, 0.9], 2: [20.0, 0.5, 0.7]}
+
+
+def _weights_sql(rows: int, columns: int, strategy: int) -> str:
+    """Rows (strategy, channel, v, u, weight) of a shape, whose longer axis lies across in the table of weights."""
+    lo, hi = min(rows, columns), max(rows, columns)
+    y, x = ("u", "v") if rows > columns else ("v", "u")
+    out = []
+    for channel, bands in _BANDS.items():
+        n = len(bands) - 1
+        values = ", ".join(f"({' * '.join(f'{b}::DOUBLE' for b in bands[: k + 1])})" for k in range(n + 1))
+        pos = f"greatest(0, least({n}, sqrt(pow({y} / {lo - 1}.0, 2) + pow({x} / {hi - 1}.0, 2)) / sqrt(2.0) * {n}))"
+        out.append(f"""SELECT {strategy} AS strategy, {channel} AS channel, v, u, b[k + 1] * pow(b[k + 2] / b[k + 1], pos - k) AS weight
+            FROM (SELECT *, [{values}] AS b, least({n - 1}, floor(pos))::INTEGER AS k FROM (SELECT v, u, {pos} AS pos FROM range({rows}) i(v), range({columns}) j(u)))""")
+    return " UNION ALL ".join(out)
+
+
+_ROUTED = {0: (8, 8), 4: (16, 16), 6: (16, 8), 7: (8, 16)}
+_RGB = "rgb AS (SELECT vec_id AS y, x, " + ", ".join(f"floor((embedding[3 * x + {k + 1}]::DOUBLE + 1.0) * 127.5)::BIGINT AS {c}" for k, c in enumerate("rgb")) + " FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 3)) AS x FROM embeddings))"
+
+
+@_query(f"""WITH {_RGB}, {_SCALES}, px AS (SELECT y, x, 0 AS channel, r AS v FROM rgb UNION ALL SELECT y, x, 1, g FROM rgb UNION ALL SELECT y, x, 2, b FROM rgb),
+    blocks AS (SELECT *, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 6 ELSE 7 END AS strategy, CASE WHEN kind IN (1, 2) THEN 2 ELSE 1 END AS h, CASE WHEN kind IN (1, 3) THEN 2 ELSE 1 END AS w, 1 + "by" % 5 AS quantisation
+        FROM (SELECT DISTINCT y // 8 AS "by", x // 8 AS bx, (y // 16) % 4 AS kind FROM rgb WHERE x < 16 AND y // 16 * 16 + 16 <= (SELECT max(y) + 1 FROM rgb))
+        WHERE NOT (kind IN (1, 2) AND "by" % 2 = 1) AND NOT (kind IN (1, 3) AND bx % 2 = 1)),
+    weights AS ({' UNION ALL '.join(_weights_sql(r, c, k) for k, (r, c) in _ROUTED.items())}),
+    q AS (SELECT blocks.*, channel, px.y - 8 * "by" AS v, px.x - 8 * bx AS u, px.v % 7 - 3 AS q, px.v AS s FROM blocks JOIN px ON px.y // 8 BETWEEN "by" AND "by" + h - 1 AND px.x // 8 BETWEEN bx AND bx + w - 1),
+    d AS (SELECT q.*, CASE WHEN q = 0 THEN 0 WHEN abs(q) = 1 THEN q * (1 - CASE channel WHEN 0 THEN 0.05465007330715401 WHEN 1 THEN 0.07005449891748593 ELSE 0.049935103337343655 END) ELSE q - 0.145 / q END * 40 / quantisation / weight AS coef
+        FROM q JOIN weights USING (strategy, channel, v, u) WHERE NOT (v < h AND u < w)),
+    ac AS (SELECT d."by", d.bx, strategy, h, w, channel, v, u, d.coef + CASE channel WHEN 1 THEN 0 ELSE l.coef * (CASE channel WHEN 0 THEN 0.25 ELSE 1 END * (1 + ((d."by" + v // 8) // 8 + (d.bx + u // 8) // 8) % 3)) END AS coef
+        FROM d JOIN (SELECT "by", bx, v, u, coef FROM d WHERE channel = 1) l USING ("by", bx, v, u)),
+    cells AS (SELECT "by", bx, strategy, h, w, channel, v // 8 AS cy, u // 8 AS cx, s / 10.0::DOUBLE AS cell FROM q WHERE v % 8 = 0 AND u % 8 = 0),
+    low AS (SELECT "by", bx, strategy, h, w, channel, a.v, b.u, sum(cell * cos((cy + 0.5) * a.v * pi() / h) * cos((cx + 0.5) * b.u * pi() / w)) * CASE WHEN a.v = 0 THEN 1 ELSE sqrt(2) END * CASE WHEN b.u = 0 THEN 1 ELSE sqrt(2) END / (h * w) * any_value(sy.s * sx.s) AS coef
+        FROM cells, range(2) a(v), range(2) b(u), scales sy, scales sx WHERE a.v < h AND b.u < w AND sy.c = h AND sy.k = a.v AND sx.c = w AND sx.k = b.u GROUP BY "by", bx, strategy, h, w, channel, a.v, b.u),
+    co AS (SELECT * FROM ac UNION ALL SELECT * FROM low),
+    across AS (SELECT "by", bx, h, w, channel, v, x, sum(coef * CASE WHEN u = 0 THEN 1 ELSE sqrt(2) END * cos((2 * x + 1) * u * pi() / (16 * w))) AS s FROM co, range(16) r(x) WHERE x < 8 * w GROUP BY ALL),
+    out AS (SELECT "by", bx, channel, y, x, sum(s * CASE WHEN v = 0 THEN 1 ELSE sqrt(2) END * cos((2 * y + 1) * v * pi() / (16 * h))) AS s FROM across, range(16) r(y) WHERE y < 8 * h GROUP BY ALL)
+    SELECT channel, "by" * 8 + y AS y, bx * 8 + x AS x, round(s, 6) + 0.0 AS v FROM out""")
+def reconstructed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of four strategies in turn, their coefficients and cells taken from the pixels of the embeddings."""
+    pixels = rasters.embedding_pixels(spark, sf_dir).where("x < 16")
+    px = pixels.select("image_id", "y", "x", F.posexplode(F.array("r", "g", "b")).alias("channel", "s"))
+    height = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"))  # a row an image
+    at = pixels.select("image_id", F.floor(F.col("y") / 8).alias("y"), F.floor(F.col("x") / 8).alias("x")).distinct().join(height, "image_id").where(F.floor(F.col("y") / 2) * 16 + 16 <= F.col("height"))
+    kind = F.floor(F.col("y") / 2) % 4
+    blocks = at.withColumn("kind", kind).where(~(F.col("kind").isin(1, 2) & (F.col("y") % 2 == 1)) & ~(F.col("kind").isin(1, 3) & (F.col("x") % 2 == 1)))
+    strategy = F.get(F.array(*map(F.lit, _ROUTED)), F.col("kind").cast("int")).cast("long")
+    blocks = blocks.select("image_id", (F.col("y") * 2 + F.col("x")).alias("block"), strategy.alias("strategy"), "y", "x", (1 + F.col("y") % 5).alias("quantisation"), "kind")
+    cell_y, cell_x, kind = F.floor(F.col("y") / 8), F.floor(F.col("x") / 8), F.floor(F.col("y") / 16) % 4
+    by, bx = F.when(kind.isin(1, 2), cell_y - cell_y % 2).otherwise(cell_y), F.when(kind.isin(1, 3), cell_x - cell_x % 2).otherwise(cell_x)
+    coefs = px.select("image_id", "channel", (by * 2 + bx).alias("block"), (F.col("y") - by * 8).cast("int").alias("v"), (F.col("x") - bx * 8).cast("int").alias("u"), (F.col("s") % 7 - 3).alias("q"))
+    cells = px.where("y % 8 = 0 AND x % 8 = 0").select("image_id", "channel", cell_y.alias("y"), cell_x.alias("x"), (F.col("s") / 10.0).alias("v"))
+    f = 1 + (F.col("ty") + F.col("tx")) % 3
+    tiles = blocks.select("image_id", F.floor(F.col("y") / 8).alias("ty"), F.floor(F.col("x") / 8).alias("tx")).distinct().select("image_id", "ty", "tx", (0.25 * f).alias("fx"), f.cast("double").alias("fb"))
+    weights = reconstruction.strategy_weights(spark, list(_ROUTED), _BANDS)
+    out = reconstruction.reconstruct(coefs, blocks.drop("kind"), cells, weights, tiles, 40.0)
+    return out.select("channel", "y", "x", (F.round("v", 6) + 0.0).alias("v"))
