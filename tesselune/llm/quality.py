@@ -194,6 +194,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
 
     rows = labelled_sample(docs, labels, label, id_col, sample, text_col).select("doc_id", "y", "fold", "text").mapInArrow(features, "doc_id long, y int, fold int, x binary")
     rows = sorted(rows.collect(), key=lambda r: r.doc_id)
+    shared.destroy()
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, FEATURES).astype(np.float64)
     y, fold = np.array([r.y for r in rows], np.int64), np.array([r.fold for r in rows], np.int64)
     return vectors, fit_network(x, y, fold == 4)

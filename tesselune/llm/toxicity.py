@@ -183,7 +183,10 @@ def calibrate(net: Convolution, texts: list[np.ndarray], y: np.ndarray, weight:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", lang_col: str = "lang", positives: int = POSITIVES, negatives: int = NEGATIVES, text_col: str = "text") -> Convolution:
-    """A network fitted on the bounded sample of rows outside fold 0; fold 4 of it calibrates. Labels of fold 0 are not even counted."""
+    """A network fitted on the bounded sample of rows outside fold 0; fold 4 of it calibrates. Labels of fold 0 are not even counted.
+
+    An id that bears both labels may be drawn once as each, and then teaches both.
+    """
     tune(docs.sparkSession)
     counts = {r.y: r.n for r in labels.where(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) != 0).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
 

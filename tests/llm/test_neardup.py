@@ -98,3 +98,13 @@ def test_words_of_thue_and_morse_are_two_words(spark):
     rows = [(1, one), (2, other), (3, f"{one} {other}"), (4, f"{other} {one}"), (5, one.upper())]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_branching_loses_no_link(spark):
+    """Nodes of more than a few odd documents branch, level after level; the rows are those of the default and of brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = spark.createDataFrame([(10**6 + i, t) for i, (_, t, *_) in enumerate(corpus(9))], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra).repartition(3)
+    rows = lambda **k: {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, words=4, **k).collect()}
+    plain = rows()
+    assert plain == rows(block=2, node_limit=2) == brute([tuple(r) for r in docs.collect()], 4)
