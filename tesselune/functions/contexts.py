@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tesselune.functions.codes import hybrid_uint
+from tesselune.functions.codes import hybrid_uint, threshold_bucket
 
 #: Cells across and down of the block strategies 0 to 26.
 STRATEGY_CELLS = (
@@ -41,11 +41,24 @@ def strategy_order(strategy: Column) -> Column:
     return F.coalesce(_of(STRATEGY_ORDER, strategy), F.lit(0))
 
 
-def block_context(channel: Column, bucket: Column) -> Column:
-    """The default context of a block by its channel (1 is luma) and its strategy's order bucket."""
+def block_context(channel: Column, bucket: Column, contexts: tuple[int, ...] | None = None) -> Column:
+    """The context of a block by its channel (1 is luma) and its strategy's order bucket, in a map of 3 x 13 or the default one."""
+    if contexts is not None:
+        return _of(contexts, F.when(channel == 1, 0).when(channel == 0, 1).otherwise(2) * 13 + bucket)
     return F.when(channel == 1, _of(LUMA_CONTEXTS, bucket)).otherwise(_of(CHROMA_CONTEXTS, bucket))
 
 
+def block_cluster(
+    channel: Column, bucket: Column, quantisation: Column, cells: tuple[Column, Column, Column], quant_thresholds: list[int], cell_thresholds: tuple[list[int], list[int], list[int]]
+) -> tuple[Column, int]:
+    """(place, size) of a block in the map of clusters: by channel, bucket, how many thresholds its quantiser exceeds, and how
+    many each channel's cell does. size is the map's."""
+    place, size = F.when(channel == 1, 0).when(channel == 0, 1).otherwise(2) * 13 + bucket, 39
+    for value, thresholds in ((quantisation, quant_thresholds), *zip(cells, cell_thresholds, strict=True)):
+        place, size = place * (len(thresholds) + 1) + threshold_bucket(value, thresholds), size * (len(thresholds) + 1)
+    return place, size
+
+
 def zero_density_context(left: Column, k: Column, log2_covered: int, before: Column, block: Column, clusters: int = 15) -> Column:
     """The context of coefficient k, by the non-zeros left from it on and whether the one before was not zero (1 or 0).
 

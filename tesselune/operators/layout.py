@@ -48,12 +48,16 @@ def section_count(groups: Column, dc_groups: Column, passes: Column) -> Column:
     return F.when((groups == 1) & (passes == 1), 1).otherwise(2 + dc_groups + passes * groups)
 
 
-def joined_parts(parts: DataFrame, key: str, seq: str, payload: str, first: int = 0) -> DataFrame:
+def joined_parts(parts: DataFrame, key: str, seq: str, payload: str, first: int = 0, last: str | None = None) -> DataFrame:
     """(key, parts, complete, joined) of numbered parts: complete if the numbers run from ``first`` without gap or
-    repeat; joined in order of number."""
+    repeat, and, where a column ``last`` is named, if it is true of the final part alone; joined in order of number."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(payload).alias("p"))))
     per = parts.groupBy(key).agg(ordered.alias("a"), F.count("*").alias("parts"), F.count_distinct(seq).alias("d"), F.min(seq).alias("lo"), F.max(seq).alias("hi"))
-    complete = (F.col("d") == F.col("parts")) & (F.col("lo") == first) & (F.col("hi") == first + F.col("parts") - 1)
+    if last:
+        flags = parts.groupBy(F.col(key).alias("_k")).agg(F.count_if(last).alias("_flags"), F.max(F.when(F.col(last), F.col(seq))).alias("_at"))
+        per = per.join(flags, F.col(key).eqNullSafe(F.col("_k")))
+    whole = (F.col("_flags") == 1) & (F.col("_at") == F.col("hi")) if last else F.lit(True)
+    complete = (F.col("d") == F.col("parts")) & (F.col("lo") == first) & (F.col("hi") == first + F.col("parts") - 1) & F.coalesce(whole, F.lit(False))
     return per.select(key, "parts", complete.alias("complete"), F.array_join(F.transform("a", lambda e: e["p"]), "").alias("joined"))
 
 

@@ -45,6 +45,12 @@ def test_parts_with_a_gap_or_a_repeat_are_not_complete(spark):
     assert got == {1: (True, "ab"), 2: (False, "ac"), 3: (False, "aa"), 4: (False, "z")}
 
 
+def test_the_final_part_alone_bears_the_flag(spark):
+    rows = [(1, 0, "a", False), (1, 1, "b", True), (2, 0, "a", True), (2, 1, "b", True), (3, 0, "a", True), (3, 1, "b", False), (4, 0, "z", None)]
+    got = {r.k: r.complete for r in layout.joined_parts(spark.createDataFrame(rows, "k int, s int, p string, fin boolean"), "k", "s", "p", last="fin").collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+
+
 def dealt_by_band(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return "SinglePartition" not in plan and "_band" in plan.split("hashpartitioning(", 1)[1].split(")")[0]
