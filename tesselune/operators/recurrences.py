@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,45 +95,88 @@ def unmove_to_front(places: DataFrame, key: str, order: str, size: int = 256) ->
     return rows.mapInArrow(run, f"{key} long, {order} long, symbol long")
 
 
+def _table(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens ascending, their freq, their cum) of a table of at most its slots."""
+    rows = sorted((r.token, r.freq, r.cum) for r in table.select("token", "freq", "cum").limit((1 << TABLE_BITS) + 1).collect())
+    return tuple(np.array([r[k] for r in rows], np.int64) for k in range(3))
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
+
+
 def rans_sections(tokens: DataFrame, table: DataFrame, section: str, order: str) -> DataFrame:
     """(section, words, tokens): each section's tokens as 16-bit words of a range coder over the table (token, freq,
-    cum), which must be no larger than its 4,096 slots. Sections are coded apart."""
+    cum), which must be no larger than its 4,096 slots. Sections are coded apart, many of a task in step."""
     ready(tokens.sparkSession)
-    codes = {r.token: (r.freq, r.cum) for r in table.select("token", "freq", "cum").limit((1 << TABLE_BITS) + 1).collect()}
+    known, freqs, cums = _table(table)
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        state, words = STATE, []
-        for t in reversed(rows.sort_by(order).column("token").to_pylist()):
-            freq, cum = codes[t]
-            if state >> (32 - TABLE_BITS) >= freq:
-                words.append(state & 0xFFFF)
-                state >>= 16
-            state = (state // freq << TABLE_BITS) + state % freq + cum
-        words += [state & 0xFFFF, state >> 16]
-        return pa.table({section: pa.array([key[0].as_py()], pa.int64()), "words": pa.array([words[::-1]], pa.list_(pa.int32())), "tokens": pa.array([rows.num_rows], pa.int64())})
-
-    return tokens.select(section, order, "token").groupBy(section).applyInArrow(run, f"{section} long, words array<int>, tokens long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.diff(batch.column(1).offsets.to_numpy())
+            starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            flat = batch.column(1).flatten().to_numpy()
+            at = np.searchsorted(known, flat)
+            if len(flat) and not (known[np.minimum(at, len(known) - 1)] == flat).all():
+                raise ValueError("a token is not in the table")
+            state = np.full(len(counts), STATE, np.int64)
+            word, sent = np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
+            for k in range(int(counts.max(initial=0)) - 1, -1, -1):
+                live = np.flatnonzero(counts > k)
+                place = starts[live] + k
+                freq, x = freqs[at[place]], state[live]
+                full = x >> (32 - TABLE_BITS) >= freq
+                word[place], sent[place] = x & 0xFFFF, full
+                x = np.where(full, x >> 16, x)
+                state[live] = (x // freq << TABLE_BITS) + x % freq + cums[at[place]]
+            # words come last in, first out: the state, then those of the tokens from the first on
+            per = np.add.reduceat(np.append(sent, False), starts)[: len(counts)] * (counts > 0) if len(counts) else counts
+            ends = np.cumsum(per + 2)
+            out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+            heads = ends - per - 2
+            out[heads], out[heads + 1] = state >> 16, state & 0xFFFF
+            body = np.ones(len(out), bool)
+            body[heads] = body[heads + 1] = False
+            out[body] = word[sent]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out.astype(np.int32), per + 2, pa.int32()), pa.array(counts.astype(np.int64))], [section, "words", "tokens"])
+
+    ordered = F.array_sort(F.collect_list(F.struct(order, F.col("token").cast("long").alias("token"))))
+    rows = tokens.groupBy(F.col(section).cast("long").alias(section)).agg(ordered.alias("t")).select(section, F.col("t.token").alias("t"))
+    return rows.mapInArrow(run, f"{section} long, words array<int>, tokens long")
 
 
 def unrans_sections(sections: DataFrame, table: DataFrame, section: str) -> DataFrame:
     """(section, place, token) of coded sections; a section that does not end in the first state raises."""
     ready(sections.sparkSession)
-    codes = sorted((r.cum, r.freq, r.token) for r in table.select("token", "freq", "cum").limit((1 << TABLE_BITS) + 1).collect())
-    slots = [(t, f, c) for c, f, t in codes for _ in range(f)]
+    known, freqs, cums = _table(table)
+    by = np.argsort(cums, kind="stable")
+    slot = np.repeat(by, freqs[by])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, words, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                state, at, out = (words[0] << 16) | words[1], 2, []
-                for _ in range(n):
-                    low = state & ((1 << TABLE_BITS) - 1)
-                    token, freq, cum = slots[low]
-                    state = freq * (state >> TABLE_BITS) + low - cum
-                    if state < 1 << 16:
-                        state, at = (state << 16) | words[at], at + 1
-                    out.append(token)
-                if state != STATE or at != len(words):
-                    raise ValueError(f"section {s} does not end in the first state")
-                yield pa.RecordBatch.from_arrays([pa.array([s] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(out, pa.int64())], [section, "place", "token"])
+            if not batch.num_rows:
+                continue
+            counts = batch.column(2).to_numpy()
+            words, sizes = batch.column(1).flatten().to_numpy().astype(np.int64), np.diff(batch.column(1).offsets.to_numpy())
+            at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+            ends, state = at + sizes, (words[at] << 16) | words[at + 1]
+            at = at + 2
+            starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+            out = np.zeros(int(counts.sum()), np.int64)
+            padded = np.append(words, 0)
+            for k in range(int(counts.max(initial=0))):
+                live = np.flatnonzero(counts > k)
+                x = state[live]
+                low = x & ((1 << TABLE_BITS) - 1)
+                token = slot[low]
+                x = freqs[token] * (x >> TABLE_BITS) + low - cums[token]
+                empty = x < 1 << 16
+                state[live] = np.where(empty, (x << 16) | padded[np.minimum(at[live], len(words))], x)
+                at[live] += empty
+                out[starts[live] + k] = known[token]
+            if bad := np.flatnonzero((state != STATE) | (at != ends)).tolist():
+                raise ValueError(f"section {batch.column(0)[bad[0]].as_py()} does not end in the first state")
+            place = np.arange(len(out)) - np.repeat(starts, counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(place), pa.array(out)], [section, "place", "token"])
 
     return sections.select(section, "words", "tokens").mapInArrow(run, f"{section} long, place long, token long")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselune.operators import neighbours, recurrences, weighted
+from tesselune.operators import entropy, neighbours, recurrences, weighted
 from tesselune.operators.weighted import Leaf
-from tesselune.plans.queries import _GRADIENT, _PREDICTORS, _RASTER, _near, _query
+from tesselune.plans.queries import _FREQ, _GRADIENT, _PREDICTORS, _RASTER, _near, _query
 from tesselune.sources import rasters
 
 #: A tree whose leaves predict in ways of their own, over w - n, n, the gradient's size and the line in the tile.
@@ -113,3 +113,16 @@ def squeezed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_RASTER} SELECT y, x, v FROM raster")
 def squeeze_columns_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrences.unsqueeze(recurrences.squeeze(rasters.embedding_raster(spark, sf_dir), True), True).select("y", "x", "v")
+
+
+@_query(f"""{_FREQ}, t AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY x) - 1 AS place, freq, cum FROM tok JOIN cums USING (token)),
+    c AS (SELECT y, max(place) + 1 AS rest, {0x130000}::BIGINT AS st, []::BIGINT[] AS w FROM t GROUP BY y
+          UNION ALL
+          SELECT y, place, ((x // freq) << 12) + x % freq + cum, CASE WHEN refill THEN list_append(w, st & 65535) ELSE w END
+          FROM (SELECT c.y, c.w, c.st, t.place, freq, cum, (st >> 20) >= freq AS refill, CASE WHEN (st >> 20) >= freq THEN st >> 16 ELSE st END AS x FROM c JOIN t ON t.y = c.y AND t.place = c.rest - 1))
+    SELECT y, array_to_string(list_reverse(list_concat(w, [st & 65535, st >> 16])), ',') AS words FROM c WHERE rest = 0""")
+def range_coded_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each line's tokens, as the range coder writes them."""
+    tokens = neighbours.residual_tokens(rasters.embedding_raster(spark, sf_dir))
+    table = entropy.cumulative(entropy.frequencies(entropy.histogram(tokens)))
+    return recurrences.rans_sections(tokens, table, "y", "x").select("y", F.array_join(F.col("words").cast("array<string>"), ",").alias("words"))

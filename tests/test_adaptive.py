@@ -72,3 +72,18 @@ def test_words_of_the_range_coder_worked_out_by_hand(spark):
     tokens = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (3, 0, 0), (3, 1, 1)], "s long, o long, token long")
     got = {r.s: r.words for r in recurrences.rans_sections(tokens, table, "s", "o").collect()}
     assert got == {1: [0x19, 0x5800], 2: [0x4C, 0], 3: [0x65, 0x6000]}
+
+
+def test_sections_of_unequal_length_come_back(spark):
+    table = spark.createDataFrame([(0, 4000, 0), (5, 90, 4000), (9, 6, 4090)], "token long, freq long, cum long")
+    rows = [(s, k, (0, 0, 0, 5, 9)[(s * 7 + k * k) % 5]) for s in range(12) for k in range(s * s)]
+    tokens = spark.createDataFrame(rows, "s long, o long, token long")
+    coded = recurrences.rans_sections(tokens, table, "s", "o")
+    got = sorted((r.s, r.place, r.token) for r in recurrences.unrans_sections(coded, table, "s").collect())
+    assert got == sorted(rows)
+    assert recurrences.rans_sections(tokens.limit(0), table, "s", "o").count() == 0
+    broken = coded.withColumn("words", F.transform("words", lambda w: (w + 1) % 65536))
+    with pytest.raises(Exception, match="first state"):
+        recurrences.unrans_sections(broken, table, "s").collect()
+    with pytest.raises(Exception, match="not in the table"):
+        recurrences.rans_sections(tokens.withColumn("token", F.lit(4).cast("long")), table, "s", "o").collect()
