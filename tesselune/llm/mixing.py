@@ -234,8 +234,13 @@ def mixed_documents(
 
 
 def write_shards(docs: DataFrame, blocks: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Parquet under ``path``/shard=n: each block's words joined by a space, in the shard's shuffled order."""
+    """Parquet under ``path``/shard=n: each block's words joined by a space, in the shard's shuffled order.
+
+    Tasks take ranges of (shard, place), as many as the session's shuffle partitions, so a large shard has several files, in
+    order of their names.
+    """
     words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.array_join(F.slice(words, F.col("start").cast("int") + 1, F.col("words").cast("int")), " ")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_col).join(blocks.drop("rank", "deck_key"), "doc_id").select("shard", "order_key", "doc_id", "epoch", "block", text.alias("text"))
-    rows.repartition("shard").sortWithinPartitions("shard", "order_key").write.mode("overwrite").partitionBy("shard").parquet(path)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, "shard", "order_key").sortWithinPartitions("shard", "order_key").write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -54,8 +54,12 @@ def test_shards_are_disjoint_and_whole(spark, tmp_path):
     write_shards(docs, blocks, str(tmp_path / "out"))
     written = spark.read.parquet(str(tmp_path / "out"))
     assert written.count() == len(rows)
-    words = written.select("words", F.size(F.split("text", " ")).alias("n")) if "words" in written.columns else None
-    assert words is None or words.where("words <> n").count() == 0
+    both = written.join(blocks.select("doc_id", "epoch", "block", "words"), ["doc_id", "epoch", "block"])
+    assert both.count() == len(rows) and both.where(F.size(F.split("text", " ")) != F.col("words")).count() == 0
+    lies = written.select("shard", "order_key", "_metadata.file_name", "_metadata.row_index").collect()
+    for shard in range(5):
+        keys = [r.order_key for r in sorted(lies, key=lambda r: (r.file_name, r.row_index)) if r.shard == shard]
+        assert keys == sorted(keys) and len(keys) == count[shard]
 
 
 def test_whole_documents(spark):
