@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -7,6 +8,8 @@ import public_tokenizers
 from test_neardup import brute
 from tokenizers import Tokenizer
 
+from tesselune.storage import workspace
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -86,3 +89,13 @@ def test_empty_tables_clashing_columns_null_and_repeated_ids_in_all_stages(spark
             assert out.columns == docs.columns and found <= {(i, t, n, n, n, n) for i, t, n in rows}, name
             assert {n for _, _, n, *_ in found} >= {10, 11, 12, 13} or k == 0 and found, name
         assert stage(spark, reread(spark, made.limit(0), tmp_path / f"none{k}"), SF).count() == 0, name
+
+
+def test_a_run_leaves_its_token_files_alone(spark):
+    with workspace(spark) as path:
+        rows = corpus_pipeline.run(spark, SF).collect()
+        left = [p for p in Path(path.removeprefix("file:")).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))]
+    starts = sorted((r.start, r.n_tokens) for r in rows)
+    assert rows and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    assert left and all(".arrow" in p.name or p.parent.name == "manifest" for p in left)
+    assert not Path(path.removeprefix("file:")).exists()
