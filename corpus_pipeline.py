@@ -12,6 +12,7 @@ from tesselune.llm.mixing import mix, mixed_documents, unused
 from tesselune.llm.neardup import near_duplicates
 from tesselune.llm.quality import fit_quality, score_quality
 from tesselune.llm.tokenfiles import token_digest
+from tesselune.storage import workspace
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -85,12 +86,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and reread as the next one's docs."""
-    docs, t, read = table(spark, sf_dir, "documents"), Scratch(spark), None
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = t.put(docs)
-        t.drop(read)  # the last stage, too, has read its input when it returns: it reads its own files back
-        read = docs
-    return docs
+    """All stages over the documents of sf_dir, each written as Parquet and reread as the next one's docs.
+
+    A stage's own tables go when its result is written, and that when the next stage has read it.
+    """
+    docs, t = table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        with workspace(spark):
+            made = t.put(stage(spark, docs, sf_dir))
+        t.drop(docs)
+        docs = made
+    out = STAGES[-1][1](spark, docs, sf_dir)  # has read its input when it returns: it reads its own files back
+    t.drop(docs)
+    return out
