@@ -164,12 +164,13 @@ ORACLE_SQL: dict[str, str] = {
         FROM d""",
     "op13_suffix_radix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-        win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+        cuts AS (SELECT doc_id, n, 1000 * k AS base, substr(h, 2000 * k + 1, 2098) AS s FROM (SELECT *, unnest(range(0, n // 1000 + 1)) AS k FROM d)),
+        win AS (SELECT doc_id, base + i AS i, md5(substr(s, 2 * i + 1, 100)) AS w FROM (SELECT *, unnest(range(0, least(1000, n - 49 - base))) AS i FROM cuts)),
         firsts AS (SELECT w, min(doc_id) AS first FROM win GROUP BY w HAVING min(doc_id) < max(doc_id)),
         gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN firsts USING (w) WHERE doc_id > first),
         runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR k > before + 1) AS n_spans
                  FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM gone) GROUP BY doc_id),
-        bytes AS (SELECT doc_id, substr(h, 2 * k + 1, 2) AS b, k FROM (SELECT doc_id, h, unnest(range(0, n)) AS k FROM d SEMI JOIN runs USING (doc_id))),
+        bytes AS (SELECT doc_id, substr(s, 2 * i + 1, 2) AS b, base + i AS k FROM (SELECT *, unnest(range(0, least(1000, n - base))) AS i FROM cuts SEMI JOIN runs USING (doc_id))),
         kept AS (SELECT doc_id, string_agg(b, '' ORDER BY k) AS h FROM bytes ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
         SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
                sha256(unhex(CASE WHEN runs.doc_id IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
