@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselune.operators import codelengths, entropy, neighbours, placement, reconstruction, search, transforms
+from tesselune.operators import codelengths, entropy, jpeg, neighbours, placement, reconstruction, search, transforms
 from tesselune.plans.queries import _RASTER, _RESIDUALS, _SMALL, _cosine_sql, _query
 from tesselune.sources import rasters
 
@@ -199,7 +199,7 @@ _RGB = "rgb AS (SELECT vec_id AS y, x, " + ", ".join(f"floor((embedding[3 * x +
 
 @_query(f"""WITH {_RGB}, {_SCALES}, px AS (SELECT y, x, 0 AS channel, r AS v FROM rgb UNION ALL SELECT y, x, 1, g FROM rgb UNION ALL SELECT y, x, 2, b FROM rgb),
     blocks AS (SELECT *, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 6 ELSE 7 END AS strategy, CASE WHEN kind IN (1, 2) THEN 2 ELSE 1 END AS h, CASE WHEN kind IN (1, 3) THEN 2 ELSE 1 END AS w, 1 + "by" % 5 AS quantisation
-        FROM (SELECT DISTINCT y // 8 AS "by", x // 8 AS bx, (y // 16) % 4 AS kind FROM rgb WHERE x < 16 AND y // 16 * 16 + 16 <= (SELECT max(y) + 1 FROM rgb))
+        FROM (SELECT DISTINCT y // 8 AS "by", x // 8 AS bx, (y // 16) % 4 AS kind FROM rgb WHERE x // 16 * 16 + 16 <= (SELECT max(x) + 1 FROM rgb) AND y // 16 * 16 + 16 <= (SELECT max(y) + 1 FROM rgb))
         WHERE NOT (kind IN (1, 2) AND "by" % 2 = 1) AND NOT (kind IN (1, 3) AND bx % 2 = 1)),
     weights AS ({' UNION ALL '.join(_weights_sql(r, c, k) for k, (r, c) in _ROUTED.items())}),
     q AS (SELECT blocks.*, channel, px.y - 8 * "by" AS v, px.x - 8 * bx AS u, px.v % 7 - 3 AS q, px.v AS s FROM blocks JOIN px ON px.y // 8 BETWEEN "by" AND "by" + h - 1 AND px.x // 8 BETWEEN bx AND bx + w - 1),
@@ -216,20 +216,44 @@ _RGB = "rgb AS (SELECT vec_id AS y, x, " + ", ".join(f"floor((embedding[3 * x +
     SELECT channel, "by" * 8 + y AS y, bx * 8 + x AS x, round(s, 6) + 0.0 AS v FROM out""")
 def reconstructed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of four strategies in turn, their coefficients and cells taken from the pixels of the embeddings."""
-    pixels = rasters.embedding_pixels(spark, sf_dir).where("x < 16")
+    pixels = rasters.embedding_pixels(spark, sf_dir)
     px = pixels.select("image_id", "y", "x", F.posexplode(F.array("r", "g", "b")).alias("channel", "s"))
-    height = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"))  # a row an image
-    at = pixels.select("image_id", F.floor(F.col("y") / 8).alias("y"), F.floor(F.col("x") / 8).alias("x")).distinct().join(height, "image_id").where(F.floor(F.col("y") / 2) * 16 + 16 <= F.col("height"))
+    size = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))  # a row an image
+    at = pixels.select("image_id", F.floor(F.col("y") / 8).alias("y"), F.floor(F.col("x") / 8).alias("x")).distinct().join(size, "image_id")
+    at = at.where((F.floor(F.col("y") / 2) * 16 + 16 <= F.col("height")) & (F.floor(F.col("x") / 2) * 16 + 16 <= F.col("width")))
     kind = F.floor(F.col("y") / 2) % 4
     blocks = at.withColumn("kind", kind).where(~(F.col("kind").isin(1, 2) & (F.col("y") % 2 == 1)) & ~(F.col("kind").isin(1, 3) & (F.col("x") % 2 == 1)))
     strategy = F.get(F.array(*map(F.lit, _ROUTED)), F.col("kind").cast("int")).cast("long")
-    blocks = blocks.select("image_id", (F.col("y") * 2 + F.col("x")).alias("block"), strategy.alias("strategy"), "y", "x", (1 + F.col("y") % 5).alias("quantisation"), "kind")
+    blocks = blocks.select("image_id", (F.col("y") * 65536 + F.col("x")).alias("block"), strategy.alias("strategy"), "y", "x", (1 + F.col("y") % 5).alias("quantisation"), "kind")
     cell_y, cell_x, kind = F.floor(F.col("y") / 8), F.floor(F.col("x") / 8), F.floor(F.col("y") / 16) % 4
     by, bx = F.when(kind.isin(1, 2), cell_y - cell_y % 2).otherwise(cell_y), F.when(kind.isin(1, 3), cell_x - cell_x % 2).otherwise(cell_x)
-    coefs = px.select("image_id", "channel", (by * 2 + bx).alias("block"), (F.col("y") - by * 8).cast("int").alias("v"), (F.col("x") - bx * 8).cast("int").alias("u"), (F.col("s") % 7 - 3).alias("q"))
+    coefs = px.select("image_id", "channel", (by * 65536 + bx).alias("block"), (F.col("y") - by * 8).cast("int").alias("v"), (F.col("x") - bx * 8).cast("int").alias("u"), (F.col("s") % 7 - 3).alias("q"))
     cells = px.where("y % 8 = 0 AND x % 8 = 0").select("image_id", "channel", cell_y.alias("y"), cell_x.alias("x"), (F.col("s") / 10.0).alias("v"))
     f = 1 + (F.col("ty") + F.col("tx")) % 3
     tiles = blocks.select("image_id", F.floor(F.col("y") / 8).alias("ty"), F.floor(F.col("x") / 8).alias("tx")).distinct().select("image_id", "ty", "tx", (0.25 * f).alias("fx"), f.cast("double").alias("fb"))
     weights = reconstruction.strategy_weights(spark, list(_ROUTED), _BANDS)
     out = reconstruction.reconstruct(coefs, blocks.drop("kind"), cells, weights, tiles, 40.0)
     return out.select("channel", "y", "x", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@_query(f"""WITH {_RGB}, size AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM rgb),
+    px AS (SELECT 0 AS channel, y, x, r AS v FROM rgb UNION ALL SELECT 1, y, x, g FROM rgb, size WHERE x < w // 2 AND y < h // 2 UNION ALL SELECT 2, y, x, b FROM rgb, size WHERE x < w // 2 AND y < h // 2),
+    q AS (SELECT channel, y // 8 AS "by", x // 8 AS bx, y % 8 AS v, x % 8 AS u, CASE WHEN y % 8 + x % 8 = 0 THEN (v - 128) * 6 ELSE (v % 5 - 2) * (1 + y % 8 + x % 8) END / 8.0::DOUBLE AS coef FROM px QUALIFY count(*) OVER (PARTITION BY channel, y // 8, x // 8) = 64),
+    wave AS (SELECT k, i, CASE WHEN k = 0 THEN 1 ELSE sqrt(2) END * cos((2 * i + 1) * k * pi() / 16) AS w FROM range(8) a(k), range(8) b(i)),
+    across AS (SELECT channel, "by", bx, v, i AS x, sum(coef * w) AS s FROM q JOIN wave ON k = u GROUP BY ALL),
+    plane AS (SELECT channel, "by" * 8 + i AS y, bx * 8 + x AS x, greatest(0, least(255, round(round(sum(s * w), 6)) + 128)) AS p FROM across JOIN wave ON k = v GROUP BY ALL),
+    full_ AS (SELECT l.y, l.x, l.p AS p0, c.p AS p1, d.p AS p2 FROM plane l JOIN plane c ON c.channel = 1 AND c.y = l.y // 2 AND c.x = l.x // 2 JOIN plane d ON d.channel = 2 AND d.y = l.y // 2 AND d.x = l.x // 2 WHERE l.channel = 0)
+    SELECT y, x, greatest(0, least(255, round(p0 + 1.402::DOUBLE * (p2 - 128))))::BIGINT AS r, greatest(0, least(255, round(p0 - 0.344136::DOUBLE * (p1 - 128) - 0.714136::DOUBLE * (p2 - 128))))::BIGINT AS g,
+        greatest(0, least(255, round(p0 + 1.772::DOUBLE * (p1 - 128))))::BIGINT AS b FROM full_""")
+def jpeg_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients taken from the pixels of the embeddings, chroma at half the size each way."""
+    image = rasters.embedding_pixels(spark, sf_dir)
+    size = image.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).first()
+    px = image.select("image_id", "y", "x", F.posexplode(F.array("r", "g", "b")).alias("channel", "s"))
+    px = px.where((F.col("channel") == 0) | ((F.col("x") < (size.w or 0) // 2) & (F.col("y") < (size.h or 0) // 2)))
+    v, u = F.col("y") % 8, F.col("x") % 8
+    q = F.when(v + u == 0, F.col("s") - 128).otherwise(F.col("s") % 5 - 2)
+    coefs = px.select("image_id", "channel", F.floor(F.col("y") / 8).alias("by"), F.floor(F.col("x") / 8).alias("bx"), v.cast("int").alias("v"), u.cast("int").alias("u"), q.alias("q"))
+    steps = spark.createDataFrame([(c, a, b, 6 if a + b == 0 else 1 + a + b) for c in range(3) for a in range(8) for b in range(8)], "channel int, v int, u int, step int")
+    factors = spark.createDataFrame([(0, 1, 1), (1, 2, 2), (2, 2, 2)], "channel int, across int, down int")
+    return jpeg.pixels(coefs, steps, factors, size.w or 0, size.h or 0).select("y", "x", "r", "g", "b")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselune.functions import codes
-from tesselune.operators import blocks, layout, reconstruction, smallblocks, transforms
+from tesselune.operators import blocks, jpeg, layout, reconstruction, smallblocks, transforms
 from tesselune.sources import rasters
 
 
@@ -62,3 +62,15 @@ def test_corner_strategies_are_refused_and_missing_cells_are_zero(spark):
     with pytest.raises(Exception, match="no transform"):
         reconstruction.reconstruct(coefs, one(14), cells, weights, none).collect()
     assert blocks.natural_order(spark).count() == 64
+
+
+def test_flat_jpeg_blocks_and_chroma_repeated(spark):
+    """A mean of q steps of 8 is q above the middle; chroma of one block covers four of luma."""
+    rows = [("i", 0, y, x, v, u, (3 + 2 * y + x if v + u == 0 else 0)) for y in (0, 1) for x in (0, 1) for v in range(8) for u in range(8)]
+    rows += [("i", c, 0, 0, v, u, (c if v + u == 0 else 0)) for c in (1, 2) for v in range(8) for u in range(8)]
+    coefs = spark.createDataFrame(rows, "image_id string, channel int, by long, bx long, v int, u int, q long")
+    steps = spark.createDataFrame([(c, v, u, 8) for c in range(3) for v in range(8) for u in range(8)], "channel int, v int, u int, step int")
+    factors = spark.createDataFrame([(0, 1, 1), (1, 2, 2), (2, 2, 2)], "channel int, across int, down int")
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in jpeg.pixels(coefs, steps, factors, 15, 13).collect()}
+    assert len(got) == 15 * 13 and got[0, 0] == (134, 129, 133) and got[12, 14] == (137, 132, 136)
+    assert jpeg.pixels(coefs.limit(0), steps, factors, 15, 13).count() == 0
