@@ -94,3 +94,32 @@ def bridged(coefs: DataFrame, dc_quantiser: int | None) -> DataFrame:
     moved = F.col("q") + F.when((F.col("v") == 0) & (F.col("u") == 0), offset).otherwise(0)
     rows = coefs.withColumn("q", moved)
     return rows.select(*[F.col({"v": "u", "u": "v"}.get(c, c)).alias(c) for c in coefs.columns])
+
+
+def channel_classes(channels: DataFrame, dim: int) -> DataFrame:
+    """Adds kind to channels (image_id, channel, width, height, hshift, vshift, meta): in which sections they are coded.
+
+    global: before the first channel that is not meta and larger than a group; dc: later ones shrunk eightfold or more
+    both ways; ac: the others.
+    """
+    large = F.when(~F.col("meta") & ((F.col("width") > dim) | (F.col("height") > dim)), F.col("channel"))
+    first = F.min(large).over(Window.partitionBy("image_id"))  # an image has few channels
+    kind = F.when(F.col("_first").isNull() | (F.col("channel") < F.col("_first")), "global").when((F.col("hshift") >= 3) & (F.col("vshift") >= 3), "dc").otherwise("ac")
+    return channels.withColumn("_first", first).withColumn("kind", kind).drop("_first")
+
+
+def group_slices(channels: DataFrame, dim: int) -> DataFrame:
+    """(image_id, channel, kind, gy, gx, y0, x0, h, w) of the parts of channels that their groups hold, by ``channel_classes``.
+
+    A group covers ``dim`` samples of the image a side, eight times as many for dc; a channel's part is that square
+    shrunk as the channel is. Negative shifts count as none; global channels, and empty parts, have no rows.
+    """
+    rows = channel_classes(channels, dim).where("kind <> 'global'").withColumn("_dim", F.when(F.col("kind") == "dc", 8 * dim).otherwise(dim))
+
+    def groups(size: str, shift: str) -> Column:
+        own = f"greatest(0, {shift})"
+        return F.expr(f"filter(transform(sequence(0L, shiftleft(CAST({size} AS bigint), {own}) div _dim), g -> named_struct('g', g, 'a', shiftright(g * _dim, {own}), 'b', least({size}, shiftright((g + 1) * _dim, {own})))), s -> s.a < s.b)")
+
+    rows = rows.withColumn("_y", F.explode(groups("height", "vshift"))).withColumn("_x", F.explode(groups("width", "hshift")))
+    at = {"gy": "_y.g", "gx": "_x.g", "y0": "_y.a", "x0": "_x.a"}
+    return rows.select("image_id", "channel", "kind", *[F.col(c).cast("long").alias(n) for n, c in at.items()], (F.col("_y.b") - F.col("_y.a")).cast("long").alias("h"), (F.col("_x.b") - F.col("_x.a")).cast("long").alias("w"))

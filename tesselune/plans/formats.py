@@ -99,3 +99,22 @@ def block_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = contexts.block_context(key % 3, size % 13, tuple(k % 5 for k in range(39)))
     rows = rasters.table(spark, sf_dir, "part").select("p_partkey", place.cast("int").alias("place"), context.cast("bigint").alias("context"))
     return rows.join(F.broadcast(table), "place").select("p_partkey", "place", "cluster", "context")  # the map has n rows
+
+
+_CHANNELS = """ch AS (SELECT p_partkey // 5 AS image_id, p_partkey % 5 AS channel, p_size * 40 AS width, 20 + p_partkey % 900 AS height, (p_size % 5)::INTEGER - 1 AS hshift, (p_partkey % 7 % 5)::INTEGER AS vshift, p_partkey % 5 = 0 AS meta FROM part),
+    f AS (SELECT *, min(CASE WHEN NOT meta AND (width > 512 OR height > 512) THEN channel END) OVER (PARTITION BY image_id) AS first FROM ch),
+    k AS (SELECT *, CASE WHEN first IS NULL OR channel < first THEN 'global' WHEN hshift >= 3 AND vshift >= 3 THEN 'dc' ELSE 'ac' END AS kind, greatest(0, hshift) AS hs, greatest(0, vshift) AS vs FROM f)"""
+
+
+@_query(f"""WITH {_CHANNELS}, g AS (SELECT *, CASE kind WHEN 'dc' THEN 4096 ELSE 512 END AS d FROM k WHERE kind <> 'global'),
+    s AS (SELECT image_id, channel, kind, gy, gx, (gy * d) >> vs AS y0, (gx * d) >> hs AS x0, least(height, ((gy + 1) * d) >> vs) AS y1, least(width, ((gx + 1) * d) >> hs) AS x1
+          FROM g, LATERAL (SELECT unnest(range(0, (height << vs) // d + 1)) AS gy), LATERAL (SELECT unnest(range(0, (width << hs) // d + 1)) AS gx))
+    SELECT image_id, channel, kind, gy, gx, y0, x0, y1 - y0 AS h, x1 - x0 AS w FROM s WHERE y0 < y1 AND x0 < x1""")
+def shifted_group_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of several sizes and shifts, five an image, cut by groups of 512."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    channels = rasters.table(spark, sf_dir, "part").select(
+        F.floor(key / 5).alias("image_id"), (key % 5).alias("channel"), (size * 40).cast("long").alias("width"), (20 + key % 900).alias("height"),
+        ((size % 5).cast("int") - 1).alias("hshift"), (key % 7 % 5).cast("int").alias("vshift"), (key % 5 == 0).alias("meta"),
+    )
+    return layout.group_slices(channels, 512)

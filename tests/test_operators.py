@@ -107,3 +107,13 @@ def test_octiles_and_move_to_front(spark):
             want.append(symbols.pop((u * 7 + o * 5) % 6))
             symbols.insert(0, want[-1])
         assert [r.symbol for r in recurrences.unmove_to_front(places.where(F.col("u") == u), "u", "o", 6).orderBy("o").collect()] == want
+
+
+def test_classes_and_slices_of_channels(spark):
+    rows = [(1, 0, 9000, 9000, 0, 0, True), (1, 1, 100, 100, 3, 3, False), (1, 2, 300, 10, 0, 0, False), (1, 3, 40, 20, 3, 4, False), (1, 4, 70, 129, 1, -1, False), (2, 0, 5, 5, 0, 0, False)]
+    channels = spark.createDataFrame(rows, "image_id int, channel int, width int, height int, hshift int, vshift int, meta boolean")
+    assert [r.kind for r in layout.channel_classes(channels, 128).orderBy("image_id", "channel").collect()] == ["global", "global", "ac", "dc", "ac", "global"]
+    got = sorted(tuple(r) for r in layout.group_slices(channels, 128).collect())
+    want = [(1, 2, "ac", 0, g, 0, 128 * g, 10, w) for g, w in ((0, 128), (1, 128), (2, 44))] + [(1, 3, "dc", 0, 0, 0, 0, 20, 40)]
+    want += [(1, 4, "ac", gy, gx, 128 * gy, 64 * gx, h, w) for gy, h in ((0, 128), (1, 1)) for gx, w in ((0, 64), (1, 6))]
+    assert got == sorted(want)
