@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all rows in the mix's order, that of the files of docs, read back: (doc_id, start, n_tokens, ids_crc32)."""
+    """Token files of all rows in the mix's order, that of the files of docs, read back: (doc_id, start, n_tokens, ids_crc32).
+
+    Rows that are not read from files have no such order and go by their ids.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return token_digest(docs, TOKENIZER)
     return token_digest(docs, TOKENIZER, as_they_lie=True)
 
 
