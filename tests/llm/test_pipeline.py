@@ -99,3 +99,8 @@ def test_a_run_leaves_its_token_files_alone(spark):
     assert rows and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
     assert left and all(".arrow" in p.name or p.parent.name == "manifest" for p in left)
     assert not Path(path.removeprefix("file:")).exists()
+
+
+def test_rows_that_lie_in_no_files_go_by_their_ids(spark):
+    made = spark.createDataFrame([(9, "nine words"), (2, "two"), (None, None)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.tokens(spark, made, SF).orderBy("start").collect()] == [None, 2, 9]
