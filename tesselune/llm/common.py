@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql.functions import broadcast, count, lit
 
 from tesselune.session import ready
 from tesselune.storage import remove, shared_dir, stored
@@ -31,6 +31,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.made = spark, shared_dir(spark), 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.rows: dict[int, int] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -39,15 +40,32 @@ class Scratch:
         self.paths[id(out)] = out, path
         return out
 
+    def counted(self, df: DataFrame) -> DataFrame:
+        """The same, with its rows counted as they are written, for ``size``."""
+        seen = Observation()
+        out = self.put(df.observe(seen, count(lit(1)).alias("n")))
+        self.rows[id(out)] = seen.get["n"]
+        return out
+
+    def size(self, df: DataFrame) -> int:
+        return self.rows[id(df)]
+
+    def small(self, df: DataFrame, row_bytes: int) -> DataFrame:
+        """``small`` of a counted table."""
+        return small(df, self.size(df), row_bytes)
+
     def view(self, df: DataFrame, table: DataFrame) -> DataFrame:
         """df, columns of a written table, to be dropped in its stead."""
         self.paths[id(df)] = df, self.paths.pop(id(table))[1]
+        if id(table) in self.rows:
+            self.rows[id(df)] = self.rows.pop(id(table))
         return df
 
     def drop(self, *tables: DataFrame | None) -> None:
         for df in tables:
             if df is not None and id(df) in self.paths:
                 remove(self.spark, self.paths.pop(id(df))[1])
+                self.rows.pop(id(df), None)
 
     def drop_all_but(self, *tables: DataFrame | None) -> None:
         keep = {id(df) for df in tables}

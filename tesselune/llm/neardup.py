@@ -25,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, tune
-from .components import components
+from .common import BROADCAST_BYTES, Scratch, small, tune
+from .components import LABEL_BYTES, components
 from .textkernel import Words, mix, slices, stream, windows
 
 #: Signature coordinates, and the first of them, whose tokens choose the nodes.
 COORDINATES, TOKENS = 256, 64
 #: Shingles of a block of a cluster's members, and of those that ask.
 BLOCK_SHINGLES = 1 << 18
+#: Bytes of a sketch with its keys in a broadcast, as it is built.
+SIGNED_BYTES = 256
 #: Candidates whose sketches agree in so many standard deviations less than those of a pair at the threshold are not read.
 DEVIATIONS = 5
 
@@ -298,55 +300,62 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     features = t.put(texts.mapInArrow(_features(words), "doc_id long, n_shingles long, x long, y long, tokens binary, sketch binary"))
     same = ["x", "y", "n_shingles"]
-    classes = t.put(features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("doc")))
-    own = t.put(features.join(classes.select("doc"), F.col("doc_id") == F.col("doc"), "left_semi").select(F.col("doc_id").alias("doc"), "n_shingles", "tokens", "sketch"))
-    signed = own.select("doc", "n_shingles", "sketch")
+    classes = t.counted(features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("doc")))
+    own = t.counted(features.join(small(classes.select("doc"), t.size(classes), 16), F.col("doc_id") == F.col("doc"), "left_semi").select(F.col("doc_id").alias("doc"), "n_shingles", "tokens", "sketch"))
+    signed = small(own.select("doc", "n_shingles", "sketch"), t.size(own), SIGNED_BYTES)
     least = least_agreement(percent)
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """(doc, shingles) of the documents in column doc, read from their texts again."""
-        ids = ids.select(F.col("doc").alias("doc_id")).distinct()
-        return texts.join(small(ids, ids.count(), 16), "doc_id", "left_semi").mapInArrow(_shingle_sets(words), "doc long, shingles binary")
+    def sets_of(ids: DataFrame, n: int) -> DataFrame:
+        """(doc, shingles) of the documents in column doc of n rows, read from their texts again."""
+        ids = ids.select(F.col("doc").alias("doc_id"))
+        if 16 * n > BROADCAST_BYTES:
+            ids = ids.distinct()
+            n = ids.count()
+        return texts.join(small(ids, n, 16), "doc_id", "left_semi").mapInArrow(_shingle_sets(words), "doc long, shingles binary")
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are as alike as asked."""
-        sets = t.put(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc"))))
+        sets = t.put(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")), 2 * t.size(pairs)))
         both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-        found = t.put(both.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long"))
+        found = t.counted(both.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long"))
         t.drop(sets)
         return found
 
     def merged(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
         """Labels (doc, label) after more links; documents not named are their own."""
-        if not found.limit(1).count():
+        if not t.size(found):
             return labels
         if labels is None:
-            made = components(found, t)
+            made = components(found, t.size(found), t)
             return t.view(made.select(F.col("v").alias("doc"), "label"), made)
-        ends = [labels.select(F.col("doc").alias(e), F.col("label").alias(f"l_{e}")) for e in "ab"]
+        known = t.small(labels, LABEL_BYTES)
+        ends = [known.select(F.col("doc").alias(e), F.col("label").alias(f"l_{e}")) for e in "ab"]
         over = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
-        new = components(over, t)
-        moved = labels.join(new.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left").select("doc", F.coalesce("to", "label").alias("label"))
-        fresh = new.select(F.col("v").alias("doc"), "label").join(labels, "doc", "left_anti")
-        out = t.put(moved.unionByName(fresh))
+        new = components(over, t.size(found), t)
+        if not t.size(new):  # all ends had one label already
+            t.drop(new)
+            return labels
+        moved = labels.join(small(new.select(F.col("v").alias("label"), F.col("label").alias("to")), t.size(new), LABEL_BYTES), "label", "left").select("doc", F.coalesce("to", "label").alias("label"))
+        fresh = new.select(F.col("v").alias("doc"), "label").join(known, "doc", "left_anti")
+        out = t.counted(moved.unionByName(fresh))
         t.drop(labels, new)
         return out
 
     def labelled(rows: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
         if labels is None:
             return rows.withColumn(name, F.col("doc"))
-        return rows.join(labels.withColumnRenamed("label", name), "doc", "left").withColumn(name, F.coalesce(name, "doc"))
+        return rows.join(t.small(labels, LABEL_BYTES).withColumnRenamed("label", name), "doc", "left").withColumn(name, F.coalesce(name, "doc"))
 
     fits = 100 * F.least("n_shingles", "n_hub") >= percent * F.greatest("n_shingles", "n_hub")
     sequence = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     dealt = lambda n: F.pmod(F.xxhash64("doc"), n)
 
     def candidates(members: DataFrame, hubs: DataFrame) -> DataFrame:
-        """(a, b): each document with its likeliest hub of another component."""
+        """(a, b): each document with its likeliest hub of another component; a pair comes twice if each is so to the other."""
         near = members.join(signed, "doc").join(hubs, "node").where("comp <> hub_comp").where(fits)
         likely = near.select("doc", "hub", "sketch", "hub_sketch").mapInArrow(_likely(least), "doc long, hub long, agree long")
         best = likely.groupBy("doc").agg(F.max(F.struct("agree", "hub")).alias("best"))
-        return best.select(F.least("doc", "best.hub").alias("a"), F.greatest("doc", "best.hub").alias("b")).distinct()
+        return best.select(F.least("doc", "best.hub").alias("a"), F.greatest("doc", "best.hub").alias("b"))
 
     def askers(crowd: DataFrame) -> DataFrame:
         """(doc, cluster) of odd documents of nodes (node, n, others, doc, comp, main) and clusters with a likely partner."""
@@ -363,15 +372,16 @@ def near_duplicates(
 
     def cluster_links(asks: DataFrame) -> DataFrame:
         """Links (a, b) between documents that ask and members of the clusters that they ask for."""
+        asks = t.small(asks, 32)
         asking = asks.join(signed, "doc")
-        members = labelled(signed, cluster, "cluster").join(asks.select("cluster").distinct(), "cluster", "left_semi")
+        members = labelled(signed, cluster, "cluster").join(asks.select("cluster"), "cluster", "left_semi")
         parts = lambda rows, name: rows.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias(name))
-        blocks = t.put(parts(members, "i_parts").join(parts(asking, "j_parts"), "cluster"))
-        known = small(blocks, blocks.count(), 32)
+        blocks = t.counted(parts(members, "i_parts").join(parts(asking, "j_parts"), "cluster"))
+        known = t.small(blocks, 32)
         members = members.join(known, "cluster").select("cluster", dealt(F.col("i_parts")).alias("i"), F.explode(sequence(F.col("j_parts"))).alias("j"), "doc", "n_shingles", "sketch", F.lit(False).alias("asks"), F.lit(True).alias("member"))
         asking = asking.join(known, "cluster").select("cluster", F.explode(sequence(F.col("i_parts"))).alias("i"), dealt(F.col("j_parts")).alias("j"), "doc", "n_shingles", "sketch", F.lit(True).alias("asks"), F.lit(False).alias("member"))
-        rows = t.put(labelled(members.unionByName(asking), comp, "comp"))
-        found = t.put(rows.join(sets_of(rows), "doc").groupBy("cluster", "i", "j").applyInArrow(_block_links(least, percent), "a long, b long"))
+        rows = t.counted(labelled(members.unionByName(asking), comp, "comp"))
+        found = t.counted(rows.join(sets_of(rows, t.size(rows)), "doc").groupBy("cluster", "i", "j").applyInArrow(_block_links(least, percent), "a long, b long"))
         t.drop(blocks, rows)
         return found
 
@@ -386,21 +396,22 @@ def near_duplicates(
         if not n_hubs:
             break
         hubs = mixed.where("hub").join(signed, "doc").select("node", F.col("doc").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n_shingles").alias("n_hub"), F.col("sketch").alias("hub_sketch"))
-        pairs = t.put(candidates(mixed.drop("hub"), small(hubs, n_hubs, 160)))
-        if pairs.limit(1).count():
+        pairs = t.counted(candidates(mixed.drop("hub"), small(hubs, n_hubs, 160)))
+        if t.size(pairs):
             found = links(pairs)
             comp, cluster = merged(comp, found), merged(cluster, pairs)
             t.drop(found)
         t.drop(pairs)
         crowd = t.put(labelled(mixed.select("node", "n", "doc"), comp, "comp"))
         t.drop(mixed)
-        per = crowd.groupBy("node", "comp").agg(F.count("*").alias("c"))
+        by_node = crowd.repartition("node")  # both counts and the join go by node
+        per = by_node.groupBy("node", "comp").agg(F.count("*").alias("c"))
         still = per.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0").select("node", F.col("top.comp").alias("main"), "others")
-        left = t.put(crowd.join(still, "node"))
+        left = t.put(by_node.join(still, "node"))
         t.drop(crowd)
         last = level >= depth
-        asks = t.put(askers(left if last else left.where(F.col("others") <= block)))
-        if asks.limit(1).count():
+        asks = t.counted(askers(left if last else left.where(F.col("others") <= block)))
+        if t.size(asks):
             found = cluster_links(asks)
             comp = merged(comp, found)
             t.drop(found)
@@ -409,10 +420,10 @@ def near_duplicates(
         if last or not large.limit(1).count():
             break
         lists = large.groupBy("doc").agg(F.collect_set("node").alias("nodes"))
-        members = t.put(lists.join(own, "doc").select("doc", "nodes", "tokens").mapInArrow(_children, "node long, doc long").distinct())
+        members = t.put(lists.join(own, "doc").select("doc", "nodes", "tokens").mapInArrow(_children, "node long, doc long"))
         t.drop(left)
         level += 1
     t.drop_all_but(features, classes, comp)
-    named = features.join(classes, same, "left").withColumn("doc", F.coalesce("doc", "doc_id"))
+    named = features.join(t.small(classes, 64), same, "left").withColumn("doc", F.coalesce("doc", "doc_id"))
     out = labelled(named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("doc")).alias("doc")), comp, "comp")
     return out.select("doc_id", "n_shingles", F.col("comp").alias("component_id"), F.coalesce(F.col("comp") == F.col("doc_id"), F.lit(True)).alias("kept"), F.col("doc").alias("class_id"))
