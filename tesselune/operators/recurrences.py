@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselune.functions.codes import smooth_tendency
@@ -43,22 +43,94 @@ def squeeze(samples: DataFrame, down: bool = False) -> DataFrame:
     return lines.select("image_id", "channel", "y", "low", F.transform(pairs, left).alias("high"))
 
 
+def squeeze_pairs(samples: DataFrame, down: bool = False) -> DataFrame:
+    """(image_id, channel, y, k, low, high): what ``squeeze`` makes, a row for each pair k, high null where a last sample
+    is alone. Lines, or columns, of any length pass through windows and are not gathered."""
+    line = Window.partitionBy("image_id", "channel", "y").orderBy("x")
+    at = {f"v{k}": F.lead("v", k).over(line) for k in (1, 2, 3)} | {"before": F.lag("v").over(line), "place": F.row_number().over(line) - 1}
+    rows = (_turned(samples) if down else samples).withColumns(at).where("place % 2 = 0")
+
+    def mean(one: str, two: str) -> Column:
+        return F.when(F.col(two).isNull(), F.col(one)).otherwise(F.shiftright(F.col(one) + F.col(two) + F.when(F.col(one) > F.col(two), 1).otherwise(0), 1))
+
+    rows = rows.withColumns({"low": mean("v", "v1"), "next": mean("v2", "v3")})
+    high = F.col("v") - F.col("v1") - smooth_tendency(F.coalesce("before", "low"), F.col("low"), F.coalesce("next", "low"))
+    return rows.select("image_id", "channel", "y", (F.col("place") / 2).cast("long").alias("k"), "low", high.cast("long").alias("high"))
+
+
+def _tendency(b: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``smooth_tendency`` of arrays."""
+
+    def div(v: np.ndarray) -> np.ndarray:
+        return np.sign(v) * (np.abs(v) // 12)
+
+    slope, up, down = 4 * b - 3 * n - a, 2 * (b - a), 2 * (a - n)
+    falls = div(slope + 6)
+    falls = np.where(falls - falls % 2 > up, up + 1, falls)
+    falls = np.where(falls + falls % 2 > down, down, falls)
+    rises = div(slope - 6)
+    rises = np.where(rises + rises % 2 < up, up - 1, rises)
+    rises = np.where(rises - rises % 2 < down, down, rises)
+    return np.where((b >= a) & (a >= n), falls, np.where((b <= a) & (a <= n), rises, 0))
+
+
+def _samples_of_pairs(low: np.ndarray, after: np.ndarray, high: np.ndarray, begins: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both samples of pairs in order, ``last`` being the sample before the first of them.
+
+    All pairs are made from a guess of the sample before, then those whose sample before came out otherwise are made
+    again until none is. Each round settles one pair of a line at least, and what is then left is the only solution.
+    """
+    first, second = np.empty_like(low), low.copy()
+    at = np.arange(len(low))
+    while len(at):
+        a = low[at]
+        before = np.where(begins[at], a, np.where(at > 0, second[at - 1], last))
+        diff = high[at] + _tendency(before, a, after[at])
+        first[at] = a + np.sign(diff) * (np.abs(diff) >> 1)
+        made = first[at] - diff
+        moved = at[made != second[at]] + 1
+        second[at] = made
+        moved = moved[moved < len(low)]
+        at = moved[~begins[moved]]
+    return first, second
+
+
+def _unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (image_id, channel, y, k, low, next, high) in order of k to samples."""
+    last = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, low, after = (batch.column(c).to_numpy() for c in (3, 4, 5))
+        both = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
+        first, second = _samples_of_pairs(low, after, batch.column(6).fill_null(0).to_numpy(), k == 0, last)
+        last = int(second[-1])
+        keep = np.stack([np.ones_like(both), both], 1).reshape(-1)
+        values = np.stack([np.where(both, first, low), second], 1).reshape(-1)[keep]
+        x, row = np.stack([2 * k, 2 * k + 1], 1).reshape(-1)[keep], pa.array(np.repeat(np.arange(len(k)), 2)[keep])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(3)), pa.array(x), pa.array(values)], ["image_id", "channel", "y", "x", "v"])
+
+
+def _unsqueeze_sorted(rows: DataFrame, down: bool) -> DataFrame:
+    """The samples of rows (image_id, channel, y, k, low, next, high); those of a line follow each other in order of k."""
+    ready(rows.sparkSession)
+    kinds = dict(rows.dtypes)
+    made = rows.mapInArrow(_unsqueezed, f"image_id {kinds['image_id']}, channel {kinds['channel']}, y {kinds['y']}, x long, v long")
+    return _turned(made) if down else made
+
+
+def unsqueeze_pairs(pairs: DataFrame, down: bool = False) -> DataFrame:
+    """The samples (image_id, channel, y, x, v) of the rows of ``squeeze_pairs``; lines stream through tasks, which hold a batch."""
+    line = Window.partitionBy("image_id", "channel", "y").orderBy("k")
+    rows = pairs.select("image_id", "channel", "y", "k", F.col("low").cast("long").alias("low"), F.coalesce(F.lead("low").over(line), "low").cast("long").alias("next"), F.col("high").cast("long").alias("high"))
+    return _unsqueeze_sorted(rows.repartition("image_id", "channel", "y").sortWithinPartitions("image_id", "channel", "y", "k"), down)
+
+
 def unsqueeze(squeezed: DataFrame, down: bool = False) -> DataFrame:
     """The samples (image_id, channel, y, x, v) of squeezed lines, or columns; each pair needs the sample made before it."""
-
-    def step(acc: Column, k: Column) -> Column:
-        a = F.get("low", k)
-        before = F.when(k > 0, F.get(acc["out"], F.greatest(2 * k - 1, F.lit(0)))).otherwise(a)
-        diff = F.get("high", k) + smooth_tendency(before, a, F.coalesce(F.get("low", k + 1), a))
-        first = a + F.signum(diff).cast("long") * F.shiftright(F.abs(diff), 1)
-        return F.struct(F.concat(acc["out"], F.array(first, first - diff)).alias("out"))
-
-    ks = F.expr("IF(size(high) = 0, CAST(array() AS array<int>), sequence(0, size(high) - 1))")
-    whole = F.aggregate(ks, F.struct(F.expr("CAST(array() AS array<bigint>)").alias("out")), step)["out"]
-    line = F.when(F.size("low") > F.size("high"), F.concat(whole, F.array(F.get("low", F.size("high"))))).otherwise(whole)
-    rows = squeezed.select("image_id", "channel", "y", F.posexplode(line).alias("i", "v"))
-    rows = rows.select("image_id", "channel", "y", F.col("i").cast("long").alias("x"), "v")
-    return _turned(rows) if down else rows
+    rows = squeezed.select("image_id", "channel", "y", "low", "high", F.posexplode("low").alias("k", "a"))
+    after = F.coalesce(F.get("low", F.col("k") + 1), "a")
+    return _unsqueeze_sorted(rows.select("image_id", "channel", "y", F.col("k").cast("long").alias("k"), F.col("a").cast("long").alias("low"), after.cast("long").alias("next"), F.get("high", F.col("k")).cast("long").alias("high")), down)
 
 
 def permutation(code: Column) -> Column:

@@ -112,7 +112,7 @@ def squeezed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_RASTER} SELECT y, x, v FROM raster")
 def squeeze_columns_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recurrences.unsqueeze(recurrences.squeeze(rasters.embedding_raster(spark, sf_dir), True), True).select("y", "x", "v")
+    return recurrences.unsqueeze_pairs(recurrences.squeeze_pairs(rasters.embedding_raster(spark, sf_dir), True), True).select("y", "x", "v")
 
 
 @_query(f"""{_FREQ}, t AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY x) - 1 AS place, freq, cum FROM tok JOIN cums USING (token)),
