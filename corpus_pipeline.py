@@ -17,6 +17,9 @@ from tesselune.storage import workspace
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+#: Broadcasts of the near-duplicate stage keep to so many bytes: the driver still has what the other stages grew it to.
+NEAR_BROADCAST = 4 << 20
+
 
 def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
     """The rows, and the column that tells them apart: doc_id, or, if ids are null or repeat, a number written with each row.
@@ -38,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near duplicates, one row of it; a null id comes last."""
     rows, key = told_apart(docs)
-    t = Scratch(spark)
+    t = Scratch(spark, NEAR_BROADCAST)
     found = near_duplicates(rows, id_col=key, scratch=t)
     if key != "doc_id":
         found = found.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key)

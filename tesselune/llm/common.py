@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql.functions import broadcast, count, lit
 
 from tesselune.session import ready
@@ -20,16 +20,19 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Hints a broadcast of df if its counted rows keep to ``BROADCAST_BYTES``; otherwise the join shuffles."""
-    return broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+def small(df: DataFrame, rows: int, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast of df if its counted rows keep to ``most`` bytes; otherwise the join shuffles."""
+    return broadcast(df) if rows * row_bytes <= most else df
 
 
 class Scratch:
-    """The written tables of one call under one shared folder; each can be dropped when it is read no more."""
+    """The written tables of one call under one shared folder; each can be dropped when it is read no more.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.made = spark, shared_dir(spark), 0
+    Broadcasts of the call keep to ``most`` bytes each, which the driver holds while it builds them.
+    """
+
+    def __init__(self, spark: SparkSession, most: int = BROADCAST_BYTES):
+        self.spark, self.root, self.made, self.most = spark, shared_dir(spark), 0, most
         self.paths: dict[int, tuple[DataFrame, str]] = {}
         self.rows: dict[int, int] = {}
 
@@ -47,12 +50,18 @@ class Scratch:
         self.rows[id(out)] = seen.get["n"]
         return out
 
+    def seen(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+        """The same, and an aggregate of the rows taken as they are written, so that no job reads them again; 0 for null."""
+        seen = Observation()
+        out = self.put(df.observe(seen, what.alias("what")))
+        return out, seen.get["what"] or 0
+
     def size(self, df: DataFrame) -> int:
         return self.rows[id(df)]
 
     def small(self, df: DataFrame, row_bytes: int) -> DataFrame:
         """``small`` of a counted table."""
-        return small(df, self.size(df), row_bytes)
+        return small(df, self.size(df), row_bytes, self.most)
 
     def view(self, df: DataFrame, table: DataFrame) -> DataFrame:
         """df, columns of a written table, to be dropped in its stead."""

@@ -301,17 +301,17 @@ def near_duplicates(
     features = t.put(texts.mapInArrow(_features(words), "doc_id long, n_shingles long, x long, y long, tokens binary, sketch binary"))
     same = ["x", "y", "n_shingles"]
     classes = t.counted(features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("doc")))
-    own = t.counted(features.join(small(classes.select("doc"), t.size(classes), 16), F.col("doc_id") == F.col("doc"), "left_semi").select(F.col("doc_id").alias("doc"), "n_shingles", "tokens", "sketch"))
-    signed = small(own.select("doc", "n_shingles", "sketch"), t.size(own), SIGNED_BYTES)
+    own = t.counted(features.join(small(classes.select("doc"), t.size(classes), 16, t.most), F.col("doc_id") == F.col("doc"), "left_semi").select(F.col("doc_id").alias("doc"), "n_shingles", "tokens", "sketch"))
+    signed = small(own.select("doc", "n_shingles", "sketch"), t.size(own), SIGNED_BYTES, t.most)
     least = least_agreement(percent)
 
     def sets_of(ids: DataFrame, n: int) -> DataFrame:
         """(doc, shingles) of the documents in column doc of n rows, read from their texts again."""
         ids = ids.select(F.col("doc").alias("doc_id"))
-        if 16 * n > BROADCAST_BYTES:
+        if 16 * n > t.most:
             ids = ids.distinct()
             n = ids.count()
-        return texts.join(small(ids, n, 16), "doc_id", "left_semi").mapInArrow(_shingle_sets(words), "doc long, shingles binary")
+        return texts.join(small(ids, n, 16, t.most), "doc_id", "left_semi").mapInArrow(_shingle_sets(words), "doc long, shingles binary")
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are as alike as asked."""
@@ -335,7 +335,7 @@ def near_duplicates(
         if not t.size(new):  # all ends had one label already
             t.drop(new)
             return labels
-        moved = labels.join(small(new.select(F.col("v").alias("label"), F.col("label").alias("to")), t.size(new), LABEL_BYTES), "label", "left").select("doc", F.coalesce("to", "label").alias("label"))
+        moved = labels.join(small(new.select(F.col("v").alias("label"), F.col("label").alias("to")), t.size(new), LABEL_BYTES, t.most), "label", "left").select("doc", F.coalesce("to", "label").alias("label"))
         fresh = new.select(F.col("v").alias("doc"), "label").join(known, "doc", "left_anti")
         out = t.counted(moved.unionByName(fresh))
         t.drop(labels, new)
@@ -391,12 +391,12 @@ def near_duplicates(
     while True:
         rows = labelled(members, comp, "comp").withColumn("draw", F.xxhash64("node", "doc"))
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("draw").alias("first"), F.max("draw").alias("second")).where("low < high").drop("low", "high")
-        mixed = t.put(rows.join(nodes, "node").select("node", "n", "doc", "comp", ((F.col("draw") == F.col("first")) | (F.col("draw") == F.col("second"))).alias("hub")))
-        n_hubs = mixed.where("hub").count()
+        drawn = ((F.col("draw") == F.col("first")) | (F.col("draw") == F.col("second"))).alias("hub")
+        mixed, n_hubs = t.seen(rows.join(nodes, "node").select("node", "n", "doc", "comp", drawn), F.count_if("hub"))
         if not n_hubs:
             break
         hubs = mixed.where("hub").join(signed, "doc").select("node", F.col("doc").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n_shingles").alias("n_hub"), F.col("sketch").alias("hub_sketch"))
-        pairs = t.counted(candidates(mixed.drop("hub"), small(hubs, n_hubs, 160)))
+        pairs = t.counted(candidates(mixed.drop("hub"), small(hubs, n_hubs, 160, t.most)))
         if t.size(pairs):
             found = links(pairs)
             comp, cluster = merged(comp, found), merged(cluster, pairs)
@@ -407,7 +407,7 @@ def near_duplicates(
         by_node = crowd.repartition("node")  # both counts and the join go by node
         per = by_node.groupBy("node", "comp").agg(F.count("*").alias("c"))
         still = per.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0").select("node", F.col("top.comp").alias("main"), "others")
-        left = t.put(by_node.join(still, "node"))
+        left, others = t.seen(by_node.join(still, "node"), F.max("others"))
         t.drop(crowd)
         last = level >= depth
         asks = t.counted(askers(left if last else left.where(F.col("others") <= block)))
@@ -416,10 +416,9 @@ def near_duplicates(
             comp = merged(comp, found)
             t.drop(found)
         t.drop(asks)
-        large = left.where(F.col("others") > block)
-        if last or not large.limit(1).count():
+        if last or others <= block:
             break
-        lists = large.groupBy("doc").agg(F.collect_set("node").alias("nodes"))
+        lists = left.where(F.col("others") > block).groupBy("doc").agg(F.collect_set("node").alias("nodes"))
         members = t.put(lists.join(own, "doc").select("doc", "nodes", "tokens").mapInArrow(_children, "node long, doc long"))
         t.drop(left)
         level += 1

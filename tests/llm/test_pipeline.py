@@ -5,9 +5,11 @@ from pathlib import Path
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_neardup import brute
 from tokenizers import Tokenizer
 
+from tesselune.llm import common
 from tesselune.storage import workspace
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +106,21 @@ def test_a_run_leaves_its_token_files_alone(spark):
 def test_rows_that_lie_in_no_files_go_by_their_ids(spark):
     made = spark.createDataFrame([(9, "nine words"), (2, "two"), (None, None)], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.tokens(spark, made, SF).orderBy("start").collect()] == [None, 2, 9]
+
+
+def test_broadcasts_of_near_duplicates_keep_to_the_stages_bound(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hinted, hint = [], common.broadcast
+    monkeypatch.setattr(common, "broadcast", lambda df: hinted.append(df) or hint(df))
+    usual = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert hinted
+    hinted.clear()
+    monkeypatch.setattr(corpus_pipeline, "NEAR_BROADCAST", -1)  # even an empty table is too large
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == usual and not hinted
+
+
+def test_what_is_seen_of_a_table_as_it_is_written(spark):
+    t = common.Scratch(spark)
+    for n, total in ((5, 10), (0, 0)):
+        out, seen = t.seen(spark.range(5).where(f"id < {n}").repartition(3), F.sum("id"))
+        assert (out.count(), seen) == (n, total)
